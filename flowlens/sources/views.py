@@ -78,3 +78,26 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VECTOR_FEATURES = [f"f{i}" for i in range(DIMENSIONS)]
+
+# Three simple scorers over ``flows_signal``; each flags what exceeds the 95th percentile of its benign scores.
+SCORERS = {
+    "bytes": lambda: F.col("total_bytes"),
+    "duration": lambda: F.col("flow_duration"),
+    "blend": lambda: F.col("total_bytes") / 1000.0 + F.col("flow_duration"),
+}
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long scored frame: one row per (model, flow). Thresholds are exact percentiles and become literals."""
+    from flowlens.operators.quantiles import exact_percentiles
+
+    df = flows_signal(spark, sf_dir)
+    thresholds = exact_percentiles(df.where(F.col("label") == "BENIGN"), {m: s() for m, s in SCORERS.items()}, [0.95])
+    scores = F.array(*[
+        F.struct(F.lit(m).alias("model"), s().alias("anomaly_score"), F.lit(thresholds[(m, 0.95)]).alias("threshold"))
+        for m, s in SCORERS.items()
+    ])
+    return df.select(
+        *FLOW_KEYS, "day", F.col("label").alias("label_original"),
+        (~F.col("label").eqNullSafe("BENIGN")).cast("int").alias("label"), F.inline(scores),
+    ).withColumn("prediction", (F.col("anomaly_score") > F.col("threshold")).cast("int"))
