@@ -27,11 +27,10 @@ def finite(column: Column) -> Column:
 
 def nan_to_num(column: Column, nan: float = 0.0, posinf: float = 1e10, neginf: float = -1e10) -> Column:
     """Missing and infinite values become given numbers."""
-    return (
-        F.when(is_missing(column), F.lit(float(nan)))
-        .when(column == F.lit(INF), F.lit(float(posinf)))
-        .when(column == F.lit(-INF), F.lit(float(neginf)))
-        .otherwise(column)
+    return F.coalesce(
+        finite(column),
+        F.when(column == F.lit(INF), F.lit(float(posinf))).when(column == F.lit(-INF), F.lit(float(neginf))),
+        F.lit(float(nan)),
     )
 
 

@@ -54,3 +54,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Cache a frame that several jobs read; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For frames that are read many times: at least one partition per core (a small file is one partition)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return keep(df.repartition(cores) if df.rdd.getNumPartitions() < cores else df)
