@@ -18,7 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as labelled flows, with infinite rates and missing values."""
-    li = table(spark, sf_dir, "lineitem")
+    return flows_of(table(spark, sf_dir, "lineitem"))
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def flows_of(li: DataFrame) -> DataFrame:
     label = F.when(F.col("l_returnflag") == "N", "BENIGN").when(F.col("l_returnflag") == "A", "DoS Hulk").otherwise(
         "PortScan")
     return li.select(
@@ -35,10 +44,14 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flows_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``flows`` with byte features raised for attacks, so that detection rates differ by class."""
+    return signal_of(flows(spark, sf_dir))
+
+
+def signal_of(df: DataFrame) -> DataFrame:
     factor = F.lit(1.0)
     for name, value in SIGNAL.items():
         factor = F.when(F.col("label") == name, F.lit(value)).otherwise(factor)
-    return flows(spark, sf_dir).withColumns({
+    return df.withColumns({
         "total_bytes": F.col("total_bytes") * factor,
         "bytes_per_s": F.col("bytes_per_s") * factor,
     })
@@ -51,7 +64,10 @@ def with_duplicates(df: DataFrame) -> DataFrame:
 
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a prediction log."""
-    ev = table(spark, sf_dir, "events")
+    return log_of(table(spark, sf_dir, "events"))
+
+
+def log_of(ev: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
     return ev.select(
         "event_id",
