@@ -21,7 +21,7 @@ FOUR = ["flow_duration", "total_bytes", "bytes_per_s", "iat_mean"]
 
 SCALED = SIGNAL + ", scale as (select " + ", ".join(
     f"avg({f}) as m_{f}, stddev_pop({f}) as s_{f}" for f in THREE) + " from signal where label = 'BENIGN'), scaled as (" \
-    "select l_orderkey, l_partkey, l_suppkey, l_linenumber, label, flow_duration, total_bytes, iat_mean, " + ", ".join(
+    "select l_orderkey, l_partkey, l_suppkey, l_linenumber, label, day, flow_duration, total_bytes, iat_mean, " + ", ".join(
     f"(coalesce({f}, 0.0) - m_{f}) / s_{f} as x{i}" for i, f in enumerate(THREE)) + " from signal cross join scale)"
 
 
