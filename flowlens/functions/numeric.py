@@ -50,5 +50,7 @@ def sigmoid(column: Column) -> Column:
 
 def long_form(df: DataFrame, features: list[str], *keep: str) -> DataFrame:
     """One row per (row, feature): ``feature``, ``value`` plus the kept columns. No shuffle."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
-    return df.select(*keep, F.inline(pairs))
+    values = F.array(*features).cast("array<double>")
+    names = F.split(F.lit("\n".join(features)), "\n")  # a constant array
+    return df.select(*keep, F.posexplode(values).alias("_i", "value")).select(
+        *keep, F.element_at(names, F.col("_i") + 1).alias("feature"), "value")

@@ -2,7 +2,8 @@
 
 ``percentile`` keeps every distinct value of a group in one task. Here an approximate sketch gives a narrow band around
 each wanted rank, one more pass counts what lies below the band and (when few enough) lists the band's distinct values.
-State per task is bounded at every step; a band that is still wide is narrowed by further passes.
+State per task is bounded at every step; a band that is still wide is narrowed by further passes. All columns go through
+the same long plan, so its size does not grow with their number.
 """
 
 from __future__ import annotations
@@ -15,16 +16,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens.functions.numeric import null_if_nan
 
 ACCURACY = 10_000
+NARROW, WIDE = 2.0 / ACCURACY, 0.01     # half widths of the first band; the wide one is for few rows
 GRID = 1_000
 MAX_LISTED = 200_000
 
 
 @dataclass
 class _Target:
-    name: str
-    probability: float
-    first: int      # wanted rank, 0-based
-    last: int       # next rank, for interpolation
+    column: int
+    slot: int           # index of the wanted probability
+    first: int          # wanted rank, 0-based
+    last: int           # next rank, for interpolation
     weight: float
     low: float
     high: float
@@ -40,65 +42,74 @@ def exact_percentiles(
     if isinstance(columns, list):
         columns = {c: F.col(c) for c in columns}
     names = list(columns)
-    values = df.select(*[null_if_nan(columns[c].cast("double")).alias(f"x{i}") for i, c in enumerate(names)])
-
-    margin = 2.0 / ACCURACY
-    probes = [float(min(1.0, max(0.0, q))) for p in probabilities for q in (p - margin, p + margin)]
-    first_pass = []
-    for i in range(len(names)):
-        x = F.col(f"x{i}")
-        first_pass += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                       F.percentile_approx(x, probes, ACCURACY).alias(f"q{i}")]
-    seen = values.agg(*first_pass).first()
-
-    result: dict[tuple[str, float], float | None] = {}
+    result: dict[tuple[str, float], float | None] = {(n, p): None for n in names for p in probabilities}
+    entries = F.array(*[columns[n].cast("double") for n in names])
+    values = df.select(F.posexplode(entries).alias("c", "x")).select("c", null_if_nan(F.col("x")).alias("x")).where("x is not null")
+
+    probes = [float(min(1.0, max(0.0, q))) for p in probabilities
+              for q in (p - NARROW, p + NARROW, p - WIDE, p + WIDE)]
+    seen = values.groupBy("c").agg(
+        F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"),
+        F.percentile_approx("x", probes, ACCURACY).alias("q")).collect()
+
     targets: list[_Target] = []
-    extremes = {}
-    for i, name in enumerate(names):
-        n = seen[f"n{i}"]
-        extremes[name] = (seen[f"lo{i}"], seen[f"hi{i}"])
+    extremes: dict[int, tuple[float, float]] = {}
+    expected = 0.0
+    for row in seen:
+        c, n = row["c"], row["n"]
+        extremes[c] = (row["low"], row["high"])
         for j, p in enumerate(probabilities):
-            if n == 0:
-                result[(name, p)] = None
-                continue
             position = p * (n - 1)
             first = math.floor(position)
-            low, high = seen[f"q{i}"][2 * j], seen[f"q{i}"][2 * j + 1]
-            low = extremes[name][0] if p <= margin else low
-            high = extremes[name][1] if p >= 1 - margin else high
-            targets.append(_Target(name, p, first, min(first + 1, n - 1), position - first, low, high))
+            margin, at = (NARROW, 4 * j) if n * NARROW >= 3 else (WIDE, 4 * j + 2)
+            enough = n * margin >= 3
+            low = row["q"][at] if enough and p > margin else row["low"]
+            high = row["q"][at + 1] if enough and p < 1 - margin else row["high"]
+            targets.append(_Target(c, j, first, min(first + 1, n - 1), position - first, low, high))
+            expected += 4 * margin * n if enough else n
 
-    expected = sum(4 * margin * seen[f"n{names.index(t.name)}"] for t in targets)
     pending = targets
     while pending:
         while expected > max_listed:
-            expected = _narrow(values, names, pending, extremes)
-        pending = _resolve(values, names, pending, extremes, result)
+            expected = _narrow(values, len(names), pending, extremes)
+        picked, pending = _resolve(values, len(names), pending, extremes)
+        for t, value in picked:
+            result[(names[t.column], probabilities[t.slot])] = value
         expected = float("inf")
     return result
 
 
-def _narrow(values, names, targets, extremes) -> float:
+def _per_column(n: int, entries: dict[int, float]) -> Column:
+    """A number that depends on column ``c``: an array literal, infinite where there is none."""
+    literals = ", ".join(f"double('{float(entries.get(i, math.inf))!r}')" for i in range(n))
+    return F.element_at(F.expr(f"array({literals})"), F.col("c") + 1)
+
+
+def _narrow(values: DataFrame, n: int, targets: list[_Target], extremes) -> float:
     """Shrink each band by a grid of sketch percentiles of its interior; returns the rows still inside all bands.
 
     Rows equal to a band's edge are counted apart, so a value that holds most rows cannot stop the narrowing.
     """
     grid = [k / GRID for k in range(GRID + 1)]
+    slots = sorted({t.slot for t in targets})
+    x = F.col("x")
     aggregates = []
-    for k, t in enumerate(targets):
-        x = F.col(f"x{names.index(t.name)}")
-        interior = F.when((x > t.low) & (x < t.high), x)
-        aggregates += [F.count_if(x < t.low).alias(f"b{k}"), F.count_if(x == t.low).alias(f"l{k}"),
-                       F.count_if(x == t.high).alias(f"h{k}"), F.count(interior).alias(f"m{k}"),
-                       F.percentile_approx(interior, grid, ACCURACY).alias(f"g{k}")]
-    row = values.agg(*aggregates).first()
+    for j in slots:
+        low = _per_column(n, {t.column: t.low for t in targets if t.slot == j})
+        high = _per_column(n, {t.column: t.high for t in targets if t.slot == j})
+        interior = F.when((x > low) & (x < high), x)
+        aggregates += [F.count_if(x < low).alias(f"b{j}"), F.count_if(x == low).alias(f"l{j}"),
+                       F.count_if(x == high).alias(f"h{j}"), F.count(interior).alias(f"m{j}"),
+                       F.percentile_approx(interior, grid, ACCURACY).alias(f"g{j}")]
+    rows = {r["c"]: r for r in values.groupBy("c").agg(*aggregates).collect()}
     remaining = 0.0
-    for k, t in enumerate(targets):
-        start = row[f"b{k}"] + row[f"l{k}"]
-        inside = row[f"m{k}"]
-        at_high = row[f"h{k}"] if t.high > t.low else 0
-        if not row[f"b{k}"] <= t.first <= t.last < start + inside + at_high:
-            t.low, t.high = extremes[t.name]
+    for t in targets:
+        row, j = rows[t.column], t.slot
+        start = row[f"b{j}"] + row[f"l{j}"]
+        inside = row[f"m{j}"]
+        at_high = row[f"h{j}"] if t.high > t.low else 0
+        if not row[f"b{j}"] <= t.first <= t.last < start + inside + at_high:
+            t.low, t.high = extremes[t.column]
             remaining = float("inf")
             continue
         if inside == 0:
@@ -109,53 +120,50 @@ def _narrow(values, names, targets, extremes) -> float:
         if t.first >= start + inside:
             low = high
         elif t.first >= start and left > 0:
-            low = row[f"g{k}"][left]
+            low = row[f"g{j}"][left]
         if t.last < start:
             high = t.low
         elif t.last < start + inside and right < GRID:
-            high = row[f"g{k}"][right]
+            high = row[f"g{j}"][right]
         t.low, t.high = low, high
         remaining += 0.0 if low == high else inside * (right - left) / GRID
     return remaining
 
 
-def _resolve(values, names, targets, extremes, result) -> list[_Target]:
+def _resolve(values: DataFrame, n: int, targets: list[_Target], extremes):
     """List the distinct values of every band with counts, and the counts of the gaps between the bands."""
-    entries = []
-    for i, name in enumerate(names):
-        bands = _merge([(t.low, t.high) for t in targets if t.name == name])
-        if not bands:
-            continue
-        x = F.col(f"x{i}")
-        slot, listed = F.lit(2 * len(bands)), F.lit(None).cast("double")
-        for b in reversed(range(len(bands))):
-            low, high = bands[b]
-            slot = F.when(x < low, 2 * b).when(x <= high, 2 * b + 1).otherwise(slot)
-            listed = F.when(x.between(low, high), x).otherwise(listed)
-        entries.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("c"), slot.alias("slot"), listed.alias("v"))))
-    rows = (
-        values.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .groupBy("e.c", "e.slot", "e.v").count().collect()
-    )
-    ordered: dict[str, list] = {name: [] for name in names}
+    bands = {c: _merge([(t.low, t.high) for t in targets if t.column == c]) for c in {t.column for t in targets}}
+    widest = max(len(b) for b in bands.values())
+    x = F.col("x")
+    slot, listed = F.lit(2 * widest), F.lit(None).cast("double")
+    for k in reversed(range(widest)):
+        low = _per_column(n, {c: b[k][0] for c, b in bands.items() if k < len(b)})
+        high = _per_column(n, {c: b[k][1] for c, b in bands.items() if k < len(b)})
+        slot = F.when(x < low, 2 * k).when(x <= high, 2 * k + 1).otherwise(slot)
+        listed = F.when(x.between(low, high), x).otherwise(listed)
+    wanted = values.where(F.col("c").isin(sorted(bands))) if len(bands) < n else values
+    rows = wanted.select("c", slot.alias("slot"), listed.alias("v")).groupBy("c", "slot", "v").count().collect()
+    ordered: dict[int, list] = {c: [] for c in bands}
     for row in rows:
-        ordered[names[row["c"]]].append((row["slot"], row["v"], row["count"]))
-    unresolved = []
+        ordered[row["c"]].append((row["slot"], row["v"], row["count"]))
+    for entries in ordered.values():
+        entries.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0.0))
+    found, missed = [], []
     for t in targets:
         picked = {}
         position = 0
-        for slot, value, count in sorted(ordered[t.name], key=lambda r: (r[0], r[1] is not None, r[1] or 0.0)):
+        for _, value, count in ordered[t.column]:
             for rank in (t.first, t.last):
                 if position <= rank < position + count:
                     picked[rank] = value
             position += count
-        if None in picked.values() or not picked:
-            t.low, t.high = extremes[t.name]
-            unresolved.append(t)
+        if not picked or None in picked.values():
+            t.low, t.high = extremes[t.column]
+            missed.append(t)
         else:
             a, b = picked[t.first], picked[t.last]
-            result[(t.name, t.probability)] = a if a == b else a + (b - a) * t.weight
-    return unresolved
+            found.append((t, a if a == b else a + (b - a) * t.weight))
+    return found, missed
 
 
 def _merge(bands: list[tuple[float, float]]) -> list[tuple[float, float]]:

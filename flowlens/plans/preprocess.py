@@ -46,12 +46,12 @@ def preprocess(flows: DataFrame, features: list[str] | None = None, label: str =
     Cleaning and scaling statistics come from the training part; ``leaky=True`` takes the cleaning statistics from all
     rows. The split follows the hash of ``keys`` (all columns if none are given) and keeps class shares.
     """
-    keys = keys or flows.columns
-    features = features or [c for c in numeric_columns(drop_metadata(flows)) if c != label and c not in (keys if
-                            keys is not flows.columns else [])]
+    identity = list(keys or [])
+    keys = identity or flows.columns
+    features = features or [c for c in numeric_columns(drop_metadata(flows)) if c != label and c not in identity]
     rows = flows.dropDuplicates()
     options = dict(handle_inf=handle_inf, handle_nan=handle_nan, remove_duplicates=False, label=label,
-                   keep=[k for k in keys if k not in features])
+                   keep=identity)
     if leaky:
         cleaner = FlowCleaner(features, **options).fit(rows)
         cleaned = cleaner.transform(rows)

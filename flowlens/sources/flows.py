@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowlens.spec import METADATA_COLUMNS
+from flowlens.spec import METADATA_COLUMNS, safe_name
 
 REPLACEMENT = "�"
 # Dash characters met in label texts of differently encoded files; all become a plain hyphen.
@@ -30,7 +30,7 @@ def _scan(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
 
 
 def _header(names: list[str]) -> list[str]:
-    """Trimmed names; a repeated name (to which the reader appends its position) becomes ``name``, ``name.1``, ..."""
+    """Trimmed names without dots; a repeated name, to which the reader appends its position, becomes ``name_1``, ..."""
     stems = []
     for i, name in enumerate(names):
         suffix = str(i)
@@ -39,10 +39,10 @@ def _header(names: list[str]) -> list[str]:
     for i, name in enumerate(names):
         stem = stems[i]
         repeated = stem is not None and sum(s is not None and s.lower() == stem.lower() for s in stems) > 1
-        base = stem if repeated else name.strip()
+        base = safe_name(stem if repeated else name)
         count = seen.get(base, 0)
         seen[base] = count + 1
-        out.append(base if count == 0 else f"{base}.{count}")
+        out.append(base if count == 0 else f"{base}_{count}")
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.spec import RAW_FEATURES
+from flowlens.spec import RAW_FEATURES, safe_name
 
 # Feature values in the order of RAW_FEATURES.
 BENIGN_FLOW = [
@@ -35,7 +35,7 @@ SLOW_DOS_FLOW = [
 
 
 def sample_flows(spark: SparkSession) -> DataFrame:
-    """Two rows with raw feature names and ``Label``."""
-    names = RAW_FEATURES + ["Label"]
+    """Two rows with trimmed feature names and ``Label``."""
+    names = [safe_name(n) for n in RAW_FEATURES] + ["Label"]
     schema = ", ".join(f"`{n}` {'string' if n == 'Label' else 'double'}" for n in names)
     return spark.createDataFrame([(*BENIGN_FLOW, "BENIGN"), (*SLOW_DOS_FLOW, "DoS slowloris")], schema)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.operators.sampling import mark_lowest, sample_n
+from flowlens.spec import safe_name
 
 # Mean of each generated feature; integers marked "count" follow a Poisson law, the others an exponential.
 FEATURE_LAWS = """
@@ -92,7 +93,7 @@ def feature_laws() -> list[tuple[str, float, bool]]:
         words = line.split()
         count = words[-1] == "count"
         words = words[:-1] if count else words
-        laws.append((" ".join(words[:-1]), float(words[-1]), count))
+        laws.append((safe_name(" ".join(words[:-1])), float(words[-1]), count))
     return laws
 
 

@@ -46,23 +46,28 @@ UNRESTRICTED_REQUEST_FIELDS = [
 ]
 
 
+def safe_name(name: str) -> str:
+    """A trimmed name without dots, which Spark reads as access to a struct field."""
+    return name.strip().replace(".", "_")
+
+
 def snake_name(name: str) -> str:
     """Raw or trimmed file name -> snake_case alias (``Flow Bytes/s`` -> ``flow_bytes_per_sec``)."""
     name = name.strip()
     if name in ALIAS_EXCEPTIONS:
         return ALIAS_EXCEPTIONS[name]
-    return name.lower().replace("/s", "_per_sec").replace("/", "_").replace(" ", "_")
+    return name.lower().replace("/s", "_per_sec").replace("/", "_").replace(" ", "_").replace(".", "_")
 
 
 def alias_table() -> dict[str, str]:
-    """snake_case alias -> trimmed file name."""
-    return {snake_name(raw): raw.strip() for raw in RAW_FEATURES}
+    """snake_case alias -> file name as the reader gives it."""
+    return {snake_name(raw): safe_name(raw) for raw in RAW_FEATURES}
 
 
 def to_snake(df: DataFrame) -> DataFrame:
     """Rename every known raw or trimmed feature to its snake_case alias."""
-    known = {raw.strip() for raw in RAW_FEATURES}
-    return df.toDF(*[snake_name(c) if c.strip() in known else c for c in df.columns])
+    known = {safe_name(raw) for raw in RAW_FEATURES}
+    return df.toDF(*[snake_name(c) if safe_name(c) in known else c for c in df.columns])
 
 
 def request_fields() -> list[str]:
