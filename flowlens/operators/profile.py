@@ -13,6 +13,7 @@ from flowlens.spec import BENIGN, numeric_columns
 
 HIGH_CORRELATION = 0.9  # fixed value
 BINS = 50               # fixed value
+PAIRWISE_UP_TO = 20     # beyond, one Gram matrix is cheaper than an aggregate per pair
 
 
 def schema_report(df: DataFrame) -> DataFrame:
@@ -110,11 +111,20 @@ def correlation(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson matrix over rows whose features are all finite, as (feature_a, feature_b, r) with a before b."""
     complete = drop_infinite(df.select(*[null_if_nan(F.col(f).cast("double")).alias(f) for f in features]),
                              features).na.drop()
-    assembled = VectorAssembler(inputCols=features, outputCol="v").transform(complete).select("v")
-    matrix = Correlation.corr(assembled, "v").first()[0].toArray()
-    pairs = [(features[i], features[j], None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-             for i in range(len(features)) for j in range(i + 1, len(features))]
-    return df.sparkSession.createDataFrame(pairs, "feature_a string, feature_b string, r double")
+    if len(features) > PAIRWISE_UP_TO:
+        assembled = VectorAssembler(inputCols=features, outputCol="v").transform(complete).select("v")
+        matrix = Correlation.corr(assembled, "v").first()[0].toArray()
+        value = lambda i, j: float(matrix[i, j])
+    else:
+        pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+        row = complete.agg(*[F.corr(features[i], features[j]).alias(f"r{i}_{j}") for i, j in pairs]).first()
+        value = lambda i, j: row[f"r{i}_{j}"]
+    table = []
+    for i in range(len(features)):
+        for j in range(i + 1, len(features)):
+            r = value(i, j)
+            table.append((features[i], features[j], None if r is None or r != r else r))
+    return df.sparkSession.createDataFrame(table, "feature_a string, feature_b string, r double")
 
 
 def high_correlation_pairs(matrix: DataFrame, limit: float = HIGH_CORRELATION, n: int | None = 10) -> DataFrame:

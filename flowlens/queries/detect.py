@@ -31,7 +31,7 @@ def _scaler(df):
 
 def _clean_signal(spark, sf_dir):
     """Signal flows with infinite rates and missing values filled; statistics are learned on benign flows."""
-    df = flows_signal(spark, sf_dir).drop("const_zero")
+    df = flows_signal(spark, sf_dir, heavy=True).drop("const_zero")
     cleaner = FlowCleaner(FOUR, handle_nan="median", remove_duplicates=False, remove_constant=False,
                           keep=FLOW_KEYS).fit(schema.filter_benign(df))
     return keep(cleaner.transform(df))
@@ -72,7 +72,7 @@ DECIDED = MAPPED + """, decided as (select *, s - (select median(s) from similar
 
 
 def _flagship(spark, sf_dir):
-    df = flows_signal(spark, sf_dir).select(*FLOW_KEYS, *THREE, "label")
+    df = flows_signal(spark, sf_dir, heavy=True).select(*FLOW_KEYS, *THREE, "label")
     benign = schema.filter_benign(df)
     model = ocsvm.OneClassSVM(THREE, nu=1.0, gamma=FLAGSHIP_GAMMA, n_components=COMPONENTS).fit(benign)
     return keep(model.transform(df))
@@ -130,7 +130,7 @@ def _given_forest(spark):
   case when raw_score - c < 0 then 1 else 0 end as prediction from forest cross join cut""")
 def d2(spark, sf_dir):
     model = _given_forest(spark)
-    scored = keep(model.transform(flows_signal(spark, sf_dir)))
+    scored = keep(model.transform(flows_signal(spark, sf_dir, heavy=True)))
     model.threshold = exact_percentiles(scored, ["raw_score"], [0.1])[("raw_score", 0.1)]
     raw = F.col("raw_score")
     return rounded(scored.select(*FLOW_KEYS, "raw_score", model.decision(raw).alias("decision"),
@@ -140,7 +140,7 @@ def d2(spark, sf_dir):
 @query("d3_forest_probability", f"""with {SIGNAL}, {GIVEN_SCORE}
   select {KEYS}, {r("1.0 / (1.0 + exp(5.0 * (raw_score + 0.5)))", 6, "anomaly_probability")} from forest""")
 def d3(spark, sf_dir):
-    scored = _given_forest(spark).transform(flows_signal(spark, sf_dir))
+    scored = _given_forest(spark).transform(flows_signal(spark, sf_dir, heavy=True))
     return rounded(scored.select(*FLOW_KEYS, "anomaly_probability"))
 
 
@@ -193,7 +193,7 @@ def _kernel_sql(expression: str, n: int) -> str:
 
 
 def _kernel(spark, sf_dir, n, **kernel):
-    df = flows_signal(spark, sf_dir).select(*FLOW_KEYS, *THREE, "label")
+    df = flows_signal(spark, sf_dir, heavy=True).select(*FLOW_KEYS, *THREE, "label")
     scaler = _scaler(df)
     support = sampling.sample_n(schema.filter_benign(df), FLOW_KEYS, n).withColumn("weight", F.lit(1.0 / n))
     return rounded(ocsvm.kernel_decision(df, THREE, support, 0.25, scaler=scaler, **kernel).select(
@@ -227,7 +227,7 @@ def d7_sigmoid(spark, sf_dir):
 @query("d8_svm_probability", f"""with {SCALED} select {KEYS},
   {r("1.0 / (1.0 + exp(2.0 * (1.0 - x1)))", 6, "anomaly_probability")} from scaled""")
 def d8(spark, sf_dir):
-    df = flows_signal(spark, sf_dir).select(*FLOW_KEYS, *THREE, "label")
+    df = flows_signal(spark, sf_dir, heavy=True).select(*FLOW_KEYS, *THREE, "label")
     scaled = _scaler(df).transform(df)
     return rounded(scaled.select(*FLOW_KEYS, ocsvm.svm_probability(1.0 - F.col("total_bytes")).alias(
         "anomaly_probability")))
@@ -277,7 +277,7 @@ LINEAR_SCORE = "0.5 * x0 - 1.25 * x1 + 2.0 * x2 - 0.25"
     union all select 'total_bytes', abs(v1 - v) from vars union all select 'iat_mean', abs(v2 - v) from vars)
   select feature, {r("c / (select sum(c) from changes)", 5, "importance")} from changes""")
 def d11(spark, sf_dir):
-    df = flows_signal(spark, sf_dir).select(*FLOW_KEYS, *THREE, "label")
+    df = flows_signal(spark, sf_dir, heavy=True).select(*FLOW_KEYS, *THREE, "label")
     return rounded(ocsvm.permutation_importance(df, _linear_svm(df), FLOW_KEYS), 5)
 
 
@@ -311,7 +311,7 @@ def _given_autoencoder(df):
 
 
 def _three(spark, sf_dir):
-    return flows_signal(spark, sf_dir).select(*FLOW_KEYS, *THREE, "label")
+    return flows_signal(spark, sf_dir, heavy=True).select(*FLOW_KEYS, *THREE, "label")
 
 
 @query("d13_reconstruction_error", f"with {NETWORK} select {KEYS}, {r('error', 6, 'reconstruction_error')} from errors")

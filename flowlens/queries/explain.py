@@ -128,7 +128,7 @@ def _tree_sql() -> str:
 
 @query("x6_tree_shap_given", _tree_sql())
 def x6_given(spark, sf_dir):
-    df = flows_signal(spark, sf_dir)
+    df = flows_signal(spark, sf_dir, heavy=True)
     out = explain.explain_forest(df, _given_forest(spark))
     return rounded(out.select(*FLOW_KEYS, F.col("shap")[0].alias("phi_flow_duration"),
                               F.col("shap")[1].alias("phi_total_bytes"), "expected_value"))

@@ -56,7 +56,18 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def widen(scan: DataFrame) -> DataFrame:
+    """A file scan with at least one partition per core.
+
+    A small file with one row group is a single task, whatever the number of cores. Large inputs have more partitions
+    than cores and stay as they are. Only for plain scans: asking a plan with shuffles for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """For frames that are read many times: at least one partition per core (a small file is one partition)."""
+    """A cached frame with at least one partition per core, for jobs that read it many times."""
+    cached = keep(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return keep(df.repartition(cores) if df.rdd.getNumPartitions() < cores else df)
+    return keep(cached.repartition(cores)) if cached.rdd.getNumPartitions() < cores else cached

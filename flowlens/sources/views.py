@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.functions.numeric import rate
+from flowlens.session import widen
 
 FEATURES = ["flow_duration", "total_bytes", "bytes_per_s", "iat_mean", "const_zero"]
 FLOW_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -12,18 +13,20 @@ SIGNAL = {"DoS Hulk": 3.0, "PortScan": 1.5}
 DIMENSIONS = 64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; ``heavy`` work per row is worth spreading a small file over all cores first."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widen(scan) if heavy else scan
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flows(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """``lineitem`` as labelled flows, with infinite rates and missing values."""
-    return flows_of(table(spark, sf_dir, "lineitem"))
+    return flows_of(table(spark, sf_dir, "lineitem", heavy))
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as a file stream."""
-    schema = table(spark, sf_dir, name).schema
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
@@ -42,9 +45,9 @@ def flows_of(li: DataFrame) -> DataFrame:
     )
 
 
-def flows_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flows_signal(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     """``flows`` with byte features raised for attacks, so that detection rates differ by class."""
-    return signal_of(flows(spark, sf_dir))
+    return signal_of(flows(spark, sf_dir, heavy))
 
 
 def signal_of(df: DataFrame) -> DataFrame:
@@ -85,7 +88,7 @@ def log_of(ev: DataFrame) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``embeddings`` as a wide feature table: columns ``f0`` .. ``f63``; label 0 is benign."""
-    emb = table(spark, sf_dir, "embeddings")
+    emb = table(spark, sf_dir, "embeddings", heavy=True)
     return emb.select(
         "vec_id",
         *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(DIMENSIONS)],
