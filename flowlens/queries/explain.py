@@ -16,7 +16,8 @@ from flowlens.sources.views import FLOW_KEYS, flows_signal
 BACKGROUND = SCALED + f""", background as (select avg(x0) as b0, avg(x1) as b1, avg(x2) as b2 from (
     select x0, x1, x2 from scaled where label = 'BENIGN' order by {md5_of()}, {KEYS} limit 100)),
   phis as (select scaled.*, 0.5 * (x0 - b0) as p0, -1.25 * (x1 - b1) as p1, 2.0 * (x2 - b2) as p2,
-    0.5 * b0 - 1.25 * b1 + 2.0 * b2 - 0.25 as base from scaled cross join background)"""
+    0.5 * b0 - 1.25 * b1 + 2.0 * b2 - 0.25 as base, {LINEAR_SCORE} as raw, row_number() over () as rid
+    from scaled cross join background)"""
 
 
 def _explained(spark, sf_dir):
@@ -42,10 +43,10 @@ def x1_linear(spark, sf_dir):
 
 
 RANKED = BACKGROUND + f""", long_phis as (
-  select {KEYS}, 0 as i, 'flow_duration' as feature, p0 as phi, flow_duration as v from phis
-  union all select {KEYS}, 1, 'total_bytes', p1, total_bytes from phis
-  union all select {KEYS}, 2, 'iat_mean', p2, iat_mean from phis),
-  ranked as (select *, row_number() over (partition by {KEYS} order by abs(phi) desc, i) as place from long_phis)"""
+  select {KEYS}, rid, raw, 0 as i, 'flow_duration' as feature, p0 as phi, flow_duration as v from phis
+  union all select {KEYS}, rid, raw, 1, 'total_bytes', p1, total_bytes from phis
+  union all select {KEYS}, rid, raw, 2, 'iat_mean', p2, iat_mean from phis),
+  ranked as (select *, row_number() over (partition by rid order by abs(phi) desc, i) as place from long_phis)"""
 
 
 @query("x2_top_features", f"""with {RANKED} select {KEYS}, place::integer as place, feature, {r("phi", 5, "shap_value")},
@@ -56,12 +57,12 @@ def x2(spark, sf_dir):
     return rounded(out.select(*FLOW_KEYS, (F.col("place") + 1).alias("place"), "t.*"), 5)
 
 
-@query("x3_explain_batch", f"""with {RANKED} select l.*, {r("raw", 5, "anomaly_score")},
-  case when raw < 0 then 1 else 0 end as prediction from (select {KEYS},
+@query("x3_explain_batch", f"""with {RANKED} select {KEYS}, {r("max(raw)", 5, "anomaly_score")},
+  case when max(raw) < 0 then 1 else 0 end as prediction,
   max(feature) filter (place = 1) as top_1_feature, {r("max(phi) filter (place = 1)", 5, "top_1_contribution")},
   {r("max(v) filter (place = 1)", 5, "top_1_value")}, max(feature) filter (place = 2) as top_2_feature,
   {r("max(phi) filter (place = 2)", 5, "top_2_contribution")}, {r("max(v) filter (place = 2)", 5, "top_2_value")}
-  from ranked group by {KEYS}) l join (select {KEYS}, {LINEAR_SCORE} as raw from scaled) s using ({KEYS})""")
+  from ranked group by rid, {KEYS}""")
 def x3(spark, sf_dir):
     df = _three(spark, sf_dir)
     model = _linear_svm(df)
@@ -153,10 +154,9 @@ def x1_user(spark, sf_dir):
     return rounded(out.select(*FLOW_KEYS, F.col("shap")[1].alias("phi_total_bytes")), 5)
 
 
-@query("d25_score_flows_explained", f"""with {RANKED}, best as (select {KEYS}, feature from ranked where place = 1),
-  scores as (select {KEYS}, {LINEAR_SCORE} as raw from scaled)
-  select {KEYS}, case when raw < 0 then 'ATTACK' else 'BENIGN' end as prediction_label, feature as top_feature
-  from scores join best using ({KEYS})""")
+@query("d25_score_flows_explained", f"""with {RANKED} select {KEYS},
+  case when raw < 0 then 'ATTACK' else 'BENIGN' end as prediction_label, feature as top_feature
+  from ranked where place = 1""")
 def d25_explained(spark, sf_dir):
     df = _three(spark, sf_dir)
     model = _linear_svm(df)
