@@ -117,8 +117,15 @@ def correlation(df: DataFrame, features: list[str]) -> DataFrame:
         value = lambda i, j: float(matrix[i, j])
     else:
         pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
-        row = complete.agg(*[F.corr(features[i], features[j]).alias(f"r{i}_{j}") for i, j in pairs]).first()
-        value = lambda i, j: row[f"r{i}_{j}"]
+        # corr itself fails on a constant column under ANSI rules, so the division is done here, on a handful of numbers.
+        row = complete.agg(
+            *[F.covar_pop(features[i], features[j]).alias(f"c{i}_{j}") for i, j in pairs],
+            *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
+
+        def value(i: int, j: int) -> float | None:
+            spread = (row[f"s{i}"] or 0.0) * (row[f"s{j}"] or 0.0)
+            return max(-1.0, min(1.0, row[f"c{i}_{j}"] / spread)) if spread else None
+
     table = []
     for i in range(len(features)):
         for j in range(i + 1, len(features)):

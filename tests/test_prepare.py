@@ -308,3 +308,13 @@ def test_profile_report_writes_all_tables(spark, tmp_path):
     summary = tables["summary"].first()
     assert summary["duplicate_rows"] == 100
     assert summary["infinite_value_cols"] == 1 and summary["missing_value_cols"] == 1
+
+
+def test_correlation_of_a_constant_column_is_missing(spark):
+    from flowlens.operators import profile
+
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.0, 5.0), (3.0, 6.0, 5.0), (INF, 0.0, 5.0), (None, 1.0, 5.0)],
+                               "a double, b double, c double")
+    got = {(r["feature_a"], r["feature_b"]): r["r"] for r in profile.correlation(df, ["a", "b", "c"]).collect()}
+    assert got[("a", "b")] == pytest.approx(1.0) and got[("a", "c")] is None and got[("b", "c")] is None
+    assert all(r["r"] is None for r in profile.correlation(df.limit(0), ["a", "b", "c"]).collect())
