@@ -20,9 +20,11 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.llm.common import GROUP_CHARS, groups
@@ -227,7 +229,7 @@ def decode(df: DataFrame, column: str = "ids", out: str = "decoded", packed: str
         for batch in batches:
             ids = batch.column(column)
             values, ends = ids.flatten().to_numpy(zero_copy_only=False), np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False),
+            np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False),
                       out=ends[1:])
             texts, raw = [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
@@ -241,3 +243,10 @@ def decode(df: DataFrame, column: str = "ids", out: str = "decoded", packed: str
     kept = df.select(*rest)
     fields = [*kept.schema.fields, *(T.StructField(name, T.BinaryType()) for name in more)]
     return df.mapInArrow(run, T.StructType(fields))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """The digest of the query: doc_id, n_tokens, and hashes of the packed ids and of the decoded bytes."""
+    made = decode(encode(docs.select("doc_id", "text"), "text", "ids").drop("text"), "ids", "decoded", packed="packed")
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))

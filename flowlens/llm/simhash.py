@@ -166,11 +166,45 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def components_of(marked: DataFrame, scratch: Scratch) -> DataFrame:
-    """``marked(doc_id, fp, ...)`` with ``component_id``."""
+    """``marked(doc_id, fp, ...)`` with ``component_id`` and ``root``, a fingerprint that names the component."""
     counted = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     counted = scratch.keep(counted, "distinct-fingerprints")
     roots = link_fingerprints(counted.select("fp", "n"), scratch)
     rooted = counted.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = rooted.join(least, "root").select("fp", "component_id")
+    known = rooted.join(least, "root").select("fp", "component_id", "root")
     return marked.join(known, "fp")
+
+
+def keep_one(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """One row of each component, with the columns of ``docs``: the least doc_id, among equal ids the least text hash.
+
+    A null id goes last. Rows with the same id and text count once, whatever their other columns. Only ids and hashes are
+    grouped; the texts move once, to meet the kept ids.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    key = F.xxhash64(text)
+    marked = scratch.keep(fingerprints(docs.select("doc_id", key.alias("text_hash"), F.col(text).alias("text"))),
+                          "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    rows = components_of(marked, scratch).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    kept = rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), order).alias("k")).select("k.*")
+    kept = scratch.keep(kept, "kept")
+
+    def among(ids):
+        d, k = docs.alias("d"), ids.alias("k")
+        return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64(f"d.{text}") == F.col("k.text_hash")),
+                      "left_semi")
+
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return among(kept)
+    names = docs.columns
+    once = (among(repeated).withColumn("__key", F.xxhash64(text)).dropDuplicates(["doc_id", "__key"]).select(*names))
+    return among(kept.where("n = 1")).unionByName(once)
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """The digest of the query: doc_id, fingerprint, component_id."""
+    made = near_duplicates(docs)
+    return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
