@@ -37,7 +37,7 @@ class Rule:
     high: float | None = None
 
 
-#: The threshold table. Feature and scale name fields of ``with_features``.
+#: The threshold table. Feature and scale name fields of ``features``.
 RULES = [
     Rule("mean word length", "word_chars", "n_words", 2.0, 20.0),
     Rule("symbols per word", "n_symbols", "n_words", None, 0.25),
@@ -97,25 +97,27 @@ def _repeated(words: Column) -> Column:
     return let(hashes, count)
 
 
-def with_features(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``df`` with ``out``, a struct of all features of the text; null text counts as empty."""
-    rest = [F.col(name) for name in df.columns if name != out]
-    t, w, lines = F.col("__text"), F.col("__words"), F.col("__lines")
-    bound = df.select(*rest, F.coalesce(F.col(column), F.lit("")).alias("__text"))
-    bound = bound.select("*", words_of(t).alias("__words"),
-                         F.filter(F.split(t, "\n"), lambda line: _trim(line) != "").alias("__lines"))
-    return bound.select(*rest, F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        (F.size(F.split(t, "[#*$%&|<>]")) - 1).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeated(w).cast("long").alias("n_repeat_words"),
-        F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        (F.size(F.split(t, "[A-Z]")) - 1).cast("long").alias("n_capitals"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…"))).cast("long").alias("n_ellipsis_lines"),
-        F.size(F.filter(lines, lambda x: F.substring(x, 1, 1).isin("-", "•", "*"))).cast("long")
-        .alias("n_bullet_lines")).alias(out))
+def features(text: Column) -> Column:
+    """The struct of all features of a text as one expression; text, words and lines are computed once."""
+    def counts(t, w, lines):
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            (F.size(F.split(t, "[#*$%&|<>]")) - 1).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            _repeated(w).cast("long").alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+            (F.size(F.split(t, "[A-Z]")) - 1).cast("long").alias("n_capitals"),
+            F.size(lines).cast("long").alias("n_lines"),
+            F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…"))).cast("long").alias("n_ellipsis_lines"),
+            F.size(F.filter(lines, lambda x: F.substring(x, 1, 1).isin("-", "•", "*"))).cast("long")
+            .alias("n_bullet_lines"))
+
+    def lines_of(t):
+        return F.filter(F.split(t, "\n"), lambda line: _trim(line) != "")
+
+    return let(F.coalesce(text, F.lit("")),
+               lambda t: let(words_of(t), lambda w: let(lines_of(t), lambda lines: counts(t, w, lines))))
 
 
 def _base_failed(f) -> Column:
@@ -139,14 +141,15 @@ def judge(df: DataFrame, column: str = "text", out: str = "quality", rules: list
     Null and empty texts have no words and fail; rows are independent, so repeated rows are judged alike and an empty
     table stays empty. A column already named ``out`` is replaced.
     """
-    judged = with_features(df, column, out)
-    def f(name):
-        return F.col(out)[name]
-
-    verdict = compile_rules(RULES if rules is None else rules, f)
-    return judged.withColumn(out, F.struct(*[f(name).alias(name) for name in FEATURES],
-                                           _base_failed(f).alias("base_failed"),
-                                           (~_base_failed(f) & verdict).alias("kept")))
+    def verdict(q):
+        def f(name):
+            return q[name]
+
+        failed, fits = _base_failed(f), compile_rules(RULES if rules is None else rules, f)
+        return F.struct(*[f(name).alias(name) for name in FEATURES], failed.alias("base_failed"),
+                        (~failed & fits).alias("kept"))
+
+    return df.withColumn(out, let(features(F.col(column)), verdict))
 
 
 def report(docs: DataFrame) -> DataFrame:
