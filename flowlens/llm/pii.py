@@ -54,23 +54,58 @@ _KNOWN = {form for word in [*TITLES, *(name for names in GIVEN.values() for name
           for form in (word, word.upper())}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-# Order is precedence where matches begin at one place.
-_KINDS = [
-    ("email", r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}"),
-    ("secret", r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]*[=:][ \t]*[\"']?)"
-               r"(?P<value>[A-Za-z0-9_/+.\-]{6,})"),
-    ("key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
-    ("hex", r"\b[0-9a-fA-F]{32,}\b"),
-    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("ip", rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d)"),
-    ("ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
-    ("card", r"(?<![\w+])(?:\d[ -]?){12,18}\d(?!\w)"),
-    ("phone", r"(?<![\w.])(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?\(\d{1,5}\)[ .-]?\d{2,5}(?:[ .-]?\d{2,5}){1,3}"
-              r"|\+\d{1,3}(?:[ .-]\d{2,5}){2,5}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)"),
-]
-_ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _KINDS))
-# Only lines with one of these can hold an entity of the kinds above; no entity goes over a line's end.
-_HINT = re.compile(r"[^\n]*[0-9@=:][^\n]*")
+# Each kind is looked for from characters it must have, so that ordinary prose is passed over quickly. Where matches
+# overlap the leftmost counts, then the kind that comes first here.
+KINDS = ["email", "secret", "key", "hex", "iban", "ip", "ssn", "card", "phone"]
+_EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}")
+_SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "accesskey",
+                 "access_key", "access-key")
+_ASSIGNED = re.compile(r"[=:]")
+_VALUE = re.compile(r"[ \t]*[\"']?([A-Za-z0-9_/+.\-]{6,})")
+_KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}\b")
+_HEX = re.compile(r"[0-9a-fA-F]{32,}\b")
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
+_NUMBER_START = re.compile(r"[+(]|\d+")
+_NUMBER = re.compile(
+    rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d))|(?P<ssn>\b\d{{3}}-\d{{2}}-\d{{4}}\b)"
+    r"|(?P<card>(?<![\w+])(?:\d[ -]?){12,18}\d(?!\w))"
+    r"|(?P<phone>(?<![\w.])(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?\(\d{1,5}\)[ .-]?\d{2,5}(?:[ .-]?\d{2,5}){1,3}"
+    r"|\+\d{1,3}(?:[ .-]\d{2,5}){2,5}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w))")
+
+
+def _word_before(text: str, at: int) -> bool:
+    return at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_")
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Values assigned to a name that ends like a credential's."""
+    for sign in _ASSIGNED.finditer(text):
+        end = sign.start()
+        while end and text[end - 1] in " \t":
+            end -= 1
+        if text[max(0, end - 12) : end].lower().endswith(_SECRET_NAMES) and (value := _VALUE.match(text, sign.end())):
+            yield value.span(1)
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
+    """Addresses, cards, phones; none begins inside a run of digits."""
+    at = 0
+    while start := _NUMBER_START.search(text, at):
+        match = _NUMBER.match(text, start.start())
+        at = match.end() if match else start.end()
+        if match:
+            yield *match.span(), match.lastgroup
+
+
+def _formats(text: str) -> Iterator[tuple[int, int, str]]:
+    if "@" in text:
+        yield from ((*m.span(), "email") for m in _EMAIL.finditer(text))
+    yield from ((a, b, "secret") for a, b in _secrets(text))
+    for kind, pattern in (("key", _KEY), ("hex", _HEX), ("iban", _IBAN)):
+        yield from ((*m.span(), kind) for m in pattern.finditer(text) if not _word_before(text, m.start()))
+    yield from _numbers(text)
+
+
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w’'-]*"
 _NAMES = re.compile(rf"\b{_CAPITAL}(?:\.? {_CAPITAL})+")
 _TOKEN = re.compile(_CAPITAL)
@@ -113,17 +148,15 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, normalised value)`` of the entities of a text, in order and without overlap."""
-    found = []
-    for line in _HINT.finditer(text):
-        for match in _ANY.finditer(text, line.start(), line.end()):
-            kind = match.lastgroup if match.lastgroup != "value" else "secret"
-            start, end = match.span("value") if kind == "secret" else match.span()
-            found.append((start, end, kind, _normal(kind, text[start:end])))
-    names = sorted(set(_names(text)))
-    if names and found:
-        taken = [(a, b) for a, b, _, _ in found]
-        names = [x for x in names if not any(x[0] < b and a < x[1] for a, b in taken)]
-    return sorted(found + names) if names else found
+    rank = {kind: i for i, kind in enumerate(KINDS)}
+    found = [(a, rank[kind], b, kind, _normal(kind, text[a:b])) for a, b, kind in _formats(text)]
+    found += [(a, len(KINDS), b, kind, value) for a, b, kind, value in set(_names(text))]
+    kept, end = [], 0
+    for a, _, b, kind, value in sorted(found):
+        if a >= end:
+            kept.append((a, b, kind, value))
+            end = b
+    return kept
 
 
 def _script(value: str) -> str:
