@@ -38,9 +38,8 @@ def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, n_tokens, ids`` and whether the ids decode to the text (a null text counts as empty)."""
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", "ids")
-    both = bpe.decode(encoded, "ids", "decoded")
-    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+    made = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", "ids", decoded="decoded")
+    return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
 

@@ -30,7 +30,9 @@ from pyspark.sql import types as T
 from flowlens.llm.common import GROUP_CHARS, groups
 
 #: Distinct pre-tokens a task remembers; about 250 bytes each.
-MEMO = 800_000
+MEMO = 200_000
+#: Bytes of text of one batch of results; a longer text is a batch of its own.
+SLICE = 1_000_000
 _MASK = (1 << 64) - 1
 
 
@@ -174,6 +176,11 @@ class Vocabulary:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
+    def decode_packed(self, packed: bytes) -> bytes:
+        """As ``decode``, from little-endian unsigned 32-bit integers, a bounded part at a time."""
+        return b"".join(self.decode(np.frombuffer(packed[i : i + 4 * SLICE], "<u4").tolist())
+                        for i in range(0, len(packed), 4 * SLICE))
+
 
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -192,26 +199,46 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def encode(df: DataFrame, column: str = "text", out: str = "ids", path: str | None = None,
-           pattern: str | None = None) -> DataFrame:
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``SLICE`` bytes of text, so that results never gather for a whole batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > SLICE:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    yield batch.slice(start)
+
+
+def encode(df: DataFrame, column: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None,
+           packed: str | None = None, decoded: str | None = None) -> DataFrame:
     """``df`` with ``out``, the token ids of ``column`` as an array of int; null text has no ids, special tokens are text.
 
-    A column already named ``out`` is replaced. Rows are independent: repeated rows, ties and empty tables need no care.
+    ``packed`` names one more column for the ids as little-endian unsigned 32-bit integers, ``decoded`` one for the bytes
+    that the ids decode to, made in the same pass. A column with one of these names is replaced. Rows are independent:
+    repeated rows, ties and empty tables need no care.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
-    rest = [name for name in df.columns if name != out]
+    extra = [name for name in (packed, decoded) if name]
+    rest = [name for name in df.columns if name not in (out, *extra)]
 
     def run(batches):
         vocab = vocabulary(path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, column)):
             texts = [text or "" for text in batch.column(column).to_pylist()]
-            packed = list(vocab.encode_all(texts))
-            ends = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in rest] + [ids], names=rest + [out])
+            rows = list(vocab.encode_all(texts))
+            ends = np.cumsum([0] + [len(p) // 4 for p in rows]).astype(np.int32)
+            made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))]
+            if packed:
+                made.append(pa.array(rows, pa.binary()))
+            if decoded:
+                made.append(pa.array([vocab.decode_packed(p) for p in rows], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in rest] + made, names=[*rest, out, *extra])
 
-    kept = df.select(*rest)
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    fields = [*df.select(*rest).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())),
+              *(T.StructField(name, T.BinaryType()) for name in extra)]
+    return df.select(*dict.fromkeys([*rest, column])).mapInArrow(run, T.StructType(fields))
 
 
 def decode(df: DataFrame, column: str = "ids", out: str = "decoded", packed: str | None = None,
@@ -247,6 +274,6 @@ def decode(df: DataFrame, column: str = "ids", out: str = "decoded", packed: str
 
 def report(docs: DataFrame) -> DataFrame:
     """The digest of the query: doc_id, n_tokens, and hashes of the packed ids and of the decoded bytes."""
-    made = decode(encode(docs.select("doc_id", "text"), "text", "ids").drop("text"), "ids", "decoded", packed="packed")
+    made = encode(docs.select("doc_id", "text"), "text", "ids", packed="packed", decoded="decoded")
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

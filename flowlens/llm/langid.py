@@ -29,7 +29,7 @@ ROUNDS, SMOOTHING = 4, 0.05
 #: Letter runs longer than this are scored in parts.
 LONGEST = 24
 #: Distinct words a task remembers.
-MEMO = 600_000
+MEMO = 200_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
