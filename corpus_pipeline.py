@@ -51,7 +51,8 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: SimHash, surrogates and byte pairs have no SQL; tests compare the stages with brute force.
+#: SimHash, surrogates and byte pairs have no SQL; tests compare the kept rows with the reports of the operators, which
+#: have tests of their own.
 ORACLE_SQL = None
 
 
