@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from flowlens.operators.ordering import with_position
 from flowlens.spec import BENIGN
 
 ORIGINAL = "label_original"
-MAX_LABELS = 10_000
 
 
 def encode_binary(df: DataFrame, label: str = "label", benign: str = BENIGN) -> DataFrame:
@@ -22,28 +21,21 @@ def encode_binary(df: DataFrame, label: str = "label", benign: str = BENIGN) ->
 
 
 def label_mapping(df: DataFrame, label: str = "label") -> DataFrame:
-    """L2: (label, code) with codes 0..k-1 in text order."""
+    """L2: (label, code) with codes 0..k-1 in text order (UTF-8 bytes); the place in a global order, never one task."""
     distinct = df.select(label).where(F.col(label).isNotNull()).distinct()
-    return distinct.select(label, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("int").alias("code"))
+    return with_position(distinct, [F.col(label).asc()], "code").select(label, F.col("code").cast("int").alias("code"))
 
 
 def encode_multiclass(df: DataFrame, label: str = "label") -> DataFrame:
-    """L2 applied: the label column becomes its code. The mapping is learned once and folded into the plan."""
+    """L2 applied: the label column becomes its code, a missing label stays missing.
+
+    The codes are a table for any number of labels; whether it is sent along or shuffled is the planner's choice.
+    """
     if label not in df.columns:
         return df
-    known = df.select(label).where(F.col(label).isNotNull()).distinct().limit(MAX_LABELS + 1).collect()
-    if len(known) > MAX_LABELS:
-        # Too many labels for literals: the indexer holds them in a broadcast model.
-        model = StringIndexer(inputCol=label, outputCol="_code", stringOrderType="alphabetAsc",
-                              handleInvalid="skip").fit(df)
-        coded = model.transform(df)
-        return coded.withColumns({ORIGINAL: F.col(label), label: F.col("_code").cast("int")}).drop("_code")
-    if not known:
-        return df.withColumns({ORIGINAL: F.col(label), label: F.lit(None).cast("int")})
-    # UTF-8 byte order, as the engine sorts text.
-    ordered = sorted((r[0] for r in known), key=lambda s: s.encode())
-    codes = F.create_map(*[F.lit(x) for pair in ((t, i) for i, t in enumerate(ordered)) for x in pair])
-    return df.withColumns({ORIGINAL: F.col(label), label: F.element_at(codes, F.col(label))})
+    codes = label_mapping(df, label).select(F.col(label).alias("_known"), F.col("code").alias("_code"))
+    coded = df.join(codes, F.col(label) == F.col("_known"), "left")
+    return coded.withColumns({ORIGINAL: F.col(label), label: F.col("_code")}).drop("_known", "_code")
 
 
 def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:

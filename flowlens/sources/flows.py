@@ -46,34 +46,70 @@ def _header(names: list[str]) -> list[str]:
     return out
 
 
+def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
+    """The files behind ``paths`` in groups of one header line, since a scan takes the header of one file for all.
+
+    Several files cost one pass over their text; a single file is not looked at.
+    """
+    lines = spark.read.text(paths)
+    if len(lines.inputFiles()) < 2:
+        return [paths]
+    # Ids ascend with the lines of a split, so the least one of a file's first split is its header.
+    first = (lines.where("_metadata.file_block_start = 0")
+             .select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+             .groupBy("file").agg(F.min_by("value", "at").alias("header")))
+    groups: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        groups.setdefault(row["header"], []).append(row["file"])
+    return list(groups.values()) if len(groups) > 1 else [paths]
+
+
+def _decoded(spark: SparkSession, paths: list[str]) -> tuple[list[DataFrame], dict[str, int]]:
+    """(files of one header as scans in their encodings, per column: values that are no numbers less those that are)."""
+    raw = _scan(spark, paths, "UTF-8")
+    if any(REPLACEMENT in c for c in raw.columns):
+        raw = _scan(spark, paths, "ISO-8859-1")
+    cells = [F.col(f"`{c}`") for c in raw.columns]
+    marked = F.concat_ws("", *cells).contains(REPLACEMENT)
+    balance = [F.sum(F.when(c.try_cast("double").isNotNull(), -1).when(F.trim(c) != "", 1).otherwise(0)).alias(f"b{i}")
+               for i, c in enumerate(cells)]
+    seen = raw.select("*", F.when(marked, F.col("_metadata.file_path")).alias("_broken")).agg(
+        F.collect_set("_broken").alias("broken"), *balance).first()
+    balances = {c: seen[f"b{i}"] or 0 for i, c in enumerate(raw.columns)}
+    if not seen["broken"]:
+        return [raw], balances
+    good = raw.where(~F.col("_metadata.file_path").isin(seen["broken"]))
+    return [good, _scan(spark, seen["broken"], "ISO-8859-1")], balances
+
+
 def read_flows(spark: SparkSession, paths: str | list[str], text: list[str] | None = None,
                label: str = "Label", with_file: bool = False) -> DataFrame:
-    """Every column but metadata, label and ``text`` as double; ``inf``, ``-inf`` and ``nan`` are understood.
+    """Numbers as double; ``inf``, ``-inf`` and ``nan`` are understood. Every file is read by its own header.
 
-    Files are read as UTF-8. The reader never fails on invalid bytes but marks them, so files with a mark in a text
-    column or header are read again as ISO-8859-1.
+    Metadata, label and ``text`` columns stay text, and so does a column in which more values are no numbers than are; a
+    stray text in a column of numbers is missing. A column that a file lacks is missing there. Files are read as UTF-8;
+    the reader never fails on invalid bytes but marks them, so files with a mark are read again as ISO-8859-1.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     try:
-        utf8 = _scan(spark, paths, "UTF-8")
+        groups = _by_header(spark, paths)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"no flow file at {paths}") from error
         raise
-    texts = [c for c in utf8.columns if c in METADATA_COLUMNS or c == label or c in (text or [])]
-    if any(REPLACEMENT in c for c in utf8.columns):
-        return _typed(_scan(spark, paths, "ISO-8859-1"), texts, label, with_file)
-    broken: list[str] = []
-    if texts:
-        marked = F.lit(False)
-        for c in texts:
-            marked = marked | F.coalesce(F.col(f"`{c}`").contains(REPLACEMENT), F.lit(False))
-        broken = [r[0] for r in utf8.where(marked).select("_metadata.file_path").distinct().collect()]
-    if not broken:
-        return _typed(utf8, texts, label, with_file)
-    good = utf8.where(~F.col("_metadata.file_path").isin(broken))
-    latin = _scan(spark, broken, "ISO-8859-1")
-    return _typed(good, texts, label, with_file).unionByName(_typed(latin, texts, label, with_file))
+    scans: list[DataFrame] = []
+    balances: dict[str, int] = {}
+    for group in groups:
+        own, found = _decoded(spark, group)
+        scans += own
+        for c, n in found.items():
+            balances[c] = balances.get(c, 0) + n
+    texts = [c for c, n in balances.items() if c in METADATA_COLUMNS or c == label or c in (text or []) or n > 0]
+    out = None
+    for scan in scans:
+        typed = _typed(scan, texts, label, with_file)
+        out = typed if out is None else out.unionByName(typed, allowMissingColumns=True)
+    return out
 
 
 def _typed(raw: DataFrame, texts: list[str], label: str, with_file: bool) -> DataFrame:
@@ -92,7 +128,7 @@ def _typed(raw: DataFrame, texts: list[str], label: str, with_file: bool) -> Dat
 
 def read_days(spark: SparkSession, folder: str, catalog: dict[str, tuple[str, str]] | None = None,
               label: str = "Label") -> DataFrame:
-    """All day files in one scan, with ``day`` and ``attack_category`` looked up by file or folder name."""
+    """All day files, with ``day`` and ``attack_category`` looked up by file or folder name."""
     catalog = DAY_CATALOG if catalog is None else catalog
     flows = read_flows(spark, [f"{folder.rstrip('/')}/{file}" for file, _ in catalog.values()], label=label,
                        with_file=True)

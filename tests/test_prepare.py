@@ -54,6 +54,17 @@ def test_read_flows_numbers_headers_and_encoding(spark, tmp_path):
     assert math.isnan(other[1]) and other[2] is None and other[3] == "Web Attack - XSS"
 
 
+def test_read_flows_by_each_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Proto,x,y,Label\nTCP,1,2,BENIGN\n,3,4,BENIGN\n")
+    (tmp_path / "b.csv").write_text("Proto,y,x,Label\nUDP,20,10,DoS\n")
+    (tmp_path / "c.csv").write_text("Proto,x,Label\n,7,DoS\n")
+    df = read_flows(spark, str(tmp_path))
+    assert dict(df.dtypes)["Proto"] == "string" and dict(df.dtypes)["x"] == "double"
+    got = {(r["Proto"], r["x"], r["y"], r["Label"]) for r in df.collect()}
+    assert got == {("TCP", 1.0, 2.0, "BENIGN"), (None, 3.0, 4.0, "BENIGN"), ("UDP", 10.0, 20.0, "DoS"),
+                   (None, 7.0, None, "DoS")}
+
+
 def test_read_flows_missing_file(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_flows(spark, str(tmp_path / "none.csv"))
@@ -205,6 +216,14 @@ def test_multiclass_codes_follow_text_order(spark):
     assert {tuple(r) for r in labels.label_mapping(df).collect()} == set(out.items())
 
 
+def test_multiclass_keeps_missing_labels(spark):
+    df = spark.range(12_000).select(F.format_string("%05d", "id").alias("label")).unionByName(
+        spark.createDataFrame([(None,), (None,)], "label string"))
+    out = labels.encode_multiclass(df)
+    assert out.count() == 12_002 and out.where("label is null and label_original is null").count() == 2
+    assert out.where("label <> int(label_original)").isEmpty()
+
+
 def test_scaler_edge_cases(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     standard = FlowScaler(["a", "b"]).fit(df)
