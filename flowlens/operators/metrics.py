@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.numeric import is_infinite, ratio
-from flowlens.operators.ordering import running_sums
+from flowlens.operators.ordering import join_groups, running_sums
 from flowlens.operators.quantiles import exact_percentiles
 from flowlens.spec import BENIGN
 
@@ -73,7 +73,7 @@ def roc_points(df: DataFrame, by: list[str] | None = None, score: str = "anomaly
     groups = _score_groups(df, by, score, label)
     running = running_sums(groups, [F.col(score).desc()], {"tp": "p", "fp": "q"}, by)
     totals = groups.groupBy(*by).agg(F.sum("p").alias("_P"), F.sum("q").alias("_N"))
-    joined = running.join(totals, by) if by else running.select(
+    joined = join_groups(running, totals, by) if by else running.select(
         "*", totals.select("_P").scalar().alias("_P"), totals.select("_N").scalar().alias("_N"))
     points = joined.select(*by, ratio(F.col("fp"), F.col("_N")).alias("fpr"),
                            ratio(F.col("tp"), F.col("_P")).alias("tpr"), F.col(score).alias("threshold"))
@@ -111,7 +111,7 @@ def fixed4(column: Column) -> Column:
 def performance_summary(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """M6: M2 and M4 as text with four decimals."""
     by = by or ["model"]
-    rated = classification_metrics(df, by).join(auc(df, by), by)
+    rated = join_groups(classification_metrics(df, by), auc(df, by), by)
     named = {"Accuracy": "accuracy", "Precision": "precision", "Recall": "recall", "F1_Score": "f1", "AUC": "auc",
              "Specificity": "specificity", "FPR": "fpr", "FNR": "fnr"}
     return rated.select(

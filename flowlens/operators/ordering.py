@@ -15,6 +15,15 @@ def ordered_parts(df: DataFrame, order: list[Column]) -> DataFrame:
     return materialise(parted, "ordered")
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join on ``by`` where a missing key equals a missing key; the keys are those of ``left``."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in by else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_r_{b}"))
+    return left.join(other, same).drop(*[f"_r_{b}" for b in by])
+
+
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], by: list[str]) -> DataFrame:
     """Inclusive running sums ``{output: input}`` over ``order`` within ``by``.
 
@@ -29,7 +38,7 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], by: l
     )
     local = Window.partitionBy(PART, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     running = parts.select("*", *[F.sum(src).over(local).alias(f"_l_{out}") for out, src in sums.items()])
-    joined = running.join(offsets, [PART, *by])
+    joined = join_groups(running, offsets, [PART, *by])
     return joined.select(*df.columns, *[(F.col(f"_l_{out}") + F.col(f"_o_{out}")).alias(out) for out in sums])
 
 

@@ -187,3 +187,13 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     table, progress = drain_to_table(monitor.drift_by_bucket(stream, base, watermark="1 hour"), output_mode="update")
     assert late_rows(progress) >= 1
     assert table.select("bucket_start").distinct().count() == 2
+
+
+def test_missing_group_keeps_its_curve(spark):
+    df = spark.createDataFrame([(m, float(i), int(i > 4)) for m in ("a", None) for i in range(10)],
+                               "model string, anomaly_score double, label int")
+    assert {(r["model"], r["auc"]) for r in metrics.auc(df, ["model"]).collect()} == {("a", 1.0), (None, 1.0)}
+    assert {(r["model"], r["count"]) for r in metrics.roc_points(df, ["model"]).groupBy("model").count().collect()} == {
+        ("a", 11), (None, 11)}
+    flagged = df.withColumn("prediction", F.col("label"))
+    assert metrics.performance_summary(flagged, ["model"]).count() == 2
