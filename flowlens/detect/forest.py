@@ -78,23 +78,27 @@ class IsolationForest:
     def _nodes(self, df: DataFrame, n: int, psi: int) -> DataFrame:
         seed, d, depth = self.seed, len(self.features), math.ceil(math.log2(psi))
         chosen = max(1, int(self.max_features * d))
-        pool_rows = 8 * self.n_trees * psi
-        pool_share = min(1.0, pool_rows / n)
-        draw = min(1.0, 2.0 * psi / (n * pool_share))
+        # Twice the sample and a margin, so that a root is never short.
+        wanted = 2 * psi + 40
+        pool_share = min(1.0, 4.0 * self.n_trees * wanted / n)
+        draw = min(1.0, wanted / (n * pool_share))
         x = prepared(self.features, self.scaler)
         hashed = df.select(
             F.array(*[x[f] for f in self.features]).alias("x"),
             F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in self.keys],
                               *[F.col(f).cast("string") for f in self.features], F.lit(str(seed)))).alias("h"))
-        pool = hashed.where(unit_interval(F.col("h")) < pool_share) if pool_share < 1 else hashed
-        # Full copies are one row with a weight. Systematic draw: floor(weight * share + u) copies per tree.
-        weighted = pool.groupBy("h", "x").agg(F.count("*").alias("m"))
+        # Full copies are one row with a weight. The pool keeps floor(weight * share + u) copies of it, a tree draws from
+        # those in the same way: a value held by many rows has its share in the pool and in every root.
+        weighted = hashed.groupBy("h", "x").agg(F.count("*").alias("m"))
+        if pool_share < 1:
+            kept = F.floor(F.col("m") * F.lit(pool_share) + unit_interval(F.col("h")))
+            weighted = weighted.select("h", "x", kept.alias("m")).where("m > 0")
 
         def uniform(t: Column) -> Column:
             return F.pmod(F.xxhash64(F.col("h"), t), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
         def copies(t: Column) -> Column:
-            return F.least(F.floor(F.col("m") * F.lit(draw) + uniform(t)), F.lit(psi)).cast("int")
+            return F.floor(F.col("m") * F.lit(draw) + uniform(t)).cast("int")
 
         trees = F.sequence(F.lit(0), F.lit(self.n_trees - 1))
         hit = F.filter(F.transform(trees, lambda t: F.struct(t.alias("tree"), copies(t).alias("n"))),

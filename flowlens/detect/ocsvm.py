@@ -38,14 +38,19 @@ def pooled_gamma(df: DataFrame, features: list[str], rule: str | float = "scale"
 
 
 def gamma_table(df: DataFrame, features: list[str]) -> DataFrame:
-    """D6 as one row, from one pass; the variance pools every entry of the matrix."""
-    sums = df.agg(*[F.var_pop(f).alias(f"v{i}") for i, f in enumerate(features)],
-                  *[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)])
+    """D6 as one row, from one pass; the variance pools every entry of the matrix that is not missing."""
+    sums = df.agg(*[F.coalesce(F.var_pop(f), F.lit(0.0)).alias(f"v{i}") for i, f in enumerate(features)],
+                  *[F.coalesce(F.avg(f), F.lit(0.0)).alias(f"m{i}") for i, f in enumerate(features)],
+                  *[F.count(f).cast("double").alias(f"n{i}") for i, f in enumerate(features)])
     d = float(len(features))
-    within = sum((F.col(f"v{i}") for i in range(len(features))), F.lit(0.0)) / d
-    center = sum((F.col(f"m{i}") for i in range(len(features))), F.lit(0.0)) / d
-    between = sum((F.pow(F.col(f"m{i}") - center, F.lit(2.0)) for i in range(len(features))), F.lit(0.0)) / d
-    variance = within + between
+
+    def pooled(value) -> Column:
+        return sum((F.col(f"n{i}") * value(i) for i in range(len(features))), F.lit(0.0)) / F.col("entries")
+
+    sums = sums.withColumn("entries", sum((F.col(f"n{i}") for i in range(len(features))), F.lit(0.0)))
+    sums = sums.withColumn("entries", F.when(F.col("entries") > 0, F.col("entries")))
+    sums = sums.withColumn("center", pooled(lambda i: F.col(f"m{i}")))
+    variance = pooled(lambda i: F.col(f"v{i}") + F.pow(F.col(f"m{i}") - F.col("center"), F.lit(2.0)))
     return sums.select(
         F.when(variance > 0, 1.0 / (d * variance)).otherwise(F.lit(1.0)).alias("gamma_scale"),
         F.lit(1.0 / d).alias("gamma_auto"))

@@ -178,10 +178,10 @@ def d5(spark, sf_dir):
 
 
 @query("d6_gamma_rule", f"""with {SIGNAL}, entries as (select unnest([flow_duration, total_bytes / 1000, iat_mean * 100]) as v
-    from signal where iat_mean is not null)
+    from signal)
   select {r("1.0 / (3 * var_pop(v))", 8, "gamma_scale")}, {r("1.0 / 3", 8, "gamma_auto")} from entries""")
 def d6(spark, sf_dir):
-    df = flows_signal(spark, sf_dir).where(F.col("iat_mean").isNotNull()).select(
+    df = flows_signal(spark, sf_dir).select(
         "flow_duration", (F.col("total_bytes") / 1000).alias("total_bytes"), (F.col("iat_mean") * 100).alias("iat_mean"))
     return rounded(ocsvm.gamma_table(df, THREE), 8)
 
@@ -480,7 +480,7 @@ def d24(spark, sf_dir):
 SCORED_SQL = f"""scores as (select *, {LINEAR_SCORE} as raw from scaled), reported as (select *,
   case when raw < 0 then 1 else 0 end as prediction, least(100.0, greatest(0.0, abs(raw) * 100.0))::double as confidence
   from scores)"""
-ATTACK_TEXT = ("'\U0001F6A8 ATTACK DETECTED: This network flow shows anomalous behavior. Key indicator: ''' || 'unknown' || "
+ATTACK_TEXT = ("'🚨 ATTACK DETECTED: This network flow shows anomalous behavior. Key indicator: ''' || 'unknown' || "
                "''' deviates significantly from normal patterns. Confidence: ' || printf('%.1f', confidence) || "
                "'%. Recommend blocking or investigating this flow.'")
 BENIGN_TEXT = ("'✅ BENIGN TRAFFIC: This network flow appears normal. Confidence: ' || printf('%.1f', confidence) || "

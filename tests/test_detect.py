@@ -262,3 +262,21 @@ def test_vae_given_weights_without_hidden_layers():
     model = VariationalAutoencoderModel.from_weights(parts, np.array([1.0, 0, 0, 0, 0, 0, 1.0, 0, 0, 0]), ["a", "b"],
                                                      None, 0.5)
     assert model.matrix_score()(np.array([[2.0, 0.0]]))[0] == pytest.approx(0.5 * 0.5 * 4.0)
+
+
+def test_half_of_all_rows_are_copies(spark):
+    df = spark.range(60_000).select(F.when(F.col("id") < 30_000, 0).otherwise(F.col("id")).alias("k")).select(
+        "k", *[(F.pmod(F.xxhash64("k", F.lit(i)), F.lit(1000)) / 1000.0).alias(f) for i, f in enumerate("ab")])
+    copy = df.where("k = 0").first()
+    forest = IsolationForest(["a", "b"], ["k"], n_trees=10, max_samples=64, contamination="auto").fit(df)
+    roots = forest.table["size"][forest.table["node"] == 0]
+    assert len(roots) == 10 and set(roots) == {64}
+    # equal rows end in one leaf: its size is the number of copies in a root
+    largest = [max(forest.table["size"][(forest.table["tree"] == t) & (forest.table["feature"] < 0)]) for t in range(10)]
+    assert copy["k"] == 0 and 22 <= np.mean(largest) <= 42
+
+
+def test_pooled_gamma_skips_missing_entries(spark):
+    df = spark.createDataFrame([(1.0, 10.0), (2.0, None), (4.0, 30.0), (None, 50.0)], "a double, b double")
+    entries = np.array([1, 2, 4, 10, 30, 50])
+    assert pooled_gamma(df, ["a", "b"]) == pytest.approx(1 / (2 * entries.var()))
