@@ -95,7 +95,7 @@ def label_text(prediction: Column) -> Column:
 def explanation_text(prediction: Column, top_feature: Column, confidence: Column) -> Column:
     """One sentence per row. The wording below is a fixed value."""
     attack = F.format_string(
-        "\U0001F6A8 ATTACK DETECTED: This network flow shows anomalous behavior. "
+        "🚨 ATTACK DETECTED: This network flow shows anomalous behavior. "
         "Key indicator: '%s' deviates significantly from normal patterns. "
         "Confidence: %.1f%%. Recommend blocking or investigating this flow.",
         top_feature, confidence,

@@ -9,92 +9,86 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from flowlens.operators.sampling import mark_lowest, sample_n
 from flowlens.spec import safe_name
 
-# Mean of each generated feature; integers marked "count" follow a Poisson law, the others an exponential.
-FEATURE_LAWS = """
-Flow Duration 5000
-Total Fwd Packets 10 count
-Total Backward Packets 8 count
-Total Length of Fwd Packets 1000
-Total Length of Bwd Packets 800
-Fwd Packet Length Max 500
-Fwd Packet Length Min 50
-Fwd Packet Length Mean 200
-Fwd Packet Length Std 100
-Bwd Packet Length Max 450
-Bwd Packet Length Min 40
-Bwd Packet Length Mean 180
-Bwd Packet Length Std 90
-Flow Bytes/s 10000
-Flow Packets/s 100
-Flow IAT Mean 1000
-Flow IAT Std 500
-Flow IAT Max 2000
-Flow IAT Min 100
-Fwd IAT Total 5000
-Fwd IAT Mean 1000
-Fwd IAT Std 500
-Fwd IAT Max 2000
-Fwd IAT Min 100
-Bwd IAT Total 4500
-Bwd IAT Mean 900
-Bwd IAT Std 450
-Bwd IAT Max 1800
-Bwd IAT Min 90
-Fwd PSH Flags 1 count
-Bwd PSH Flags 1 count
-Fwd URG Flags 0.1 count
-Bwd URG Flags 0.1 count
-Fwd Header Length 40 count
-Bwd Header Length 35 count
-Fwd Packets/s 50
-Bwd Packets/s 40
-Min Packet Length 40
-Max Packet Length 500
-Packet Length Mean 200
-Packet Length Std 100
-Packet Length Variance 10000
-FIN Flag Count 1 count
-SYN Flag Count 1 count
-RST Flag Count 0.2 count
-PSH Flag Count 2 count
-ACK Flag Count 10 count
-URG Flag Count 0.1 count
-CWE Flag Count 0.1 count
-ECE Flag Count 0.1 count
-Down/Up Ratio 1
-Average Packet Size 200
-Avg Fwd Segment Size 180
-Avg Bwd Segment Size 160
-Fwd Header Length.1 40 count
-Subflow Fwd Packets 10 count
-Subflow Fwd Bytes 1000
-Subflow Bwd Packets 8 count
-Subflow Bwd Bytes 800
-Init_Win_bytes_forward 8000
-Init_Win_bytes_backward 7000
-act_data_pkt_fwd 5 count
-min_seg_size_forward 20
-Active Mean 1000
-Active Std 500
-Active Max 2000
-Active Min 100
-Idle Mean 5000
-Idle Std 2500
-Idle Max 10000
-Idle Min 500
-"""
+# Name, mean and law of each generated feature; counts follow a Poisson law.
+FEATURE_LAWS = [
+    ("Flow Duration", 5000, "exponential"),
+    ("Total Fwd Packets", 10, "count"),
+    ("Total Backward Packets", 8, "count"),
+    ("Total Length of Fwd Packets", 1000, "exponential"),
+    ("Total Length of Bwd Packets", 800, "exponential"),
+    ("Fwd Packet Length Max", 500, "exponential"),
+    ("Fwd Packet Length Min", 50, "exponential"),
+    ("Fwd Packet Length Mean", 200, "exponential"),
+    ("Fwd Packet Length Std", 100, "exponential"),
+    ("Bwd Packet Length Max", 450, "exponential"),
+    ("Bwd Packet Length Min", 40, "exponential"),
+    ("Bwd Packet Length Mean", 180, "exponential"),
+    ("Bwd Packet Length Std", 90, "exponential"),
+    ("Flow Bytes/s", 10000, "exponential"),
+    ("Flow Packets/s", 100, "exponential"),
+    ("Flow IAT Mean", 1000, "exponential"),
+    ("Flow IAT Std", 500, "exponential"),
+    ("Flow IAT Max", 2000, "exponential"),
+    ("Flow IAT Min", 100, "exponential"),
+    ("Fwd IAT Total", 5000, "exponential"),
+    ("Fwd IAT Mean", 1000, "exponential"),
+    ("Fwd IAT Std", 500, "exponential"),
+    ("Fwd IAT Max", 2000, "exponential"),
+    ("Fwd IAT Min", 100, "exponential"),
+    ("Bwd IAT Total", 4500, "exponential"),
+    ("Bwd IAT Mean", 900, "exponential"),
+    ("Bwd IAT Std", 450, "exponential"),
+    ("Bwd IAT Max", 1800, "exponential"),
+    ("Bwd IAT Min", 90, "exponential"),
+    ("Fwd PSH Flags", 1, "count"),
+    ("Bwd PSH Flags", 1, "count"),
+    ("Fwd URG Flags", 0.1, "count"),
+    ("Bwd URG Flags", 0.1, "count"),
+    ("Fwd Header Length", 40, "count"),
+    ("Bwd Header Length", 35, "count"),
+    ("Fwd Packets/s", 50, "exponential"),
+    ("Bwd Packets/s", 40, "exponential"),
+    ("Min Packet Length", 40, "exponential"),
+    ("Max Packet Length", 500, "exponential"),
+    ("Packet Length Mean", 200, "exponential"),
+    ("Packet Length Std", 100, "exponential"),
+    ("Packet Length Variance", 10000, "exponential"),
+    ("FIN Flag Count", 1, "count"),
+    ("SYN Flag Count", 1, "count"),
+    ("RST Flag Count", 0.2, "count"),
+    ("PSH Flag Count", 2, "count"),
+    ("ACK Flag Count", 10, "count"),
+    ("URG Flag Count", 0.1, "count"),
+    ("CWE Flag Count", 0.1, "count"),
+    ("ECE Flag Count", 0.1, "count"),
+    ("Down/Up Ratio", 1, "exponential"),
+    ("Average Packet Size", 200, "exponential"),
+    ("Avg Fwd Segment Size", 180, "exponential"),
+    ("Avg Bwd Segment Size", 160, "exponential"),
+    ("Fwd Header Length.1", 40, "count"),
+    ("Subflow Fwd Packets", 10, "count"),
+    ("Subflow Fwd Bytes", 1000, "exponential"),
+    ("Subflow Bwd Packets", 8, "count"),
+    ("Subflow Bwd Bytes", 800, "exponential"),
+    ("Init_Win_bytes_forward", 8000, "exponential"),
+    ("Init_Win_bytes_backward", 7000, "exponential"),
+    ("act_data_pkt_fwd", 5, "count"),
+    ("min_seg_size_forward", 20, "exponential"),
+    ("Active Mean", 1000, "exponential"),
+    ("Active Std", 500, "exponential"),
+    ("Active Max", 2000, "exponential"),
+    ("Active Min", 100, "exponential"),
+    ("Idle Mean", 5000, "exponential"),
+    ("Idle Std", 2500, "exponential"),
+    ("Idle Max", 10000, "exponential"),
+    ("Idle Min", 500, "exponential"),
+]
 # Numbers of defective rows.
 INFINITE_BYTES, INFINITE_PACKETS, MISSING_IAT, DUPLICATES = 50, 25, 30, 100
 
 
 def feature_laws() -> list[tuple[str, float, bool]]:
-    laws = []
-    for line in FEATURE_LAWS.strip().splitlines():
-        words = line.split()
-        count = words[-1] == "count"
-        words = words[:-1] if count else words
-        laws.append((safe_name(" ".join(words[:-1])), float(words[-1]), count))
-    return laws
+    return [(safe_name(name), float(mean), law == "count") for name, mean, law in FEATURE_LAWS]
 
 
 def _uniform(index: int, seed: int) -> Column:
