@@ -10,6 +10,7 @@ from flowlens.operators.ordering import trailing
 HISTORY = 1_000         # fixed value: predictions that count as recent
 DRIFT_THRESHOLD = 0.20  # fixed value
 EPSILON = 1e-10         # fixed value
+# Message texts.
 NO_BASELINE = "No training statistics available"
 NO_HISTORY = "No predictions logged yet"
 

@@ -38,6 +38,7 @@ ALIAS_EXCEPTIONS = {
     "Total Length of Fwd Packets": "total_length_fwd_packets",
     "Total Length of Bwd Packets": "total_length_bwd_packets",
 }
+# Columns that requests lack; request fields without a restriction.
 NOT_IN_REQUEST = ["Source Port", "Destination Port", "Protocol", "Fwd Header Length.1", "act_data_pkt_fwd",
                   "min_seg_size_forward"]
 UNRESTRICTED_REQUEST_FIELDS = [
