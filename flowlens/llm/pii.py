@@ -66,12 +66,19 @@ _KEY = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}\b")
 _HEX = re.compile(r"[0-9a-fA-F]{32,}\b")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 _NUMBER_START = re.compile(r"[+(]|\d+")
+_ADDRESS = rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"
 _NUMBER = re.compile(
-    rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w]|\.\d))|(?P<ssn>\b\d{{3}}-\d{{2}}-\d{{4}}\b)"
+    rf"(?P<ip>(?<![\w.]){_ADDRESS})|(?P<ssn>\b\d{{3}}-\d{{2}}-\d{{4}}\b)"
     r"|(?P<card>(?<![\w+])(?:\d[ -]?){12,18}\d(?!\w))"
-    r"|(?P<phone>(?<![\w.])(?:\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?\(\d{1,5}\)[ .-]?\d{2,5}(?:[ .-]?\d{2,5}){1,3}"
+    r"|(?P<phone>(?<![\w.])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|\+\d{8,15}|(?:\+\d{1,3}[ .-]?)?\(\d{1,5}\)[ .-]?\d{2,5}(?:[ .-]?\d{2,5}){1,3}"
     r"|\+\d{1,3}(?:[ .-]\d{2,5}){2,5}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w))")
 
+# What a card or phone must not take in as further digit groups of its own.
+_NEXT = re.compile(rf"(?P<own>{_ADDRESS}|\d{{3}}-\d{{2}}-\d{{4}}\b)|(?P<phone>\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}(?!\w))"
+                   r"|\d{4}([ -])(?:\d{4}\3\d{4}\3\d{4}|\d{6}\3\d{4,5})(?!\w)")
+_GAP = re.compile(r"[ .-]+")
+_DECIMAL = re.compile(r"\.\d")
+
 
 def _word_before(text: str, at: int) -> bool:
     return at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_")
@@ -87,22 +94,69 @@ def _secrets(text: str) -> Iterator[tuple[int, int]]:
             yield value.span(1)
 
 
+def _cut(text: str, match: re.Match) -> tuple[int, str | None]:
+    """(end, kind) of a number without the entity that follows it after a separator; kind None if nothing is left.
+
+    A phone's own groups may look like an address ('+45 12.34.56.78'): what follows is cut off only if the rest is whole,
+    or if the match ends inside of it.
+    """
+    start, end, kind = match.start(), match.end(), match.lastgroup
+    if kind not in ("card", "phone"):
+        return end, kind
+    gaps = list(_GAP.finditer(text, start, end))
+    for gap in gaps:
+        if follows := _NEXT.match(text, gap.end()):
+            front = _NUMBER.fullmatch(text, start, gap.start())
+            if front and (follows["own"] or sum(map(str.isdigit, front[0])) >= 10):
+                return front.end(), front.lastgroup
+            if follows.end() > end and follows.lastgroup:
+                return gap.end(), None
+    if gaps and _DECIMAL.match(text, end):
+        if front := _NUMBER.fullmatch(text, start, gaps[-1].start()):
+            return front.end(), front.lastgroup
+    if kind == "card" and _luhn(_normal(kind, match[0])):
+        for gap in gaps:
+            front = _NUMBER.fullmatch(text, start, gap.start())
+            if front and front.lastgroup == "card" and not _luhn(_normal(kind, front[0])):
+                return front.end(), kind
+    return end, kind
+
+
 def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
-    """Addresses, cards, phones; none begins inside a run of digits."""
+    """Addresses, cards, phones; none begins inside a run of digits or takes in the one after it."""
     at = 0
     while start := _NUMBER_START.search(text, at):
         match = _NUMBER.match(text, start.start())
-        at = match.end() if match else start.end()
-        if match:
-            yield *match.span(), match.lastgroup
+        at, kind = _cut(text, match) if match else (start.end(), None)
+        if kind:
+            yield start.start(), at, kind
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int, str]]:
+    """Account numbers; one that fails its check digits ends before the first group without which it passes them."""
+    at = 0
+    while match := _IBAN.search(text, at):
+        at = match.end()
+        if not _iban_holds(match[0]):
+            for gap in _GAP.finditer(text, match.start(), at):
+                if _IBAN.fullmatch(text, match.start(), gap.start()) and _iban_holds(text[match.start() : gap.start()]):
+                    at = gap.start()
+                    break
+        yield match.start(), at, "iban"
+
+
+def _iban_holds(mention: str) -> bool:
+    value = mention.replace(" ", "")
+    return int("".join(str(int(ch, 36)) for ch in value[4:] + value[:4])) % 97 == 1
 
 
 def _formats(text: str) -> Iterator[tuple[int, int, str]]:
     if "@" in text:
         yield from ((*m.span(), "email") for m in _EMAIL.finditer(text))
     yield from ((a, b, "secret") for a, b in _secrets(text))
-    for kind, pattern in (("key", _KEY), ("hex", _HEX), ("iban", _IBAN)):
+    for kind, pattern in (("key", _KEY), ("hex", _HEX)):
         yield from ((*m.span(), kind) for m in pattern.finditer(text) if not _word_before(text, m.start()))
+    yield from (found for found in _ibans(text) if not _word_before(text, found[0]))
     yield from _numbers(text)
 
 

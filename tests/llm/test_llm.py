@@ -125,6 +125,24 @@ def test_surrogates(spark, awkward):
     assert pii.protect(docs.limit(0), "k").count() == 0
 
 
+ADJACENT = {"phone": ["+1 (843) 555-7672", "+49 301 234 5678", "555-123-4567", "+45 12.34.56.78", "+14155550123"],
+            "card": ["4031065727380220", "4111 1111 1111 1111", "3782-822463-10005"], "ip": ["170.106.47.218", "8.8.8.8"],
+            "ssn": ["123-45-6789"], "iban": ["DE89 3704 0044 0532 0130 00", "ES9121000418450200051332"]}
+
+
+def test_adjacent_entities_stay_apart():
+    own = [(kind, mention) for kind, mentions in ADJACENT.items() for mention in mentions]
+    for kind, mention in own:
+        for kind2, mention2 in own:
+            for rest in ("", ".", " 4.5"):
+                text = f"{mention} {mention2}{rest}"
+                found = [(k, text[a:b]) for a, b, k, _ in pii.detect(text)]
+                assert found == [(kind, mention), (kind2, mention2)], text
+    for text in ("4031065727380220 12 items", "4031065727380220 170.5", "+1 (843) 555-7672 12 items"):
+        assert [text[a:b] for a, b, _, _ in pii.detect(text)] == [re.split(r" 1[27]", text)[0]]
+    assert [k for _, _, k, _ in pii.detect("1234567890 170.106.47.218")] == ["ip"]
+
+
 def test_language_on_held_out(spark, sf_dir, awkward):
     got = queries.op5_language_id(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     rows = got.where("held_out and lang is not null and lang_pred <> 'und'").collect()
