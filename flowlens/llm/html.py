@@ -21,7 +21,21 @@ from pyspark.sql import types as T
 from flowlens.llm.quality import STOP_WORDS
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
-STOP_LOW, STOP_HIGH, MAX_LINK_DENSITY, MAX_LINK_DENSITY_MAIN = 0.15, 0.3, 0.2, 0.5
+MAX_LINK_DENSITY, MAX_LINK_DENSITY_MAIN = 0.2, 0.5
+#: Shares of stop words that fit short lists.
+STOP_LOW, STOP_HIGH = 0.1, 0.2
+
+# Further function words of the four languages, besides those of the quality rules.
+MORE_STOP_WORDS = """
+    he she they we you his her their its who which what when where while than more most some all one had has were been
+    will would can could may but if so about into over after before between out up only other there then these those
+    am vor war waren dass daß wie wenn noch nur oder aber aus bei nach um bis über unter durch gegen ohne zum zur vom
+    einen einem einer eines sie wir ihr ihre sein seine hat haben wird werden wurde sind kann diese dieser dieses so
+    ce cette ces son sa ses leur leurs nous vous ils elle elles on ou où mais donc ne plus aux avec sans sous entre
+    comme tout tous était sont été ont avait être fait plus tandis si
+    e o u un unos unas mi sus este esta estos estas ese esa como más pero sin sobre entre hasta desde cuando donde quien
+    muy ya también fue era son han ha había ser está están le les mientras si
+""".split()
 
 # Fixed values of HTML: elements by how they cut text.
 SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "head", "title",
@@ -48,7 +62,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)"
                   r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"\b(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
-_STOP = frozenset(STOP_WORDS)
+_STOP = frozenset([*STOP_WORDS, *MORE_STOP_WORDS])
 
 
 @dataclass
@@ -148,6 +162,11 @@ def blocks(page: str) -> Iterator[Block]:
         yield made
 
 
+def _stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in _STOP for w in words) / max(1, len(words))
+
+
 def _first_pass(block: Block) -> str:
     size = len(block.text)
     density = block.link_chars / size
@@ -156,13 +175,14 @@ def _first_pass(block: Block) -> str:
     if block.main:
         if block.heading or density <= MAX_LINK_DENSITY_MAIN:
             return "good"
-        return "short" if size < LENGTH_LOW else "bad"
+        if size < LENGTH_LOW:
+            return "short"
+        return "good" if _stop_share(block.text) >= STOP_LOW else "bad"  # linked prose, or a list of links
     if density > MAX_LINK_DENSITY or "©" in block.text:
         return "bad"
     if size < LENGTH_LOW:
         return "bad" if block.link_chars else "short"
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in _STOP for w in words) / max(1, len(words))
+    stops = _stop_share(block.text)
     if stops >= STOP_HIGH:
         return "good" if size > LENGTH_HIGH else "near"
     return "near" if stops >= STOP_LOW else "bad"
@@ -171,17 +191,23 @@ def _first_pass(block: Block) -> str:
 def classify(page: str) -> list[Block]:
     """All blocks with their label, good or bad.
 
-    If an article or main element holds text, undecided blocks outside it are bad. Otherwise a short block is good if its
-    nearest decided neighbours on both sides are (a near-good one on either side counts), and a near-good block if one is;
-    a short heading takes the label of what follows.
+    If an article or main element holds a paragraph, blocks outside it are bad. Otherwise a short block is good if its
+    nearest decided neighbours on both sides are (a near-good one on either side counts), and a near-good block if one is
+    or if the page has no good block; a short heading takes the label of what follows. If there is no near-good block
+    either, short sentences stand.
     """
     found = list(blocks(page))
     for block in found:
         block.label = _first_pass(block)
-    if any(b.main and b.label == "good" for b in found):
+    if any(b.main and b.label == "good" and not b.heading and len(b.text) >= LENGTH_LOW for b in found):
         for block in found:
             if not block.main:
                 block.label = "bad"
+    if all(b.label != "good" for b in found):
+        stand = [b for b in found if b.label == "near"] or [
+            b for b in found if b.label == "short" and not b.heading and _stop_share(b.text) >= STOP_HIGH]
+        for block in stand:
+            block.label = "good"
     first = [b.label for b in found]
 
     def nearest(decided: set[str], order) -> list[str]:
@@ -198,7 +224,7 @@ def classify(page: str) -> list[Block]:
     for i, block in enumerate(found):
         sides = {before[i], after[i]}
         if first[i] == "near":
-            block.label = "good" if "good" in sides or sides == {"bad"} and len(found) == 1 else "bad"
+            block.label = "good" if "good" in sides else "bad"
         elif first[i] == "short":
             if block.heading:
                 block.label = "good" if near_after[i] != "bad" and after[i] == "good" else "bad"

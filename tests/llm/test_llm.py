@@ -99,6 +99,39 @@ def test_html_keeps_the_article(spark):
     assert by_id[1] == " ".join([prose.strip(), prose.strip() + " & more"])
 
 
+PROSE = {
+    "en": "The committee published its yearly report on Tuesday, and most readers agreed that river traffic had grown faster "
+          "than anyone expected. Ship owners said they would order larger boats, while towns along the banks asked for money "
+          "to repair old harbour walls.",
+    "de": "Der Ausschuss legte am Dienstag seinen Jahresbericht vor, und viele Leser fanden, dass der Verkehr auf dem Fluss "
+          "schneller gewachsen war als erwartet. Reeder wollen größere Schiffe bestellen, während die Städte am Ufer Geld "
+          "verlangen, um alte Hafenmauern zu erneuern.",
+    "fr": "Le comité a publié mardi son rapport annuel, et la plupart des lecteurs ont constaté que le trafic du fleuve "
+          "augmentait plus vite que prévu. Les armateurs veulent commander des bateaux plus grands, tandis que les villes "
+          "riveraines demandent des fonds pour réparer leurs vieux quais.",
+    "es": "El comité publicó el martes su informe anual, y muchos lectores vieron que el tráfico del río crecía más rápido de "
+          "lo esperado. Los armadores quieren encargar barcos mayores, mientras las ciudades de la orilla piden dinero para "
+          "reparar viejos muros del puerto."}
+
+
+@pytest.mark.parametrize("lang", sorted(PROSE))
+def test_html_without_article(lang):
+    prose, menu = PROSE[lang], "<div><a href='/a'>Home</a> <a href='/b'>Shop</a></div>"
+    first, second = prose.split(". ")
+
+    def text(*parts):
+        return html.main_text("<body>" + menu + "".join(f"<div>{x}</div>" for x in parts) + "<div>© 2020</div></body>")
+
+    assert text(prose, prose) == f"{prose} {prose}"
+    assert text(f"{first}.", second) == prose  # near-good blocks only
+    assert text(" ".join(first.split()[:7])) == " ".join(first.split()[:7])  # a short one only
+    assert text("Home", "Contact") == ""
+    links = "".join(f"<li><a href='/{x}'>Sitemap {x} archive overview downloads products pictures {x} index</a></li>" for x in "pq")
+    page = f"<article><p>{prose}</p><p><a href='/s'>{prose}</a></p><ul>{links}</ul></article>"
+    assert html.main_text(page) == f"{prose} {prose}"
+    assert html.main_text(f"<article><h1>Title</h1></article><div>{prose}</div>") == f"Title {prose}"
+
+
 def test_surrogates(spark, awkward):
     rows = [(1, "Mail anna@example.com or call +1 (212) 555-0199."), (2, "Again anna@example.com, card 4111 1111 1111 1111"),
             (3, "Mr John Miller met Mary Stone; Miller left."), (4, "token = \"0a1b2c3d4e5f60718293\" ip 10.1.2.3")]
