@@ -3,14 +3,17 @@
 The kernel is replaced by a map z(x): random Fourier features for rbf, the identity for linear, all monomials for poly.
 The dual asks for the shortest vector in { sum a_i z(x_i) : 0 <= a_i <= 1/(nu n), sum a_i = 1 }. Its extreme points are
 "mean of z over the nu share of rows with the smallest w.z", so each round is two passes over the data (a quantile and a
-sum of bounded width) and a tiny quadratic problem on the driver; no row leaves the executors. With nu = 1 the first
-point, the mean of z over all rows, is already exact.
+sum of bounded width) and a tiny quadratic problem on the driver; no row leaves the executors. Rounds go on until the
+duality gap is within ``tol`` of the squared length. They begin with the points that all rows have in the directions
+that solve a bounded sample, which saves most of them and decides nothing. With nu = 1 the first point, the mean of z over all rows, is already
+exact.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -26,6 +29,14 @@ from flowlens.session import spread
 
 MAX_MONOMIALS = 5_000
 VECTORS_PER_PASS = 2_000
+#: Rounds after which a fit without a limit of its own fails.
+MAX_ROUNDS = 1_000
+#: Share of the longest point's squared length that counts as zero.
+ZERO = 1e-12
+#: Relative difference between two computations of one score; the row at the cut must not drop out by it.
+SAME = 1e-9
+#: Rows, and numbers per array, of the sample whose solution says where to begin.
+START_ROWS, START_SIZE = 20_000, 8_000_000
 
 
 def pooled_gamma(df: DataFrame, features: list[str], rule: str | float = "scale") -> float:
@@ -87,11 +98,11 @@ class FeatureMap:
 
 
 class OneClassSVM:
-    """D5."""
+    """D5. Without ``max_iter`` a fit ends when its gap is within ``tol``, or fails; with it, it may end before and warns."""
 
     def __init__(self, features: list[str], nu: float = 0.1, kernel: str = "rbf", gamma: str | float = "scale",
-                 degree: int = 3, coef0: float = 0.0, tol: float = 1e-3, max_iter: int = 20, n_components: int = 256,
-                 seed: int = 42, scale: bool = True):
+                 degree: int = 3, coef0: float = 0.0, tol: float = 1e-3, max_iter: int | None = None,
+                 n_components: int = 256, seed: int = 42, scale: bool = True):
         if not 0 < nu <= 1:
             raise ValueError("nu lies in (0, 1]")
         self.features, self.nu, self.kernel, self.gamma = list(features), nu, kernel, gamma
@@ -113,21 +124,34 @@ class OneClassSVM:
         sums, total = _map_sums(rows, fmap, None, None)
         if total == 0:
             raise ValueError("no training rows")
-        atoms = [sums / total]
-        w, gap = atoms[0], float("inf")
-        rounds = 0
-        while self.nu < 1 and rounds < self.max_iter:
-            rounds += 1
+        atoms, shares = np.stack([sums / total]), np.ones(1)
+        w, gap, longest = atoms[0], 0.0, float(atoms[0] @ atoms[0])
+        if self.nu < 1 and self.max_iter is None:
+            atoms = np.vstack([atoms, *self._start(rows, fmap, total)])
+            longest = float((atoms * atoms).sum(axis=1).max())
+            shares = _shares(atoms, np.eye(1, len(atoms))[0], self.tol / 100, ZERO * longest / 100)
+            w = shares @ atoms
+        rounds, limit = 0, MAX_ROUNDS if self.max_iter is None else self.max_iter
+        while self.nu < 1:
             cut = self._quantile(rows, fmap, w, approximate=True)
-            below, n_below = _map_sums(rows, fmap, w, cut)
+            below, n_below = _map_sums(rows, fmap, w, cut + SAME * abs(cut))
             if n_below == 0:
-                break
+                raise ValueError("no training row has a finite score")
             atom = below / n_below
-            gap = float(w @ (w - atom))
-            if gap <= self.tol * float(w @ w):
+            gap, longest = float(w @ (w - atom)), max(longest, float(atom @ atom))
+            if gap <= max(self.tol * float(w @ w), ZERO * longest):
                 break
-            atoms.append(atom)
-            w = _shortest(np.stack(atoms))
+            if rounds == limit:
+                text = f"gap {gap:.3g} after {rounds} rounds is above {self.tol:g} of the squared length {float(w @ w):.3g}"
+                if self.max_iter is None:
+                    raise RuntimeError(text)
+                warnings.warn(text, RuntimeWarning, stacklevel=3)
+                break
+            rounds += 1
+            atoms = np.vstack([atoms, atom])
+            shares = _shares(atoms, np.append(shares, 0.0), self.tol / 100, ZERO * longest / 100)
+            atoms, shares = atoms[shares > 0], shares[shares > 0]
+            w = shares @ atoms
         rho = self._quantile(rows, fmap, w, approximate=False)
         model = OneClassSVMModel()
         model.features, model.scaler, model.fmap, model.weights = self.features, scaler, fmap, w
@@ -135,13 +159,58 @@ class OneClassSVM:
         model.n_rows, model.seed = int(total), self.seed
         return model
 
+    def _start(self, rows: DataFrame, fmap: FeatureMap, total: float) -> list[np.ndarray]:
+        """Points of all rows in the directions of a solution over a sample; only those of nu of the rows or more."""
+        components = len(fmap(np.zeros((1, len(self.features))))[0])
+        most = max(100, min(START_ROWS, START_SIZE // components))
+        place = F.pmod(F.xxhash64("x"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        sample = rows if total <= most else rows.where(place < most / total).limit(2 * most)
+        z = fmap(sample.select("x.*").toPandas().to_numpy(dtype=float, na_value=np.nan))
+        z = z[np.isfinite(z).all(axis=1)]
+        if not len(z):
+            return []
+        spare = 0.0 if total <= most else 2.0 * math.sqrt(self.nu / len(z))
+        k = min(len(z), math.ceil((self.nu + spare) * len(z)))
+        atoms, shares, ways = z.mean(axis=0)[None], np.ones(1), [(np.zeros(components), 0.0)]
+        for _ in range(MAX_ROUNDS):
+            w = shares @ atoms
+            scores = z @ w
+            cut = float(np.partition(scores, k - 1)[k - 1])
+            atom = z[scores <= cut].mean(axis=0)
+            longest = max(float((atoms * atoms).sum(axis=1).max()), float(atom @ atom))
+            if float(w @ (w - atom)) <= max(self.tol * float(w @ w), ZERO * longest) / 2:
+                break
+            atoms, ways = np.vstack([atoms, atom]), [*ways, (w, cut)]
+            shares = _shares(atoms, np.append(shares, 0.0), self.tol / 100, ZERO * longest / 100, steps=20_000)
+            used = np.flatnonzero(shares > 0)
+            atoms, shares, ways = atoms[used], shares[used], [ways[i] for i in used]
+        ways = [way for way in ways if way[0].any()][-max(1, START_SIZE // 50 // components):]
+        if not ways:
+            return []
+        directions, cuts = np.stack([way[0] for way in ways], axis=1), np.array([way[1] for way in ways])
+        cuts = cuts + SAME * np.abs(cuts)
+
+        def sums(batches):
+            made = np.zeros((len(ways), components + 1))
+            for batch in batches:
+                z = fmap(batch.to_numpy(dtype=float, na_value=np.nan))
+                below = (z @ directions <= cuts).astype(float)
+                made += np.hstack([below.T @ z, below.sum(axis=0)[:, None]])
+            yield pd.DataFrame({"values": [made.ravel()]})
+
+        parts = rows.select("x.*").mapInPandas(sums, "values array<double>")
+        summed = parts.select(F.posexplode("values").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+        table = np.array([r["v"] for r in sorted(summed, key=lambda r: r["k"])]).reshape(len(ways), components + 1)
+        return [row[:-1] / row[-1] for row in table if row[-1] >= self.nu * total]
+
     def _quantile(self, rows, fmap, w, approximate: bool) -> float:
         score = matrix_column(lambda m: fmap(m) @ w, F.col("x")).alias("s")
         share = min(self.nu, 1.0)
         if self.nu >= 1:
             share = 0.5  # every training row is a support vector; the offset is then free, the median is used
         if approximate:
-            return rows.select(score).agg(F.percentile_approx("s", share, 10_000)).first()[0]
+            accuracy = max(10_000, math.ceil(100 / share))  # the rank is off by a hundredth of nu at most
+            return rows.select(score).agg(F.percentile_approx("s", share, accuracy)).first()[0]
         scored = rows.select(score).persist()
         try:
             return exact_percentiles(scored, ["s"], [share])[("s", share)]
@@ -174,22 +243,30 @@ def _map_sums(rows: DataFrame, fmap: FeatureMap, w: np.ndarray | None, cut: floa
     return ordered[:-1], float(ordered[-1])
 
 
-def _shortest(atoms: np.ndarray, steps: int = 2_000) -> np.ndarray:
-    """Shortest vector in the convex hull of a handful of atoms (pairwise exchange steps with exact line search)."""
+def _shares(atoms: np.ndarray, shares: np.ndarray, tol: float = 0.0, least: float = 1e-12,
+            steps: int = 200_000) -> np.ndarray:
+    """Shares of the atoms in the shortest vector of their hull (pairwise exchange steps with exact line search)."""
     gram = atoms @ atoms.T
-    weights = np.zeros(len(atoms))
-    weights[int(np.argmin(np.diag(gram)))] = 1.0
+    shares = shares.copy()
+    slope = gram @ shares
     for _ in range(steps):
-        slope = gram @ weights
-        to, away = int(np.argmin(slope)), int(np.argmax(np.where(weights > 0, slope, -np.inf)))
+        to, away = int(np.argmin(slope)), int(np.argmax(np.where(shares > 0, slope, -np.inf)))
         gain = slope[away] - slope[to]
-        if gain <= 1e-12:
+        if gain <= max(tol * float(shares @ slope), least):
             break
         curvature = gram[to, to] + gram[away, away] - 2.0 * gram[to, away]
-        move = min(weights[away], gain / curvature if curvature > 0 else weights[away])
-        weights[to] += move
-        weights[away] -= move
-    return weights @ atoms
+        move = min(shares[away], gain / curvature if curvature > 0 else shares[away])
+        shares[to] += move
+        shares[away] -= move
+        slope = gram @ shares
+    return shares / shares.sum()
+
+
+def _shortest(atoms: np.ndarray) -> np.ndarray:
+    """Shortest vector in the convex hull of a handful of atoms."""
+    start = np.zeros(len(atoms))
+    start[int(np.argmin((atoms * atoms).sum(axis=1)))] = 1.0
+    return _shares(atoms, start) @ atoms
 
 
 class OneClassSVMModel(Detector):
@@ -209,11 +286,11 @@ class OneClassSVMModel(Detector):
         return svm_probability(raw)
 
     def support_report(self, df: DataFrame) -> DataFrame:
-        """Number of training rows on or outside the margin, weights norm, offset."""
+        """Number of training rows on or outside the margin, weights norm, offset, duality gap."""
         return df.select(self.raw_score().alias("s")).agg(
             F.count("*").alias("rows"), F.count_if(F.col("s") <= 0).alias("support_rows"),
             F.lit(float(self.rho)).alias("intercept"), F.lit(float(np.linalg.norm(self.weights))).alias("weight_norm"),
-            F.lit(len(self.weights)).alias("n_components"))
+            F.lit(len(self.weights)).alias("n_components"), F.lit(float(self.gap)).alias("gap"))
 
     def support_rows(self, df: DataFrame) -> DataFrame:
         """The rows themselves."""
@@ -230,7 +307,7 @@ class OneClassSVMModel(Detector):
     def metadata(self) -> dict:
         m = self.fmap
         return {"kernel": m.kernel, "gamma": m.gamma, "degree": m.degree, "coef0": m.coef0, "rho": self.rho,
-                "nu": self.nu, "rounds": self.rounds, "rows": self.n_rows, "seed": self.seed,
+                "nu": self.nu, "rounds": self.rounds, "gap": self.gap, "rows": self.n_rows, "seed": self.seed,
                 "components": len(self.weights)}
 
     def arrays(self) -> dict[str, np.ndarray]:
@@ -241,7 +318,7 @@ class OneClassSVMModel(Detector):
         model = cls()
         model.weights = arrays["weights"]
         model.rho, model.nu, model.rounds = metadata["rho"], metadata["nu"], metadata["rounds"]
-        model.n_rows, model.seed, model.gap = metadata["rows"], metadata["seed"], float("nan")
+        model.n_rows, model.seed, model.gap = metadata["rows"], metadata["seed"], metadata.get("gap", float("nan"))
         model.pending_map = metadata
         return model
 

@@ -236,7 +236,7 @@ def d8(spark, sf_dir):
 @query("d9_support_report")
 def d9(spark, sf_dir):
     benign = schema.filter_benign(_clean_signal(spark, sf_dir))
-    return ocsvm.OneClassSVM(FOUR, nu=0.1, max_iter=5).fit(benign).support_report(benign)
+    return ocsvm.OneClassSVM(FOUR, nu=0.1).fit(benign).support_report(benign)
 
 
 @query("d10_weight_importance", f"""with {SIGNAL}, weights as (
@@ -526,4 +526,4 @@ def m24(spark, sf_dir):
     from flowlens.plans.training import parameter_grid
 
     df = _clean_signal(spark, sf_dir)
-    return parameter_grid(schema.filter_benign(df), df, FOUR, nus=(0.02, 0.1), kernels=("rbf", "linear"), max_iter=5)
+    return parameter_grid(schema.filter_benign(df), df, FOUR)

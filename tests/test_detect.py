@@ -75,6 +75,16 @@ def test_svm_nu_property(cloud, kernel, detects):
         assert got["DoS"] > 0.9
 
 
+def test_svm_ends_converged_or_says_so(spark, cloud, tmp_path):
+    """Rounds go on until the gap is within tol; a limit that ends them before is no secret."""
+    model = OneClassSVM(FEATURES, nu=0.05).fit(benign(cloud))
+    assert 0 <= model.gap <= 1e-3 * float(model.weights @ model.weights) and model.metadata()["gap"] == model.gap
+    assert model.support_report(cloud).first()["gap"] == model.gap
+    with pytest.warns(RuntimeWarning, match="gap .* after 1 rounds"):
+        early = OneClassSVM(FEATURES, nu=0.05, max_iter=1).fit(benign(cloud))
+    assert early.gap > 1e-3 * float(early.weights @ early.weights)
+
+
 def test_svm_feature_maps_approximate_their_kernels():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(30, 4))
