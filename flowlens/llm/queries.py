@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm import (
-    bpe, decontaminate, html, langid, licenses, negatives, pii, quality, simhash, token_counts, toxicity, urls,
+    bpe, decontaminate, html, langid, licenses, negatives, phrases, pii, quality, simhash, token_counts, toxicity, urls,
 )
 from flowlens.llm.common import table
 
@@ -54,12 +54,18 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.report(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_html_extraction, op4_pii_surrogates,
                                    op5_language_id, op6_simhash, op7_url_filter, op8_decontamination,
-                                   op9_quality_rules, op10_toxicity, op11_license_scan, op13_hard_negatives)}
+                                   op9_quality_rules, op10_toxicity, op11_license_scan, op12_phrase_collocations,
+                                   op13_hard_negatives)}
 ORACLES = {"op7_url_filter": urls.sql(), "op8_decontamination": decontaminate.sql(), "op9_quality_rules": quality.sql(),
-           "op11_license_scan": licenses.sql(), "op13_hard_negatives": negatives.sql()}
+           "op11_license_scan": licenses.sql(), "op12_phrase_collocations": phrases.sql(),
+           "op13_hard_negatives": negatives.sql()}
