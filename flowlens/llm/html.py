@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,12 +39,15 @@ MORE_STOP_WORDS = """
 """.split()
 
 # Fixed values of HTML: elements by how they cut text.
-SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "math", "head", "title",
-           "textarea", "select", "button", "audio", "video", "map", "datalist", "dialog"}
+SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "head", "title",
+           "textarea", "select", "button", "audio", "video", "map", "datalist", "dialog", "annotation",
+           "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike",
-          "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
+          "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "math", "semantics", "mrow", "mi", "mn", "mo", "ms",
+          "mtext", "mstyle", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover",
+          "mtable", "mtr", "mtd"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu"}
 MAIN = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -55,12 +59,23 @@ OUTSIDE = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcr
            "navigation", "newsletter", "notice", "pagination", "popup", "promo", "promoted", "recommended", "related",
            "reply", "replies", "respond", "share", "sharing", "sidebar", "sidenav", "social", "sponsor", "sponsored",
            "subscribe", "subscription", "toolbar", "topbar", "widget", "disqus"}
+# Those of them whose elements may hold articles that are not the page's.
+OTHERS = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "comments", "disqus", "promo", "promoted",
+          "recommended", "related", "replies", "reply", "respond", "sponsor", "sponsored"}
+# Words that may stand beside them in a name of several words without changing its sense.
+BESIDE = {"area", "bar", "block", "body", "bottom", "box", "container", "content", "footer", "form", "group", "header",
+          "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "primary",
+          "right", "row", "secondary", "section", "site", "slot", "text", "thread", "title", "top", "unit", "wrap",
+          "wrapper"}
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "menubar",
                  "form"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)"
-                  r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMES = re.compile(r"\b(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.I)
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+(=)\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)|(?=>)))?)?")
+_CLOSE_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
+_HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden")
+_PIECES = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _STOP = frozenset([*STOP_WORDS, *MORE_STOP_WORDS])
 
@@ -75,91 +90,156 @@ class Block:
     label: str = ""
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """(outside the article, main content) by class, id, role, style and hidden."""
-    outside = main = False
-    for name, a, b, c, hidden in _NAMES.findall(attributes):
-        value = (a or b or c).lower()
-        name = name.lower()
-        if hidden:
-            outside = True
-        elif name == "role":
-            outside |= value in OUTSIDE_ROLES
-            main |= value in ("main", "article")
-        elif name == "style":
-            outside |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+class Mark:
+    """An element that stands outside the article, unless it turns out to hold it."""
+
+    __slots__ = ("above", "lifted", "firm")
+
+    def __init__(self, above: "Mark | None", firm: bool):
+        self.above, self.firm, self.lifted = above, firm, False
+
+
+def _standing(mark: Mark | None) -> Mark | None:
+    """The nearest mark that was not lifted; the way there is shortened for the next one who asks."""
+    top = mark
+    while top and top.lifted:
+        top = top.above
+    while mark and mark.lifted and mark.above is not top:
+        mark.above, mark = top, mark.above
+    return top
+
+
+def tags(page: str) -> Iterator[tuple[str, bool, dict[str, str], bool, str]]:
+    """``(name, closing, attributes, closed at once, text before)`` of every tag in order, last one with no name.
+
+    One pass: a tag or comment that never ends takes the rest of the page, as in browsers, and nothing is read again.
+    """
+    at = start = 0
+    parts: list[str] = []
+    while (at := page.find("<", at)) >= 0:
+        plain = _PLAIN.match(page, at)
+        closing, attributes, quick = False, {}, False
+        if plain:
+            closing, name, end = bool(plain[1]), plain[2].lower(), plain.end()
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find("-->", at + 4) + 3 if page.startswith("<!--", at) else page.find(">", at) + 1
+            parts.append(page[start:at])
+            start = at = end if end > 2 else len(page)
+            continue
         else:
-            outside |= not OUTSIDE.isdisjoint(re.split(r"[^a-z]+", value))
-    return outside, main
+            closing = page.startswith("/", at + 1)
+            found = _NAME.match(page, at + 1 + closing)
+            if not found:
+                at += 1
+                continue
+            name, end = found[0].lower(), found.end()
+            while end < len(page) and page[end] != ">":
+                one = _ATTRIBUTE.match(page, end)
+                if one[1] and not closing:
+                    attributes.setdefault(one[1].lower(), one[3] or one[4] or one[5] or "")
+                quick = page[one.end() - 1] == "/" and not one[5]
+                if one.end() == end or one[1] and not one[2] and _open_value(page, one.end()):
+                    end = len(page)  # a quoted value without an end
+                end = max(end, one.end())
+            if end >= len(page):
+                parts.append(page[start:at])
+                start = len(page)
+                break
+            end += 1
+        parts.append(page[start:at])
+        yield name, closing, attributes, quick, "".join(parts)
+        parts.clear()
+        if name in _CLOSE_RAW and not closing and not quick:
+            close = _CLOSE_RAW[name].search(page, end)
+            end = close.end() if close else len(page)
+        start = at = end
+    parts.append(page[start:])
+    yield "", False, {}, False, "".join(parts)
+
+
+def _open_value(page: str, at: int) -> bool:
+    """Whether an equals sign follows, whose value the pattern could not read."""
+    while at < len(page) and page[at].isspace():
+        at += 1
+    return page.startswith("=", at)
+
+
+def _outside_name(token: str) -> set[str]:
+    """The words of a class or id name that mark an element as outside; none if another word changes the sense."""
+    pieces = _PIECES.findall(token)
+    marks = OUTSIDE.intersection(pieces)
+    return marks if all(p in OUTSIDE or p in BESIDE or p.isdigit() for p in pieces) else set()
 
 
-def blocks(page: str) -> Iterator[Block]:
+def _marked(attributes: dict[str, str]) -> tuple[bool, set[str], bool]:
+    """(hidden or of a role outside, marking words of class and id, main content)."""
+    role = attributes.get("role", "").lower()
+    gone = "hidden" in attributes or role in OUTSIDE_ROLES or bool(_HIDDEN.search(attributes.get("style", "").lower()))
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    return gone, set().union(*map(_outside_name, names)), role in ("main", "article")
+
+
+def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; markup, scripts, styles and other skipped elements are gone."""
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, skipped, outside, main, heading
-    state = (False, False, False, False)
+    stack: list[tuple[str, bool, Mark | None, bool, bool]] = []  # name, skipped, mark, main, heading
+    count: Counter = Counter()  # open elements by name
+    state: tuple = (False, None, False, False)
     parts: list[str] = []
     linked: list[str] = []
-    links = at = 0
+    found: list[tuple[Block, Mark | None]] = []
 
     def flush():
         text = " ".join(entities.unescape("".join(parts)).split())
-        made = Block(text, len(" ".join(entities.unescape("".join(linked)).split())), state[1], state[2], state[3])
+        if text:
+            links = len(" ".join(entities.unescape("".join(linked)).split()))
+            found.append((Block(text, links, False, state[2], state[3]), state[1]))
         parts.clear()
         linked.clear()
-        return made
 
-    while at < len(page):
-        tag = _TAG.search(page, at)
-        text = page[at : tag.start()] if tag else page[at:]
+    def close(i: int):
+        count.subtract(entry[0] for entry in stack[i:])
+        del stack[i:]
+
+    for name, closing, attributes, quick, text in tags(page):
         if text and not state[0]:
             parts.append(text)
-            if links:
+            if count["a"]:
                 linked.append(text)
-        if not tag:
-            break
-        at = tag.end()
-        name = (tag[2] or tag[5] or "").lower()
-        if not name:
-            continue
-        closing, attributes = tag[1] or tag[4], tag[3] or tag[6] or ""
         if name not in INLINE:
-            made = flush()
-            if made.text:
-                yield made
+            flush()
         elif name == "br":
             parts.append(" ")
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    links -= sum(1 for entry in stack[i:] if entry[0] == "a")
-                    del stack[i:]
-                    break
-        elif name in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        elif name not in VOID and not attributes.endswith("/"):
+            if count[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+        elif name and name not in VOID and name not in RAW and not quick:
             if name not in INLINE and stack and "p" in (stack[-1][0], *(x[0] for x in stack[-4:-1])):
                 for i in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
                     if stack[i][0] == "p":
-                        links -= sum(1 for entry in stack[i:] if entry[0] == "a")
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] not in INLINE:
                         break
-                state = stack[-1][1:] if stack else (False,) * 4
-            outside, main = _marked(attributes) if attributes else (False, False)
+                state = stack[-1][1:] if stack else (False, None, False, False)
+            gone, words, main = _marked(attributes) if attributes else (False, set(), False)
             main |= name in MAIN
-            outside |= name in BOILERPLATE or name == "header" and not state[2]
-            if main and not outside and not state[1]:
-                outside = False
-            stack.append((name, state[0] or name in SKIPPED, state[1] or outside and not name == "body",
-                          state[2] or main, state[3] or name in HEADINGS))
-            links += name == "a"
-        state = stack[-1][1:] if stack else (False,) * 4
-    made = flush()
-    if made.text:
-        yield made
+            mark = state[1]
+            if main:
+                words &= OTHERS  # an article is no menu or notice, whatever its classes say
+                above = mark
+                while above and not above.firm and not above.lifted:
+                    above.lifted, above = True, above.above
+            elif name in ("html", "body"):
+                words = set()
+            if gone or words or name in BOILERPLATE or name == "header" and not state[2]:
+                mark = Mark(mark, gone or name in BOILERPLATE or not words.isdisjoint(OTHERS))
+            stack.append((name, state[0] or name in SKIPPED, mark, state[2] or main, state[3] or name in HEADINGS))
+            count[name] += 1
+        state = stack[-1][1:] if stack else (False, None, False, False)
+    flush()
+    for block, mark in found:
+        block.outside = _standing(mark) is not None
+    return [block for block, _ in found]
 
 
 def _stop_share(text: str) -> float:
@@ -196,7 +276,7 @@ def classify(page: str) -> list[Block]:
     or if the page has no good block; a short heading takes the label of what follows. If there is no near-good block
     either, short sentences stand.
     """
-    found = list(blocks(page))
+    found = blocks(page)
     for block in found:
         block.label = _first_pass(block)
     if any(b.main and b.label == "good" and not b.heading and len(b.text) >= LENGTH_LOW for b in found):
@@ -250,7 +330,8 @@ def _extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def extract(df: DataFrame, column: str = "html", out: str = "text") -> DataFrame:
     """``df`` with ``out``, the main text of the page; null or empty html gives the empty text.
 
-    Rows are independent, so repeated rows and empty tables need no care. A column already named ``out`` is replaced.
+    Rows are independent, so repeated rows and empty tables need no care. A very long page is read whole, in time
+    proportional to its length whatever its markup. A column already named ``out`` is replaced.
     """
     return df.withColumn(out, _extract(F.col(column)))
 
