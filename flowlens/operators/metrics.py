@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.numeric import is_infinite, ratio
 from flowlens.operators.ordering import join_groups, running_sums
-from flowlens.operators.quantiles import exact_percentiles
+from flowlens.operators.quantiles import grouped_percentiles, with_percentiles
 from flowlens.spec import BENIGN
 
 # Quality gates and percentiles.
@@ -262,34 +262,29 @@ def threshold_trials(df: DataFrame, percentiles: tuple[int, ...], benign_only: b
                      score: str = "anomaly_score", label: str = "label") -> DataFrame:
     """Metrics at thresholds taken from percentiles of the scores (of benign rows, or of all rows).
 
-    Thresholds are exact and become literals; one pass counts hits at all of them at once.
+    Thresholds are exact; one more pass counts each model's rows by label and by how many of its thresholds they exceed,
+    and the suffixes of those counts are the hits at every threshold. A model without a score has null thresholds.
     """
-    models = [r[0] for r in df.select(by).distinct().collect()]
-    wanted = {
-        m: F.when((F.col(by) == m) & ((F.col(label) == 0) if benign_only else F.lit(True)), F.col(score))
-        for m in models
-    }
-    thresholds = exact_percentiles(df, wanted, [p / 100 for p in percentiles])
-    trials = F.array(*[
-        F.struct(F.lit(p).alias("percentile"), _threshold_of(by, models, thresholds, p / 100).alias("threshold"))
-        for p in percentiles
-    ])
-    flagged = (F.col(score) > F.col("threshold")).cast("int")
-    counts = (
-        df.select(by, label, score, F.inline(trials))
-        .groupBy(by, "percentile", "threshold")
-        .agg(*confusion_columns(F.col(label), flagged))
-    )
+    ordered = sorted(set(percentiles))
+    chosen = df.where(F.col(label) == 0) if benign_only else df
+    thresholds = grouped_percentiles(chosen, [by], score, [p / 100 for p in ordered])
+    rows = with_percentiles(df.select(by, label, score), [by], thresholds, "_t")
+    exceeded = F.size(F.filter("_t", lambda t: F.col(score) > t))
+    slots = (rows.select(by, label, "_t", F.when(F.col("_t").isNotNull() & F.col(score).isNotNull(), exceeded).alias("_slot"))
+             .groupBy(by, label, "_t", "_slot").agg(F.count("*").alias("_n")))
+    trials = F.array(*[F.struct(F.lit(j).alias("_j"), F.lit(p).alias("percentile"), F.get("_t", F.lit(j)).alias("threshold"))
+                       for j, p in enumerate(ordered)])
+    hit = (F.col("_slot") > F.col("_j")).cast("int")
+
+    def total(wanted: int, flagged: int, name: str) -> Column:
+        counted = F.when((F.col(label) == wanted) & (hit == flagged), F.col("_n"))
+        return F.coalesce(F.sum(counted), F.lit(0)).cast("long").alias(name)
+
+    counts = slots.select(by, label, "_slot", "_n", F.inline(trials)).groupBy(by, "percentile", "threshold").agg(
+        total(1, 1, "tp"), total(0, 0, "tn"), total(0, 1, "fp"), total(1, 0, "fn"))
     return add_rates(counts)
 
 
-def _threshold_of(by, models, thresholds, p) -> Column:
-    column = F.lit(None).cast("double")
-    for m in models:
-        column = F.when(F.col(by) == m, F.lit(thresholds[(m, p)])).otherwise(column)
-    return column
-
-
 def best_threshold(trials: DataFrame, by: str = "model") -> DataFrame:
     """The trial of the best F1 per model, the smallest percentile first among equals."""
     row = F.struct("percentile", "threshold", "precision", "recall", "f1")
@@ -351,15 +346,12 @@ def batch_summary(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def score_statistics(df: DataFrame, by: str = "model", score: str = "anomaly_score") -> DataFrame:
     """Extremes, mean, exact median, NaN and infinite counts, share flagged."""
-    models = [r[0] for r in df.select(by).distinct().collect()]
-    medians = exact_percentiles(df, {m: F.when(F.col(by) == m, F.col(score)) for m in models}, [0.5])
     x = F.when(~F.isnan(score), F.col(score))
-    median = F.lit(None).cast("double")
-    for m in models:
-        median = F.when(F.col(by) == m, F.lit(medians[(m, 0.5)])).otherwise(median)
-    return df.groupBy(by).agg(
+    statistics = df.groupBy(by).agg(
         F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"),
         F.count_if(F.isnan(score) | F.col(score).isNull()).alias("nan_count"),
         F.count_if(is_infinite(F.col(score))).alias("inf_count"),
         (F.count_if(F.col("prediction") == 1) / F.count("*")).alias("predicted_attack_share"),
-    ).withColumn("median", median)
+    )
+    medians = with_percentiles(statistics, [by], grouped_percentiles(df, [by], score, [0.5]), "_median")
+    return medians.withColumn("median", F.get("_median", F.lit(0))).drop("_median")

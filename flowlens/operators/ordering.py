@@ -15,13 +15,13 @@ def ordered_parts(df: DataFrame, order: list[Column]) -> DataFrame:
     return materialise(parted, "ordered")
 
 
-def join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Inner join on ``by`` where a missing key equals a missing key; the keys are those of ``left``."""
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``by`` where a missing key equals a missing key; the keys are those of ``left``."""
     other = right.select(*[F.col(c).alias(f"_r_{c}") if c in by else F.col(c) for c in right.columns])
     same = F.lit(True)
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_r_{b}"))
-    return left.join(other, same).drop(*[f"_r_{b}" for b in by])
+    return left.join(other, same, how).drop(*[f"_r_{b}" for b in by])
 
 
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], by: list[str]) -> DataFrame:

@@ -3,7 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one task. Here an approximate sketch gives a narrow band around
 each wanted rank, one more pass counts what lies below the band and (when few enough) lists the band's distinct values.
 State per task is bounded at every step; a band that is still wide is narrowed by further passes. All columns go through
-the same long plan, so its size does not grow with their number.
+the same long plan, so its size does not grow with their number. ``grouped_percentiles`` does the same for any number of
+groups, without a row of them on the driver.
 """
 
 from __future__ import annotations
@@ -11,14 +12,18 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowlens.functions.numeric import null_if_nan
+from flowlens.operators.ordering import join_groups
+from flowlens.session import materialise
 
 ACCURACY = 10_000
 NARROW, WIDE = 2.0 / ACCURACY, 0.01     # half widths of the first band; the wide one is for few rows
 GRID = 1_000
 MAX_LISTED = 200_000
+#: Most groups whose few numbers are broadcast; beyond it the planner joins them.
+MAX_GROUPS = 10_000
 
 
 @dataclass
@@ -79,6 +84,66 @@ def exact_percentiles(
     return result
 
 
+def grouped_percentiles(df: DataFrame, by: list[str], value: str | Column, probabilities: list[float]) -> DataFrame:
+    """``by`` and ``percentiles``, an array in the order of ``probabilities``, for every group with a value.
+
+    Two passes: a sketch per group gives a band around each wanted rank, then the rows of the bands are counted by value
+    and all others only by how many lie below each band. A band holds a few ten-thousandths of its group, so what is
+    ordered per group stays small however many rows, or which share of them, a group has. Missing keys are a group.
+    """
+    x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    values = df.select(*by, null_if_nan(x).alias("_x")).where("_x is not null")
+    probes = [float(min(1.0, max(0.0, q))) for p in probabilities for q in (p - NARROW, p + NARROW, p - WIDE, p + WIDE)]
+    seen = values.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"),
+                                   F.percentile_approx("_x", probes, ACCURACY).alias("_q"))
+    n, q = F.col("_n"), F.col("_q")
+
+    def band(j: int, p: float) -> Column:
+        position = F.lit(float(p)) * (n - 1)
+        many = n * F.lit(NARROW) >= 3
+        margin = F.when(many, F.lit(NARROW)).otherwise(F.lit(WIDE))
+        low, high = (F.when(many, q[4 * j + side]).otherwise(q[4 * j + 2 + side]) for side in (0, 1))
+        enough = n * margin >= 3
+        return F.struct(F.floor(position).alias("first"), F.least(F.floor(position) + 1, n - 1).alias("last"),
+                        (position - F.floor(position)).alias("weight"),
+                        F.when(enough & (F.lit(p) > margin), low).otherwise(F.col("_low")).alias("low"),
+                        F.when(enough & (F.lit(p) < 1 - margin), high).otherwise(F.col("_high")).alias("high"))
+
+    bands = materialise(seen.select(*by, F.array(*[band(j, p) for j, p in enumerate(probabilities)]).alias("_b")), "bands")
+    few = bands.count() <= MAX_GROUPS
+
+    def given(rows: DataFrame) -> DataFrame:
+        return join_groups(rows, F.broadcast(bands) if few else bands, by)
+
+    x, b = F.col("_x"), F.col("_b")
+    listed = F.when(F.exists(b, lambda one: x.between(one["low"], one["high"])), x)
+    below = [F.count_if(x < b[j]["low"]).alias(f"_b{j}") for j in range(len(probabilities))]
+    counts = given(values).groupBy(*by, listed.alias("_v")).agg(F.count("*").alias("_c"), *below)
+    counts = given(counts.drop("_b"))
+    group = Window.partitionBy(*by)
+    sums = [F.sum(f"_b{j}").over(group).alias(f"_s{j}") for j in range(len(probabilities))]
+    entries = F.array(*[F.struct(F.lit(j).alias("j"), b[j].alias("band"), F.col(f"_s{j}").alias("below"))
+                        for j in range(len(probabilities))])
+    inside = (counts.select(*by, "_v", "_c", b, *sums).select(*by, "_v", "_c", F.inline(entries))
+              .where(F.col("_v").between(F.col("band.low"), F.col("band.high"))))
+    upto = Window.partitionBy(*by, "j").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = inside.withColumn("upto", F.col("below") + F.sum("_c").over(upto))
+    at = [F.min(F.when(F.col("upto") > F.col(f"band.{rank}"), F.col("_v"))).alias(rank) for rank in ("first", "last")]
+    a, z = F.col("first"), F.col("last")
+    found = placed.groupBy(*by, "j").agg(*at, F.max("band.weight").alias("w"), F.max(F.col("below") - F.col("band.first")).alias("late"))
+    exact = (F.when(z.isNull() | (F.col("late") > 0), F.raise_error(F.lit("a percentile lies outside its band")).cast("double"))
+             .when(a == z, a).otherwise(a + (z - a) * F.col("w")))
+    made = found.select(*by, F.struct("j", exact.alias("v")).alias("one")).groupBy(*by).agg(
+        F.sort_array(F.collect_list("one")).alias("all"))
+    return made.select(*by, F.transform("all", lambda one: one["v"]).alias("percentiles"))
+
+
+def with_percentiles(df: DataFrame, by: list[str], percentiles: DataFrame, name: str) -> DataFrame:
+    """Every row of ``df`` with its group's row of ``grouped_percentiles`` as the array ``name``; null without one."""
+    kept = materialise(percentiles.withColumnRenamed("percentiles", name), "percentiles")
+    return join_groups(df, F.broadcast(kept) if kept.count() <= MAX_GROUPS else kept, by, "left")
+
+
 def _per_column(n: int, entries: dict[int, float]) -> Column:
     """A number that depends on column ``c``: an array literal, infinite where there is none."""
     literals = ", ".join(f"double('{float(entries.get(i, math.inf))!r}')" for i in range(n))

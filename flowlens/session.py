@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,12 +38,34 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="flowlens-")
     spark.conf.set("spark.checkpoint.dir", folder)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
+_owned: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for an intermediate table inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for an intermediate table, in this application's own folder inside the shared one.
+
+    Lazy results read such tables, so they live as long as the application; the folder goes when the driver ends.
+    """
+    root = f"{shared_dir(spark).rstrip('/')}/flowlens-{spark.sparkContext.applicationId}"
+    if root not in _owned:
+        _owned.add(root)
+        atexit.register(remove, spark, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    try:
+        conf = context._jsc.hadoopConfiguration() if context._jsc else jvm.org.apache.hadoop.conf.Configuration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    finally:
+        _owned.discard(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

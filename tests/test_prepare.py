@@ -1,15 +1,19 @@
 """Edge rules of scans, cleaning, labels, scaling and sampling."""
 
 import math
+import os
+import subprocess
+import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions.numeric import nan_to_num
-from flowlens.operators import clean, labels, sampling, schema
+from flowlens.operators import clean, labels, metrics, quantiles, sampling, schema
 from flowlens.operators.clean import FlowCleaner
-from flowlens.operators.quantiles import exact_percentiles
+from flowlens.operators.quantiles import exact_percentiles, grouped_percentiles, with_percentiles
 from flowlens.operators.scale import FlowScaler, FlowScalerModel
 from flowlens.plans.preprocess import load_and_clean, preprocess, profile_report
 from flowlens.sources import samples, synthetic
@@ -250,6 +254,46 @@ def test_percentiles_match_numpy(spark, limit):
         assert got[("b", p)] == pytest.approx(np.quantile(tied, p), abs=1e-12)
 
 
+
+@pytest.mark.parametrize("groups_at_once", [10_000, 0])
+def test_grouped_percentiles_match_numpy(spark, monkeypatch, groups_at_once):
+    monkeypatch.setattr(quantiles, "MAX_GROUPS", groups_at_once)
+    draw = np.random.default_rng(11)
+    data = {"one": [5.0], "two": [1.0, 2.0], "same": [3.0] * 5000, None: list(draw.normal(size=70)),
+            "hot": list(np.round(draw.lognormal(0, 2, 60_000), 3)), "few values": list(draw.integers(0, 4, 20_000).astype(float)),
+            "ends": [-1e200] * 300 + list(draw.normal(size=20_000)) + [1e200] * 300}
+    rows = [(g, float(x)) for g, values in data.items() for x in values]
+    rows += [("missing", None), ("hot", None), ("two", float("nan"))]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["g", "x"]).sample(frac=1, random_state=1), "g string, x double")
+    wanted = [0.5, 0.0, 1.0, 0.9, 0.25, 0.9999]
+    got = {r.g: r.percentiles for r in grouped_percentiles(df, ["g"], "x", wanted).collect()}
+    assert got.keys() == data.keys()
+    for g, values in data.items():
+        assert got[g] == pytest.approx(list(np.percentile(values, [100 * p for p in wanted])), rel=1e-12), g
+    both = with_percentiles(df.groupBy("g").count(), ["g"], grouped_percentiles(df, ["g"], "x", [0.5]), "m")
+    assert {r.g: r.m for r in both.collect()}["missing"] is None and both.count() == len(data) + 1
+    assert grouped_percentiles(df.limit(0), ["g"], "x", [0.5]).collect() == []
+
+
+def test_threshold_trials_without_benign_rows(spark):
+    rows = [("a", 0, float(i)) for i in range(100)] + [("a", 1, 99.5), ("b", 1, 3.0), (None, 0, 1.0), (None, 1, 2.0), ("a", 1, None)]
+    df = spark.createDataFrame(rows, "model string, label int, anomaly_score double")
+    got = {(r.model, r.percentile): (r.threshold, r.tp, r.tn, r.fp, r.fn)
+           for r in metrics.threshold_trials(df, (99, 90), benign_only=True).collect()}
+    assert got[("a", 90)] == (pytest.approx(89.1), 1, 90, 10, 0) and got[("a", 99)] == (pytest.approx(98.01), 1, 99, 1, 0)
+    assert got[(None, 99)] == (1.0, 1, 1, 0, 0) and got[("b", 99)] == (None, 0, 0, 0, 0)
+
+
+def test_scratch_goes_with_the_application(tmp_path):
+    code = ("import sys; sys.path.insert(0, {repo!r}); from flowlens.session import build_session, materialise;"
+            "s = build_session('x', 'local[1]', spark__ui__enabled='false', spark__checkpoint__dir={shared!r});"
+            "assert materialise(s.range(5), 'five').count() == 5; import glob; assert glob.glob({shared!r} + '/flowlens-*/five-*')")
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code.format(repo=repo, shared=str(shared))], check=True, timeout=120)
+    assert list(shared.glob("flowlens-*")) == []
+
 # ---- sampling ------------------------------------------------------------------------------------------------------
 
 def test_sample_is_exact_with_a_hot_group_of_copies(spark, monkeypatch):
