@@ -87,7 +87,7 @@ class Detector:
     def info(self, spark: SparkSession) -> DataFrame:
         """One row about the model."""
         meta = self.metadata()
-        parameters = int(sum(a.size for a in self.arrays().values()))
+        parameters = int(sum(a.size for name, a in self.arrays().items() if not name.startswith(("map_", "support_"))))
         return spark.createDataFrame(
             [(self.kind, len(self.features), parameters, float(self.threshold), json.dumps(meta, sort_keys=True))],
             "kind string, n_features int, n_parameters bigint, threshold double, metadata string")

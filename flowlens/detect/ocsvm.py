@@ -1,42 +1,36 @@
 """One-class SVM as a distributed primal problem over an explicit feature map.
 
-The kernel is replaced by a map z(x): random Fourier features for rbf, the identity for linear, all monomials for poly.
-The dual asks for the shortest vector in { sum a_i z(x_i) : 0 <= a_i <= 1/(nu n), sum a_i = 1 }. Its extreme points are
-"mean of z over the nu share of rows with the smallest w.z", so each round is two passes over the data (a quantile and a
-sum of bounded width) and a tiny quadratic problem on the driver; no row leaves the executors. Rounds go on until the
-duality gap is within ``tol`` of the squared length. They begin with the points that all rows have in the directions
-that solve a bounded sample, which saves most of them and decides nothing. With nu = 1 the first point, the mean of z over all rows, is already
-exact.
+The kernel is replaced by a map z(x): random Fourier features for rbf, the identity for linear, all monomials for poly or,
+where they are too many, a tensor sketch of them. ``svm_solver`` finds the shortest vector of the dual's hull in rounds of two
+passes over the data, for any number of fits at once; no row leaves the executors. Rounds go on until the duality gap is
+within ``tol`` of the squared length. With nu = 1 the first point, the mean of z over all rows, is already exact.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-import warnings
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.detect.base import Detector, matrix_column, prepared
+from flowlens.detect.svm_solver import Problem, solve, sums
 from flowlens.functions.numeric import ratio
 from flowlens.operators.ordering import with_position
-from flowlens.operators.quantiles import exact_percentiles
 from flowlens.operators.scale import FlowScaler
 from flowlens.functions.hashing import seeded_hash
-from flowlens.session import spread
+from flowlens.session import materialise, spread
 
-MAX_MONOMIALS = 5_000
-VECTORS_PER_PASS = 2_000
-#: Rounds after which a fit without a limit of its own fails.
-MAX_ROUNDS = 1_000
-#: Share of the longest point's squared length that counts as zero.
-ZERO = 1e-12
-#: Relative difference between two computations of one score; the row at the cut must not drop out by it.
-SAME = 1e-9
-#: Rows, and numbers per array, of the sample whose solution says where to begin.
-START_ROWS, START_SIZE = 20_000, 8_000_000
+#: Columns of the exact polynomial map; beyond them a tensor sketch of ``SKETCH`` columns (or ``n_components``, if more).
+MAX_MONOMIALS, SKETCH = 5_000, 2_048
+#: Support vectors that travel with the scoring function; more of them are joined in blocks of that size.
+VECTORS_PER_PASS, MAX_SENT = 2_000, 8_000
+#: Flows in a chunk of such a join.
+FLOWS_PER_CHUNK = 50_000
+#: Rows whose pairs tell the error of a feature map.
+ERROR_ROWS = 400
 
 
 def pooled_gamma(df: DataFrame, features: list[str], rule: str | float = "scale") -> float:
@@ -68,34 +62,68 @@ def gamma_table(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 class FeatureMap:
-    """z(x) for one kernel; a few arrays of bounded size."""
+    """z(x) for one kernel; a few arrays of bounded size, drawn from a seed or given (a saved model's)."""
 
-    def __init__(self, kernel: str, d: int, gamma: float, n_components: int, degree: int, coef0: float, seed: int):
+    def __init__(self, kernel: str, d: int, gamma: float, n_components: int, degree: int, coef0: float, seed: int,
+                 arrays: dict[str, np.ndarray] | None = None):
         self.kernel, self.gamma, self.coef0, self.degree = kernel, gamma, coef0, degree
+        self.arrays = dict(arrays or {})
+        rng = np.random.default_rng(seed)
         if kernel == "rbf":
-            rng = np.random.default_rng(seed)
-            self.frequencies = rng.normal(0.0, math.sqrt(2.0 * gamma), (d, n_components))
-            self.phases = rng.uniform(0.0, 2.0 * math.pi, n_components)
+            if not self.arrays:
+                self.arrays = {"frequencies": rng.normal(0.0, math.sqrt(2.0 * gamma), (d, n_components)),
+                               "phases": rng.uniform(0.0, 2.0 * math.pi, n_components)}
         elif kernel == "poly":
             width = d + (coef0 > 0)
-            if math.comb(width + degree - 1, degree) > MAX_MONOMIALS:
-                raise ValueError(f"a polynomial map of degree {degree} over {d} features exceeds {MAX_MONOMIALS} columns")
-            self.monomials = list(itertools.combinations_with_replacement(range(width), degree))
-            self.weights = np.sqrt([
-                math.factorial(degree) / math.prod(math.factorial(m.count(i)) for i in set(m)) for m in self.monomials])
+            self.sketched = "places" in self.arrays or math.comb(width + degree - 1, degree) > MAX_MONOMIALS
+            if self.sketched and not self.arrays:
+                size = 1 << (max(SKETCH, n_components) - 1).bit_length()
+                self.arrays = {"places": rng.integers(0, size, (degree, width)).astype(float),
+                               "signs": rng.choice([-1.0, 1.0], (degree, width)), "size": np.array([float(size)])}
+            if not self.sketched:
+                self.monomials = list(itertools.combinations_with_replacement(range(width), degree))
+                self.weights = np.sqrt([math.factorial(degree) / math.prod(math.factorial(m.count(i)) for i in set(m))
+                                        for m in self.monomials])
         elif kernel != "linear":
             raise ValueError("kernel is 'rbf', 'linear' or 'poly'; a sigmoid kernel can be scored but not trained")
 
     def __call__(self, rows: np.ndarray) -> np.ndarray:
         if self.kernel == "rbf":
-            return np.sqrt(2.0 / len(self.phases)) * np.cos(rows @ self.frequencies + self.phases)
+            phases = self.arrays["phases"]
+            return np.sqrt(2.0 / len(phases)) * np.cos(rows @ self.arrays["frequencies"] + phases)
         if self.kernel == "linear":
             return rows
         x = math.sqrt(self.gamma) * rows
         if self.coef0 > 0:
             x = np.hstack([x, np.full((len(x), 1), math.sqrt(self.coef0))])
+        if self.sketched:
+            return np.concatenate([self._sketch(x[i : i + 1024]) for i in range(0, max(len(x), 1), 1024)])
         return np.stack([x[:, list(m)].prod(axis=1) for m in self.monomials], axis=1) * self.weights
 
+    def _sketch(self, x: np.ndarray) -> np.ndarray:
+        """Count sketches of x, one per factor, convolved: the product of two such vectors estimates the power kernel."""
+        size = int(self.arrays["size"][0])
+        product = np.ones((len(x), size // 2 + 1), complex)
+        for places, signs in zip(self.arrays["places"].astype(int), self.arrays["signs"]):
+            to = np.zeros((x.shape[1], size))
+            to[np.arange(x.shape[1]), places] = signs
+            product *= np.fft.rfft(x @ to, axis=1)
+        return np.fft.irfft(product, size, axis=1)
+
+    def kernel_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The kernel itself, for every pair of rows."""
+        return _kernels(self.gamma, self.degree, self.coef0)[self.kernel](a, b)
+
+
+def _kernels(gamma: float, degree: int, coef0: float) -> dict:
+    return {
+        "rbf": lambda a, b: np.exp(-gamma * np.maximum(
+            (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T, 0.0)),
+        "linear": lambda a, b: a @ b.T,
+        "poly": lambda a, b: (gamma * (a @ b.T) + coef0) ** degree,
+        "sigmoid": lambda a, b: np.tanh(gamma * (a @ b.T) + coef0),
+    }
+
 
 class OneClassSVM:
     """D5. Without ``max_iter`` a fit ends when its gap is within ``tol``, or fails; with it, it may end before and warns."""
@@ -110,163 +138,38 @@ class OneClassSVM:
         self.n_components, self.seed, self.scale = n_components, seed, scale
 
     def fit(self, df: DataFrame) -> "OneClassSVMModel":
-        scaler = FlowScaler(self.features).fit(df) if self.scale else None
-        struct = prepared(self.features, scaler)
-        rows = spread(df.select(struct.alias("x")))
-        try:
-            return self._solve(rows, scaler)
-        finally:
-            rows.unpersist()
-
-    def _solve(self, rows: DataFrame, scaler) -> "OneClassSVMModel":
-        gamma = pooled_gamma(rows.select("x.*"), self.features, self.gamma)
-        fmap = FeatureMap(self.kernel, len(self.features), gamma, self.n_components, self.degree, self.coef0, self.seed)
-        sums, total = _map_sums(rows, fmap, None, None)
-        if total == 0:
-            raise ValueError("no training rows")
-        atoms, shares = np.stack([sums / total]), np.ones(1)
-        w, gap, longest = atoms[0], 0.0, float(atoms[0] @ atoms[0])
-        if self.nu < 1 and self.max_iter is None:
-            atoms = np.vstack([atoms, *self._start(rows, fmap, total)])
-            longest = float((atoms * atoms).sum(axis=1).max())
-            shares = _shares(atoms, np.eye(1, len(atoms))[0], self.tol / 100, ZERO * longest / 100)
-            w = shares @ atoms
-        rounds, limit = 0, MAX_ROUNDS if self.max_iter is None else self.max_iter
-        while self.nu < 1:
-            cut = self._quantile(rows, fmap, w, approximate=True)
-            below, n_below = _map_sums(rows, fmap, w, cut + SAME * abs(cut))
-            if n_below == 0:
-                raise ValueError("no training row has a finite score")
-            atom = below / n_below
-            gap, longest = float(w @ (w - atom)), max(longest, float(atom @ atom))
-            if gap <= max(self.tol * float(w @ w), ZERO * longest):
-                break
-            if rounds == limit:
-                text = f"gap {gap:.3g} after {rounds} rounds is above {self.tol:g} of the squared length {float(w @ w):.3g}"
-                if self.max_iter is None:
-                    raise RuntimeError(text)
-                warnings.warn(text, RuntimeWarning, stacklevel=3)
-                break
-            rounds += 1
-            atoms = np.vstack([atoms, atom])
-            shares = _shares(atoms, np.append(shares, 0.0), self.tol / 100, ZERO * longest / 100)
-            atoms, shares = atoms[shares > 0], shares[shares > 0]
-            w = shares @ atoms
-        rho = self._quantile(rows, fmap, w, approximate=False)
+        return fit_all(df, [self])[0]
+
+
+def fit_all(df: DataFrame, estimators: list[OneClassSVM]) -> list["OneClassSVMModel"]:
+    """Models of several estimators over the same features and rows, from shared passes."""
+    first = estimators[0]
+    if any((e.features, e.scale) != (first.features, first.scale) for e in estimators):
+        raise ValueError("fits that share their passes need the same features and scaling")
+    scaler = FlowScaler(first.features).fit(df) if first.scale else None
+    rows = spread(df.select(prepared(first.features, scaler).alias("x")))
+    try:
+        gammas = {rule: pooled_gamma(rows.select("x.*"), first.features, rule) for rule in {e.gamma for e in estimators}}
+        maps: dict[tuple, FeatureMap] = {}
+        problems = []
+        for e in estimators:
+            key = (e.kernel, gammas[e.gamma] if e.kernel != "linear" else 0.0, e.n_components, e.degree, e.coef0, e.seed)
+            if key not in maps:
+                maps[key] = FeatureMap(e.kernel, len(e.features), gammas[e.gamma], e.n_components, e.degree, e.coef0, e.seed)
+            problems.append(Problem(maps[key], e.nu, e.tol, e.max_iter))
+        total = solve(rows, problems)
+    finally:
+        rows.unpersist()
+    models = []
+    for e, p in zip(estimators, problems):
         model = OneClassSVMModel()
-        model.features, model.scaler, model.fmap, model.weights = self.features, scaler, fmap, w
-        model.rho, model.threshold, model.nu, model.rounds, model.gap = rho, 0.0, self.nu, rounds, gap
-        model.n_rows, model.seed = int(total), self.seed
-        return model
-
-    def _start(self, rows: DataFrame, fmap: FeatureMap, total: float) -> list[np.ndarray]:
-        """Points of all rows in the directions of a solution over a sample; only those of nu of the rows or more."""
-        components = len(fmap(np.zeros((1, len(self.features))))[0])
-        most = max(100, min(START_ROWS, START_SIZE // components))
-        place = F.pmod(F.xxhash64("x"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        sample = rows if total <= most else rows.where(place < most / total).limit(2 * most)
-        z = fmap(sample.select("x.*").toPandas().to_numpy(dtype=float, na_value=np.nan))
-        z = z[np.isfinite(z).all(axis=1)]
-        if not len(z):
-            return []
-        spare = 0.0 if total <= most else 2.0 * math.sqrt(self.nu / len(z))
-        k = min(len(z), math.ceil((self.nu + spare) * len(z)))
-        atoms, shares, ways = z.mean(axis=0)[None], np.ones(1), [(np.zeros(components), 0.0)]
-        for _ in range(MAX_ROUNDS):
-            w = shares @ atoms
-            scores = z @ w
-            cut = float(np.partition(scores, k - 1)[k - 1])
-            atom = z[scores <= cut].mean(axis=0)
-            longest = max(float((atoms * atoms).sum(axis=1).max()), float(atom @ atom))
-            if float(w @ (w - atom)) <= max(self.tol * float(w @ w), ZERO * longest) / 2:
-                break
-            atoms, ways = np.vstack([atoms, atom]), [*ways, (w, cut)]
-            shares = _shares(atoms, np.append(shares, 0.0), self.tol / 100, ZERO * longest / 100, steps=20_000)
-            used = np.flatnonzero(shares > 0)
-            atoms, shares, ways = atoms[used], shares[used], [ways[i] for i in used]
-        ways = [way for way in ways if way[0].any()][-max(1, START_SIZE // 50 // components):]
-        if not ways:
-            return []
-        directions, cuts = np.stack([way[0] for way in ways], axis=1), np.array([way[1] for way in ways])
-        cuts = cuts + SAME * np.abs(cuts)
-
-        def sums(batches):
-            made = np.zeros((len(ways), components + 1))
-            for batch in batches:
-                z = fmap(batch.to_numpy(dtype=float, na_value=np.nan))
-                below = (z @ directions <= cuts).astype(float)
-                made += np.hstack([below.T @ z, below.sum(axis=0)[:, None]])
-            yield pd.DataFrame({"values": [made.ravel()]})
-
-        parts = rows.select("x.*").mapInPandas(sums, "values array<double>")
-        summed = parts.select(F.posexplode("values").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
-        table = np.array([r["v"] for r in sorted(summed, key=lambda r: r["k"])]).reshape(len(ways), components + 1)
-        return [row[:-1] / row[-1] for row in table if row[-1] >= self.nu * total]
-
-    def _quantile(self, rows, fmap, w, approximate: bool) -> float:
-        score = matrix_column(lambda m: fmap(m) @ w, F.col("x")).alias("s")
-        share = min(self.nu, 1.0)
-        if self.nu >= 1:
-            share = 0.5  # every training row is a support vector; the offset is then free, the median is used
-        if approximate:
-            accuracy = max(10_000, math.ceil(100 / share))  # the rank is off by a hundredth of nu at most
-            return rows.select(score).agg(F.percentile_approx("s", share, accuracy)).first()[0]
-        scored = rows.select(score).persist()
-        try:
-            return exact_percentiles(scored, ["s"], [share])[("s", share)]
-        finally:
-            scored.unpersist()
-
-
-def _map_sums(rows: DataFrame, fmap: FeatureMap, w: np.ndarray | None, cut: float | None) -> tuple[np.ndarray, float]:
-    """Sum of z over rows with w.z <= cut (all rows without a cut) and their number.
-
-    Each task adds up its batches; the per-task vectors are summed by component in a shuffle, so what reaches the driver
-    is one number per component, however many tasks there are.
-    """
-    def partial(batches):
-        total, n = None, 0
-        for batch in batches:
-            z = fmap(batch.to_numpy(dtype=float, na_value=np.nan))
-            if w is not None:
-                z = z[z @ w <= cut]
-            total = z.sum(axis=0) if total is None else total + z.sum(axis=0)
-            n += len(z)
-        if total is not None:
-            yield pd.DataFrame({"values": [np.append(total, float(n))]})
-
-    parts = rows.select("x.*").mapInPandas(partial, "values array<double>")
-    summed = parts.select(F.posexplode("values").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
-    if not summed:
-        return np.zeros(1), 0.0
-    ordered = np.array([r["v"] for r in sorted(summed, key=lambda r: r["k"])])
-    return ordered[:-1], float(ordered[-1])
-
-
-def _shares(atoms: np.ndarray, shares: np.ndarray, tol: float = 0.0, least: float = 1e-12,
-            steps: int = 200_000) -> np.ndarray:
-    """Shares of the atoms in the shortest vector of their hull (pairwise exchange steps with exact line search)."""
-    gram = atoms @ atoms.T
-    shares = shares.copy()
-    slope = gram @ shares
-    for _ in range(steps):
-        to, away = int(np.argmin(slope)), int(np.argmax(np.where(shares > 0, slope, -np.inf)))
-        gain = slope[away] - slope[to]
-        if gain <= max(tol * float(shares @ slope), least):
-            break
-        curvature = gram[to, to] + gram[away, away] - 2.0 * gram[to, away]
-        move = min(shares[away], gain / curvature if curvature > 0 else shares[away])
-        shares[to] += move
-        shares[away] -= move
-        slope = gram @ shares
-    return shares / shares.sum()
-
-
-def _shortest(atoms: np.ndarray) -> np.ndarray:
-    """Shortest vector in the convex hull of a handful of atoms."""
-    start = np.zeros(len(atoms))
-    start[int(np.argmin((atoms * atoms).sum(axis=1)))] = 1.0
-    return _shares(atoms, start) @ atoms
+        model.features, model.scaler, model.fmap, model.weights = e.features, scaler, p.fmap, p.weights
+        model.rho, model.threshold, model.nu, model.rounds, model.gap = p.rho, 0.0, e.nu, p.rounds, p.gap
+        model.n_rows, model.seed = total, e.seed
+        model.support = {"directions": np.stack([way[0] for way in p.ways]), "cuts": np.array([way[1] for way in p.ways]),
+                         "shares": p.shares / np.array([way[2] for way in p.ways])}
+        models.append(model)
+    return models
 
 
 class OneClassSVMModel(Detector):
@@ -274,6 +177,7 @@ class OneClassSVMModel(Detector):
 
     kind = "one_class_svm"
     higher_is_worse = False
+    support: dict[str, np.ndarray] | None = None
 
     def matrix_score(self):
         fmap, w, rho = self.fmap, self.weights, self.rho
@@ -285,10 +189,31 @@ class OneClassSVMModel(Detector):
     def probability(self, raw: Column) -> Column:
         return svm_probability(raw)
 
+    def coefficient(self) -> Column:
+        """A row's dual coefficient, the sum of share / rows over the solver's points that the row belongs to.
+
+        The coefficients of the training rows sum to 1, none exceeds 1 / (nu n), and with them as weights the rows' z add
+        up to the model's weights. Rows that are no support vectors have 0.
+        """
+        if self.support is None:
+            raise ValueError("this model has no record of its support vectors")
+        fmap, support = self.fmap, self.support
+        directions, cuts, shares = support["directions"].T, support["cuts"], support["shares"]
+        return matrix_column(lambda rows: (fmap(rows) @ directions <= cuts) @ shares, prepared(self.features, self.scaler))
+
+    def support_vectors(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """Keys (the indices), ``coefficient`` and ``raw_score`` of the support vectors among the training rows."""
+        scored = df.withColumn("coefficient", self.coefficient()).withColumn("raw_score", self.raw_score())
+        return scored.select(*keys, "coefficient", "raw_score").where("coefficient > 0")
+
     def support_report(self, df: DataFrame) -> DataFrame:
-        """Number of training rows on or outside the margin, weights norm, offset, duality gap."""
-        return df.select(self.raw_score().alias("s")).agg(
+        """Training rows on or outside the margin, support vectors and the sum of their coefficients, weights norm,
+        offset, duality gap."""
+        made = [] if self.support is None else [self.coefficient().alias("a")]
+        rows = df.select(self.raw_score().alias("s"), *(made or [F.lit(None).cast("double").alias("a")]))
+        return rows.agg(
             F.count("*").alias("rows"), F.count_if(F.col("s") <= 0).alias("support_rows"),
+            F.count_if(F.col("a") > 0).alias("support_vectors"), F.sum("a").alias("coefficient_sum"),
             F.lit(float(self.rho)).alias("intercept"), F.lit(float(np.linalg.norm(self.weights))).alias("weight_norm"),
             F.lit(len(self.weights)).alias("n_components"), F.lit(float(self.gap)).alias("gap"))
 
@@ -296,6 +221,29 @@ class OneClassSVMModel(Detector):
         """The rows themselves."""
         return df.withColumn("raw_score", self.raw_score()).where("raw_score <= 0")
 
+    def support_sum(self, df: DataFrame) -> np.ndarray:
+        """The sum of coefficient times z over rows, one number per component: the weights, if these are the training rows."""
+        fmap, support = self.fmap, self.support
+
+        def weighted(rows: np.ndarray) -> np.ndarray:
+            z = fmap(rows)
+            return z * ((z @ support["directions"].T <= support["cuts"]) @ support["shares"])[:, None]
+
+        rows = df.select(prepared(self.features, self.scaler).alias("x"))
+        return sums(rows, [weighted], [(0, None, None)])[0][0, :-1]
+
+    def kernel_error(self, df: DataFrame, rows: int = ERROR_ROWS) -> float:
+        """Mean distance of z.z to the kernel over the pairs of some rows, in shares of the kernel's mean size."""
+        n = df.count()
+        spot = F.pmod(F.xxhash64(*self.features), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        some = df.select(*self.features).where(spot < min(1.0, 2 * rows / max(n, 1))).limit(rows)
+        x = some.select(prepared(self.features, self.scaler).alias("x")).select("x.*").toPandas().to_numpy(dtype=float)
+        if len(x) < 2:
+            return 0.0
+        z, pairs = self.fmap(x), ~np.eye(len(x), dtype=bool)
+        exact = self.fmap.kernel_of(x, x)
+        return float(np.abs(z @ z.T - exact)[pairs].mean() / max(np.abs(exact)[pairs].mean(), 1e-300))
+
     def weight_importance(self, spark: SparkSession) -> DataFrame:
         """D10, linear kernel only."""
         if self.fmap.kernel != "linear":
@@ -311,7 +259,8 @@ class OneClassSVMModel(Detector):
                 "components": len(self.weights)}
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"weights": self.weights}
+        return {"weights": self.weights, **{f"map_{name}": a for name, a in self.fmap.arrays.items()},
+                **{f"support_{name}": a for name, a in (self.support or {}).items()}}
 
     @classmethod
     def restore(cls, metadata, arrays):
@@ -319,13 +268,14 @@ class OneClassSVMModel(Detector):
         model.weights = arrays["weights"]
         model.rho, model.nu, model.rounds = metadata["rho"], metadata["nu"], metadata["rounds"]
         model.n_rows, model.seed, model.gap = metadata["rows"], metadata["seed"], metadata.get("gap", float("nan"))
-        model.pending_map = metadata
+        model.support = {name[8:]: a for name, a in arrays.items() if name.startswith("support_")} or None
+        model.pending_map = metadata, {name[4:]: a for name, a in arrays.items() if name.startswith("map_")}
         return model
 
     def finish(self) -> "OneClassSVMModel":
-        m = self.pending_map
+        m, arrays = self.pending_map
         self.fmap = FeatureMap(m["kernel"], len(self.features), m["gamma"], m["components"], m["degree"], m["coef0"],
-                               m["seed"])
+                               m["seed"], arrays)
         return self
 
 
@@ -345,34 +295,64 @@ def kernel_decision(df: DataFrame, features: list[str], vectors: DataFrame, inte
                     output: str = "raw_score") -> DataFrame:
     """D7 for a given table of support vectors (feature columns and ``weight``): sum of weight * k(x, v) - intercept.
 
-    Vectors travel to the tasks in slices of bounded size; each slice adds its part, so any number of them works.
+    Up to ``MAX_SENT`` vectors travel to the tasks in slices of bounded size. More of them stay in Spark: vectors are dealt
+    into numbered blocks, flows into chunks, a pair of them meets in one task, and the partial sums of a flow are added up;
+    the driver sees neither.
     """
-    kernels = {
-        "rbf": lambda a, b: np.exp(-gamma * np.maximum(
-            (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T, 0.0)),
-        "linear": lambda a, b: a @ b.T,
-        "poly": lambda a, b: (gamma * (a @ b.T) + coef0) ** degree,
-        "sigmoid": lambda a, b: np.tanh(gamma * (a @ b.T) + coef0),
-    }
-    k = kernels[kernel]
+    k = _kernels(gamma, degree, coef0)[kernel]
     struct = prepared(features, scaler)
+    given = vectors.select(struct.alias("x"), F.col("weight").cast("double").alias("weight"))
+    n = given.count()
+    if n > MAX_SENT:
+        return _blocked_decision(df, struct, given, n, k, intercept, output)
     total: Column = F.lit(0.0)
-    slices: list[list] = [[]]
-    for row in vectors.select(struct.alias("x"), F.col("weight").cast("double").alias("weight")).toLocalIterator():
-        if len(slices[-1]) == VECTORS_PER_PASS:
-            slices.append([])
-        slices[-1].append((*row["x"], row["weight"]))
-    for rows in slices:
-        block = np.array(rows, dtype=float).reshape(-1, len(features) + 1)
-
-        def part(x: np.ndarray, block=block) -> np.ndarray:
-            return np.concatenate([k(x[i:i + 4096], block[:, :-1]) @ block[:, -1] for i in range(0, len(x), 4096)]
-                                  or [np.zeros(0)])
+    block = np.array([(*row["x"], row["weight"]) for row in given.collect()], dtype=float).reshape(-1, len(features) + 1)
+    for i in range(0, max(n, 1), VECTORS_PER_PASS):
+        def part(x: np.ndarray, block=block[i : i + VECTORS_PER_PASS]) -> np.ndarray:
+            return _partial_sums(x, block[:, :-1], block[:, -1], k)
 
         total = total + matrix_column(part, struct)
     return df.withColumn(output, total - F.lit(float(intercept)))
 
 
+def _partial_sums(x: np.ndarray, vectors: np.ndarray, weights: np.ndarray, k) -> np.ndarray:
+    return np.concatenate([k(x[i:i + 4096], vectors) @ weights for i in range(0, len(x), 4096)] or [np.zeros(0)])
+
+
+def _blocked_decision(df: DataFrame, struct: Column, vectors: DataFrame, n: int, k, intercept: float,
+                      output: str) -> DataFrame:
+    blocks = -(-n // VECTORS_PER_PASS)
+    numbered = materialise(df.withColumn("_flow", F.monotonically_increasing_id()), "numbered-flows")
+    chunks = max(1, -(-numbered.count() // FLOWS_PER_CHUNK))
+    left = numbered.select("_flow", _entries(struct, numbered).alias("v"),
+                           (F.col("_flow") % chunks).alias("chunk"),
+                           F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = vectors.select(_entries(F.col("x"), vectors.select("x")).alias("v"), "weight",
+                           (F.monotonically_increasing_id() % blocks).cast("int").alias("block"),
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+
+    def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+        return np.concatenate([part.flatten().to_numpy(zero_copy_only=False) for part in column.chunks]).reshape(rows, -1)
+
+    def run(flows: pa.Table, block: pa.Table) -> pa.Table:
+        if not flows.num_rows or not block.num_rows:
+            return pa.table({"_flow": pa.array([], pa.int64()), "_part": pa.array([], pa.float64())})
+        made = _partial_sums(matrix(flows["v"], flows.num_rows), matrix(block["v"], block.num_rows),
+                             block["weight"].to_numpy(), k)
+        return pa.table({"_flow": flows["_flow"], "_part": pa.array(made)})
+
+    parts = (left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block"))
+             .applyInArrow(run, "_flow long, _part double"))
+    totals = parts.groupBy("_flow").agg(F.sum("_part").alias("_total"))
+    return numbered.join(totals, "_flow").withColumn(output, F.col("_total") - F.lit(float(intercept))).drop("_flow", "_total")
+
+
+def _entries(struct: Column, df: DataFrame) -> Column:
+    """The fields of a struct as one array."""
+    names = df.select(struct.alias("s")).schema["s"].dataType.names
+    return F.array(*[struct.getField(name) for name in names])
+
+
 def permutation_importance(df: DataFrame, model: Detector, keys: list[str], seed: int = 42) -> DataFrame:
     """|variance of scores - variance with one feature permuted|, as shares.
 

@@ -3,9 +3,11 @@ checked by properties in the tests and return whole result tables here."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowlens.detect import autoencoder, forest, network, ocsvm, registry, vae
 from flowlens.operators import metrics, sampling, schema
@@ -55,8 +57,8 @@ def _z_sql() -> list[str]:
     fmap = _flagship_map()
     return [
         f"sqrt(2.0 / {COMPONENTS}) * cos(" + " + ".join(
-            f"x{i} * ({float(fmap.frequencies[i, k])!r}::double)" for i in range(len(THREE)))
-        + f" + ({float(fmap.phases[k])!r}::double))" for k in range(COMPONENTS)]
+            f"x{i} * ({float(fmap.arrays["frequencies"][i, k])!r}::double)" for i in range(len(THREE)))
+        + f" + ({float(fmap.arrays["phases"][k])!r}::double))" for k in range(COMPONENTS)]
 
 
 MAPPED = SCALED + ", mapped as (select *, " + ", ".join(
@@ -239,6 +241,40 @@ def d9(spark, sf_dir):
     return ocsvm.OneClassSVM(FOUR, nu=0.1).fit(benign).support_report(benign)
 
 
+# What holds of the dual coefficients of any fit: each lies above 0 and within 1 / (nu n), they sum to 1, at least nu of the
+# rows have one, and the rows' images weighted by them are the model's weights.
+@query("d9_support_vectors", f"""with {SIGNAL}, benign as (select count(*) as n from signal where label = 'BENIGN')
+  select kernel, n as training_rows, true as within_bounds, 1.0::double as coefficient_sum, true as enough,
+    true as weights_match, true as gap_closed from benign, (values ('rbf'), ('linear'), ('poly')) k(kernel)""")
+def d9_support_vectors(spark, sf_dir):
+    nu = 0.1
+    benign = keep(schema.filter_benign(flows_signal(spark, sf_dir, heavy=True).select(*FLOW_KEYS, *THREE, "label")))
+    kernels = ["rbf", "linear", "poly"]
+    models = ocsvm.fit_all(benign, [ocsvm.OneClassSVM(THREE, nu=nu, kernel=k, degree=2, coef0=1.0) for k in kernels])
+    made = []
+    for kernel, model in zip(kernels, models):
+        # linear: the mean of scaled features is 0, so the shortest vector has no length worth a share
+        away, length = np.linalg.norm(model.support_sum(benign) - model.weights), np.linalg.norm(model.weights)
+        a, n = F.col("coefficient"), F.lit(model.n_rows)
+        made.append(model.support_vectors(benign, FLOW_KEYS).agg(
+            F.lit(kernel).alias("kernel"), n.cast("long").alias("training_rows"),
+            ((F.min(a) > 0) & (F.max(a) <= 1.000001 / (nu * n))).alias("within_bounds"),
+            F.round(F.sum(a), 9).alias("coefficient_sum"), (F.count("*") >= nu * n).alias("enough"),
+            F.lit(bool(away <= 1e-6 * length + 1e-9)).alias("weights_match"),
+            F.lit(bool(model.gap <= 1e-3 * length**2 + 1e-9)).alias("gap_closed")))
+    return reduce(DataFrame.unionByName, made)
+
+
+# The polynomial kernel over 64 features and a constant: 47,905 monomials, so the map is a tensor sketch.
+@query("d5_svm_poly_wide")
+def d5_poly_wide(spark, sf_dir):
+    df = vectors(spark, sf_dir)
+    model = ocsvm.OneClassSVM(VECTOR_FEATURES, nu=0.1, kernel="poly", degree=3, coef0=1.0).fit(schema.filter_benign(df))
+    flagged = model.transform(df).groupBy("label").agg(F.avg("prediction").alias("flagged_share"))
+    return flagged.withColumns({"kernel_error": F.lit(model.kernel_error(df)), "gap": F.lit(float(model.gap)),
+                                "rounds": F.lit(model.rounds), "components": F.lit(len(model.weights))})
+
+
 @query("d10_weight_importance", f"""with {SIGNAL}, weights as (
   select label as feature, avg(flow_duration) - 25.0 as weight from signal group by label
   union all select day, 25.0 - avg(flow_duration) from signal group by day)

@@ -4,15 +4,19 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.detect import network, registry
+from flowlens.detect import network, ocsvm, registry
 from flowlens.detect.autoencoder import Autoencoder, AutoencoderModel
+from flowlens.detect.base import prepared
 from flowlens.detect.forest import IsolationForest, average_path
-from flowlens.detect.ocsvm import FeatureMap, OneClassSVM, _shortest, pooled_gamma
+from flowlens.detect.ocsvm import FeatureMap, OneClassSVM, fit_all, kernel_decision, pooled_gamma
+from flowlens.detect.svm_solver import shortest
 from flowlens.detect.vae import VariationalAutoencoder, VariationalAutoencoderModel
 from flowlens.operators import explain
+from flowlens.session import keep
 
 FEATURES = ["a", "b", "c"]
 
@@ -93,15 +97,65 @@ def test_svm_feature_maps_approximate_their_kernels():
     assert np.abs(rbf @ rbf.T - exact).max() < 0.08
     poly = FeatureMap("poly", 4, 0.5, 0, 3, 1.0, 1)(x)
     assert np.allclose(poly @ poly.T, (0.5 * x @ x.T + 1.0) ** 3)
-    with pytest.raises(ValueError):
-        FeatureMap("poly", 60, 1.0, 0, 4, 0.0, 1)
+    wide = rng.normal(size=(40, 66))
+    sketch = FeatureMap("poly", 66, 1 / 66, 4096, 3, 1.0, 1)
+    exact = sketch.kernel_of(wide, wide)
+    assert sketch.sketched and np.abs(sketch(wide) @ sketch(wide).T - exact).mean() < 0.1 * np.abs(exact).mean()
     with pytest.raises(ValueError):
         FeatureMap("sigmoid", 4, 1.0, 0, 3, 0.0, 1)
 
 
+def test_svm_dual_coefficients(spark, cloud, tmp_path):
+    """They are those of the dual problem: a convex combination within bounds whose rows make up the weights."""
+    rows = keep(benign(cloud))
+    n = rows.count()
+    kernels = [("rbf", 0.05), ("linear", 0.2), ("poly", 0.1), ("rbf", 1.0)]
+    models = fit_all(rows, [OneClassSVM(FEATURES, nu=nu, kernel=k, degree=2, coef0=1.0, n_components=64) for k, nu in kernels])
+    for (kernel, nu), model in zip(kernels, models):
+        got = model.support_vectors(rows, ["id"]).collect()
+        a = np.array([r.coefficient for r in got])
+        assert len(got) >= nu * n and a.sum() == pytest.approx(1.0, abs=1e-9) and a.min() > 0 and a.max() <= 1.0001 / (nu * n)
+        assert len({r.id for r in got}) == len(got)
+        assert np.allclose(model.support_sum(rows), model.weights, rtol=1e-6, atol=1e-9)
+        by_id = {r.id: np.array(list(r.x)) for r in rows.select("id", prepared(FEATURES, model.scaler).alias("x")).collect()}
+        plain = sum(r.coefficient * model.fmap(by_id[r.id][None])[0] for r in got)
+        assert np.allclose(plain, model.weights, rtol=1e-6, atol=1e-9)
+        alone = OneClassSVM(FEATURES, nu=nu, kernel=kernel, degree=2, coef0=1.0, n_components=64).fit(rows)
+        assert np.allclose(alone.weights, model.weights, rtol=1e-6, atol=1e-9) and alone.rho == pytest.approx(model.rho)
+    assert models[0].support_report(rows).first()["support_vectors"] >= 0.05 * n
+    models[0].save(spark, str(tmp_path / "m"))
+    again = registry.load_model(spark, str(tmp_path / "m"))
+    assert again.support_vectors(rows, ["id"]).agg(F.sum("coefficient")).first()[0] == pytest.approx(1.0, abs=1e-9)
+    assert again.info(spark).first()["n_parameters"] == len(again.weights)
+
+
+def test_polynomial_svm_on_66_features(spark):
+    rng = np.random.default_rng(5)
+    names = [f"f{i}" for i in range(66)]
+    data = pd.DataFrame(rng.normal(size=(600, 66)), columns=names)
+    df = spark.createDataFrame(data)
+    model = OneClassSVM(names, nu=0.2, kernel="poly", degree=3, coef0=1.0, tol=0.02).fit(df)
+    assert len(model.weights) == ocsvm.SKETCH and model.kernel_error(df) < 0.5
+    assert model.transform(df).agg(F.avg("prediction")).first()[0] == pytest.approx(0.2, abs=0.01)
+
+
+@pytest.mark.parametrize("kernel", ["rbf", "linear", "poly", "sigmoid"])
+def test_kernel_decision_in_blocks(spark, cloud, monkeypatch, kernel):
+    vectors = cloud.limit(60).withColumn("weight", F.col("id") % 7 / 10.0)
+    options = {"kernel": kernel, "gamma": 0.1, "coef0": 0.5, "degree": 2}
+    want = {r.id: r.raw_score for r in kernel_decision(cloud, FEATURES, vectors, 0.25, **options).collect()}
+    monkeypatch.setattr(ocsvm, "MAX_SENT", 10)
+    monkeypatch.setattr(ocsvm, "VECTORS_PER_PASS", 13)
+    monkeypatch.setattr(ocsvm, "FLOWS_PER_CHUNK", 100)
+    made = kernel_decision(cloud, FEATURES, vectors, 0.25, **options)
+    assert made.columns == [*cloud.columns, "raw_score"]
+    got = {r.id: r.raw_score for r in made.collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+
 def test_shortest_vector_of_a_hull():
     atoms = np.array([[2.0, 1.0], [1.0, 2.0], [4.0, 4.0]])
-    assert np.allclose(_shortest(atoms), [1.5, 1.5], atol=1e-6)
+    assert np.allclose(shortest(atoms), [1.5, 1.5], atol=1e-6)
 
 
 def test_gamma_rules(spark, cloud):
