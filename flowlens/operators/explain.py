@@ -155,73 +155,156 @@ def summary(df: DataFrame, features: list[str], shap: str = "shap", top: int = 2
 
 # ---- trees ---------------------------------------------------------------------------------------------------------
 
-def _leaf_paths(table: dict[str, np.ndarray], leaf_value: np.ndarray):
-    """For every leaf: value, the features on its path, per feature the interval it allows and the share of training
-    points that pass its splits."""
-    paths = []
-    for tree in np.unique(table["tree"]):
-        at = np.flatnonzero(table["tree"] == tree)
-        node = {int(n): int(i) for n, i in zip(table["node"][at], at)}
-        stack = [(0, {})]
-        while stack:
-            n, conditions = stack.pop()
-            i = node[n]
-            f = int(table["feature"][i])
-            if f < 0:
-                paths.append((leaf_value[i], conditions))
-                continue
-            cut = float(table["threshold"][i])
-            for side in ("left", "right"):
-                child = node[int(table[side][i])]
-                low, high, share = conditions.get(f, (-np.inf, np.inf, 1.0))
-                share *= table["size"][child] / table["size"][i]
-                window = (low, min(high, cut), share) if side == "left" else (max(low, cut), high, share)
-                stack.append((int(table["node"][child]), {**conditions, f: window}))
-    return paths
+#: Numbers in the tables of leaf contributions; a forest that needs more is explained in the linear form.
+MAX_TABLE = 8_000_000
+#: Rows that are explained at once.
+TREE_ROWS = 1024
+
+
+class _Forest:
+    """Node arrays of all trees in one index space, level by level, with the share of training points of every edge."""
+
+    def __init__(self, table: dict[str, np.ndarray]):
+        roots = np.flatnonzero(table["node"] == 0)
+        base = np.repeat(roots, np.diff(np.append(roots, len(table["node"]))))
+        self.roots, self.feature, self.threshold = roots, table["feature"], table["threshold"]
+        self.left, self.right = table["left"] + base, table["right"] + base
+        size = table["size"].astype(float)
+        self.inner = self.feature >= 0
+        self.share = np.ones(len(size))  # of the parent's points, by child
+        for child in (self.left, self.right):
+            self.share[child[self.inner]] = size[child[self.inner]] / size[self.inner]
+        levels, at = [], roots
+        while len(at):
+            levels.append(at)
+            at = at[self.inner[at]]
+            at = np.concatenate([self.left[at], self.right[at]])
+        self.levels = levels
+
+    def path_shares(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """By node and feature: the share of points that pass the feature's splits on the path, and whether it has any."""
+        shares, used = np.ones((len(self.feature), d)), np.zeros((len(self.feature), d), bool)
+        for at in self.levels:
+            at = at[self.inner[at]]
+            for child in (self.left[at], self.right[at]):
+                shares[child], used[child] = shares[at], used[at]
+                shares[child, self.feature[at]] *= self.share[child]
+                used[child, self.feature[at]] = True
+        return shares, used
+
+
+def _quadrature(longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Legendre nodes and weights on [0, 1], exact for the products along a path of so many features."""
+    points, weights = np.polynomial.legendre.leggauss(max(1, (longest + 1) // 2))
+    return (points + 1.0) / 2.0, weights / 2.0
 
 
 def tree_contributions(model) -> tuple[Scorer, float]:
     """Path-dependent contributions to the mean path length of an isolation forest, and their base value.
 
     For each leaf the chance to reach it factors over the features on its path: 1 or 0 for a known feature, the share of
-    training points for an unknown one. The Shapley weights of such a product follow from a polynomial in one variable,
-    integrated exactly by Gauss-Legendre nodes.
+    training points for an unknown one. The Shapley weights of such a product are an integral of a polynomial, exact by a
+    few quadrature points. With few features the contributions of a leaf are a table by which features the row meets;
+    else a pass down and up each tree shares the products of common paths, linear in its nodes.
     """
     from flowlens.detect.forest import average_path
 
-    table = model.table
-    leaf_value = table["depth"] + average_path(table["size"])
-    paths = _leaf_paths(table, leaf_value)
-    n_trees, d = len(np.unique(table["tree"])), len(model.features)
-    base = float(sum(v * np.prod([c[2] for c in conditions.values()]) for v, conditions in paths) / n_trees)
-    longest = max((len(c) for _, c in paths), default=1)
-    points, weights = np.polynomial.legendre.leggauss(max(1, (longest + 1) // 2))
-    t, wt = (points + 1.0) / 2.0, weights / 2.0
+    table, d = model.table, len(model.features)
+    forest, value = _Forest(table), table["depth"] + average_path(table["size"])
+    leaves = np.concatenate([at[~forest.inner[at]] for at in forest.levels])
+    shares, used = forest.path_shares(d)
+    n_trees = len(forest.roots)
+    base = float((value[leaves] * shares[leaves].prod(axis=1)).sum() / n_trees)
+    if len(leaves) * d * 2.0 ** d <= MAX_TABLE:
+        explain_block = _by_tables(forest, leaves, value[leaves], shares[leaves], used[leaves])
+    else:
+        explain_block = _by_paths(forest, value, int(used.sum(axis=1).max()))
 
     def contributions(rows: np.ndarray) -> np.ndarray:
         out = np.zeros((len(rows), d))
-        for value, conditions in paths:
-            names = list(conditions)
-            if not names:
-                continue
-            inside = np.stack([(rows[:, f] > conditions[f][0]) & (rows[:, f] <= conditions[f][1]) for f in names])
-            share = np.array([conditions[f][2] for f in names])
-            # With every feature known with chance t: factor = share + t * (inside - share).
-            change = inside.astype(float) - share[:, None]
-            factors = share[:, None, None] + t[None, None, :] * change[:, :, None]
-            everything = factors.prod(axis=0)
-            for j, f in enumerate(names):
-                others = np.divide(everything, factors[j], out=np.zeros_like(everything), where=factors[j] > 1e-12)
-                small = factors[j] <= 1e-12
-                if small.any():
-                    exact = np.delete(factors, j, axis=0).prod(axis=0)
-                    others = np.where(small, exact, others)
-                out[:, f] += value * change[j] * (others * wt).sum(axis=1)
+        for i in range(0, len(rows), TREE_ROWS):
+            out[i : i + TREE_ROWS] = explain_block(np.ascontiguousarray(rows[i : i + TREE_ROWS].T)).T
         return out / n_trees
 
     return contributions, base
 
 
+def _by_tables(forest: _Forest, leaves: np.ndarray, value: np.ndarray, shares: np.ndarray, used: np.ndarray):
+    """A leaf's contributions by the set of features whose splits on its path the row passes."""
+    d = shares.shape[1]
+    t, wt = _quadrature(d)
+    passed = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)  # by set and feature
+    tables = np.empty((d, len(leaves), 1 << d))
+    for i in range(0, len(leaves), 512):
+        part = slice(i, i + 512)
+        share = np.where(used[part], shares[part], 1.0)[:, None, :]
+        change = np.where(used[part][:, None, :], passed[None], 1.0) - share
+        factors = share[..., None] + t * change[..., None]  # never 0: shares are above 0 and t below 1
+        product = factors.prod(axis=2)
+        for j in range(d):
+            tables[j, part] = value[part, None] * change[:, :, j] * ((product / factors[:, :, j]) @ wt)
+    tables = tables.reshape(d, -1)
+    kind = np.min_scalar_type((1 << d) - 1)
+    slot = np.full(len(forest.feature), -1)
+    slot[leaves] = np.arange(len(leaves))
+
+    def block(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(x.shape)
+        at, sets = forest.roots, np.full((len(forest.roots), x.shape[1]), (1 << d) - 1, kind)
+        while len(at):
+            inner = forest.inner[at]
+            ends, own = at[~inner], sets[~inner]
+            for i in range(0, len(ends), 64):
+                places = own[i : i + 64] + (slot[ends[i : i + 64]] << d)[:, None]
+                for j in range(d):
+                    out[j] += tables[j].take(places).sum(axis=0)
+            at, sets = at[inner], sets[inner]
+            if not len(at):
+                break
+            feature = forest.feature[at]
+            less = x[feature] <= forest.threshold[at][:, None]
+            lost = np.invert(np.left_shift(1, feature).astype(kind))[:, None]
+            full = kind.type((1 << d) - 1)
+            sets = np.concatenate([sets & np.where(less, full, lost), sets & np.where(less, lost, full)])
+            at = np.concatenate([forest.left[at], forest.right[at]])
+        return out
+
+    return block
+
+
+def _by_paths(forest: _Forest, value: np.ndarray, longest: int):
+    """The linear form: products of factors go down a tree, their sums over leaves come up, and every edge adds what its
+    feature gains over the feature's edge before on the path."""
+    t, wt = _quadrature(longest)
+    q = len(t)
+
+    def block(x: np.ndarray) -> np.ndarray:
+        out, n = np.zeros(x.shape), x.shape[1]
+
+        def walk(node: int, product: np.ndarray, path: dict[int, tuple[float, np.ndarray]]) -> np.ndarray:
+            if not forest.inner[node]:
+                return product * value[node]
+            f = int(forest.feature[node])
+            less = x[f] <= forest.threshold[node]
+            before_share, before = path.get(f, (1.0, np.ones(n, bool)))
+            total = np.zeros((q, n))
+            for child, goes in ((int(forest.left[node]), less), (int(forest.right[node]), ~less)):
+                share, inside = before_share * forest.share[child], before & goes
+                new = np.where(inside, share + t[:, None] * (1 - share), share * (1 - t[:, None]))
+                old = np.where(before, before_share + t[:, None] * (1 - before_share), before_share * (1 - t[:, None]))
+                sums = walk(child, product * (new / old), {**path, f: (share, inside)})
+                gain = (inside - share) / new - ((before - before_share) / old if f in path else 0.0)
+                out[f] += wt @ (sums * gain)
+                total += sums
+            return total
+
+        for root in forest.roots:
+            walk(int(root), np.ones((q, n)), {})
+        return out
+
+    return block
+
+
 def explain_forest(df: DataFrame, model) -> DataFrame:
     """``shap`` and ``expected_value`` for the mean path length (shorter is more anomalous)."""
     contributions, base = tree_contributions(model)

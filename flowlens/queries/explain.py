@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlens.detect import autoencoder, forest, registry
+from flowlens.detect.base import matrix_column, prepared
 from flowlens.operators import explain, schema
 from flowlens.queries.detect import (
     FOUR, GIVEN_LAYERS, GIVEN_THETA, LINEAR_SCORE, LINEAR_WEIGHTS, SCALED, THREE, _clean_signal, _given_forest,
     _linear_svm, _scaler, _three,
 )
-from flowlens.queries.registry import KEYS, md5_of, query, r, rounded
+from flowlens.queries.registry import KEYS, SIGNAL, md5_of, query, r, rounded
 from flowlens.sources.views import FLOW_KEYS, flows_signal
 
 BACKGROUND = SCALED + f""", background as (select avg(x0) as b0, avg(x1) as b1, avg(x2) as b2 from (
@@ -89,10 +90,21 @@ def x5(spark, sf_dir):
 @query("x6_tree_shap")
 def x6(spark, sf_dir):
     df = _clean_signal(spark, sf_dir)
-    model = forest.IsolationForest(FOUR, FLOW_KEYS, n_trees=20, max_samples=32).fit(schema.filter_benign(df))
+    model = forest.IsolationForest(FOUR, FLOW_KEYS).fit(schema.filter_benign(df))
     return explain.explain_model(df, model, df, FLOW_KEYS).select(*FLOW_KEYS, "shap", "expected_value")
 
 
+# Whatever the trees, base value and contributions add up to the row's mean path length.
+@query("x6_tree_shap_additive", f"""with {SIGNAL} select {KEYS}, 4::int as n_values, 0.0::double as residual from signal""")
+def x6_additive(spark, sf_dir):
+    df = flows_signal(spark, sf_dir, heavy=True)
+    model = forest.IsolationForest(FOUR, FLOW_KEYS).fit(schema.filter_benign(df))
+    path = matrix_column(model.path_length(), prepared(FOUR, model.scaler))
+    total = F.aggregate("shap", F.col("expected_value"), lambda a, b: a + b)
+    return explain.explain_forest(df, model).select(
+        *FLOW_KEYS, F.size("shap").alias("n_values"), F.abs(F.round(total - path, 6)).alias("residual"))
+
+
 # The two given trees have the features flow_duration and total_bytes: Shapley values of two players in closed form.
 def _tree_sql() -> str:
     def path(depth, size):

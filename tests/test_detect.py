@@ -302,6 +302,50 @@ def test_tree_contributions_are_additive_and_match_the_definition(cloud):
         assert got[0, i] == pytest.approx(phi, abs=1e-9)
 
 
+def test_tree_contributions_of_tables_and_paths_agree(spark, monkeypatch):
+    """Both forms equal the definition over all subsets, also where a feature splits a path again."""
+    from flowlens.detect import forest
+
+    rng = np.random.default_rng(8)
+    for d in (1, 3, 6):
+        points = rng.normal(size=(64, d))
+        nodes = pd.concat([forest.grow_tree(points, t, 1, np.arange(d), 6) for t in range(4)], ignore_index=True)
+        model = forest.IsolationForestModel.from_nodes(spark.createDataFrame(nodes), [f"f{i}" for i in range(d)], 64)
+        rows = rng.normal(size=(50, d))
+        tables, base = explain.tree_contributions(model)
+        got = tables(rows)
+        monkeypatch.setattr(explain, "MAX_TABLE", 0)
+        paths, same = explain.tree_contributions(model)
+        monkeypatch.undo()
+        assert same == base and np.allclose(paths(rows), got, atol=1e-10)
+        assert np.allclose(base + got.sum(axis=1), model.path_length()(rows), atol=1e-9)
+        value = model.table["depth"] + average_path(model.table["size"])
+
+        def expected(x, known):
+            def below(tree, n):
+                at = model.table["node"][tree].tolist().index(n)
+                i = int(np.flatnonzero(tree)[at])
+                f = int(model.table["feature"][i])
+                if f < 0:
+                    return value[i]
+                children = [int(model.table[side][i]) for side in ("left", "right")]
+                if f in known:
+                    return below(tree, children[0 if x[f] <= model.table["threshold"][i] else 1])
+                sizes = [model.table["size"][tree][model.table["node"][tree].tolist().index(c)] for c in children]
+                return sum(s * below(tree, c) for s, c in zip(sizes, children)) / sum(sizes)
+
+            return np.mean([below(model.table["tree"] == t, 0) for t in range(4)])
+
+        if d == 3:
+            for x, phi in zip(rows[:5], got):
+                for j in range(d):
+                    rest = [k for k in range(d) if k != j]
+                    want = sum(math.factorial(len(s)) * math.factorial(d - 1 - len(s)) / math.factorial(d)
+                               * (expected(x, {*s, j}) - expected(x, set(s)))
+                               for n in range(d) for s in itertools.combinations(rest, n))
+                    assert phi[j] == pytest.approx(want, abs=1e-9)
+
+
 def test_gradient_contributions_are_complete():
     rng = np.random.default_rng(8)
     layers = [network.Dense(3, 2, "tanh"), network.Dense(2, 3, "linear", False)]
