@@ -1,14 +1,20 @@
 """The small dense networks of the two autoencoders, and their data-parallel training (H6).
 
 A network is a flat list of layers; its parameters are one vector, so that shards can be averaged. Every epoch is one
-Spark job: each shard runs its mini-batches from the averaged weights and returns its own (parameter mixing). Shards are
-fixed by the hash of a row, not by input partitions, so a result depends only on the data, the seed and their number.
+Spark job: each shard runs its mini-batches from the averaged weights, and the shards' vectors are averaged component by
+component in a shuffle, in the order of the shards, so the driver receives one vector and the same one every time (parameter
+mixing). Shards are fixed by the hash of a row, not by input partitions, so a result depends only on the data, the seed and
+their number.
+
+A snapshot is one row with all that the loop knows (weights, moments, step count, rate, patience, best weights, history) and
+a hash of the settings; a resumed run goes on as if it had not stopped.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -19,7 +25,7 @@ from flowlens.functions.hashing import unit_interval
 from flowlens.session import keep
 
 BN_EPS, BN_MOMENTUM = 1e-3, 0.99
-ROWS_PER_SHARD, MAX_SHARDS = 50_000, 1_024   # every shard returns its weights, so their number is bounded
+ROWS_PER_SHARD = 50_000
 ACTIVATIONS = {
     "relu": (lambda a: np.maximum(a, 0.0), lambda a: (a > 0).astype(float)),
     "tanh": (np.tanh, lambda a: 1.0 - np.tanh(a) ** 2),
@@ -137,67 +143,98 @@ class TrainingPlan:
     history: list = field(default_factory=list)
 
 
+@dataclass
+class _State:
+    """All that the loop knows after an epoch."""
+
+    epoch: int
+    theta: np.ndarray
+    moments: np.ndarray
+    rate: float
+    best: np.ndarray
+    steps: int = 0
+    best_loss: float = float("inf")
+    flat: int = 0
+    since_halved: int = 0
+    history: list = field(default_factory=list)
+
+
 def train(df: DataFrame, features: list[str], keys: list[str], scaler, theta: np.ndarray, loss_and_gradient,
-          validation_loss, plan: TrainingPlan) -> tuple[np.ndarray, list[tuple]]:
+          validation_loss, plan: TrainingPlan, validation_data: DataFrame | None = None) -> tuple[np.ndarray, list[tuple]]:
     """Averaged training. Returns the best weights and the history (epoch, loss, val_loss, learning_rate).
 
     ``loss_and_gradient(theta, rows, rng) -> (loss, gradient)`` may update running statistics inside theta;
-    ``validation_loss(theta, rows) -> per-row losses``.
+    ``validation_loss(theta, rows) -> per-row losses``. With ``validation_data`` those rows are validated on and all of
+    ``df`` trains; without, a share of ``df`` chosen by hash is held back.
     """
     spark = df.sparkSession
-    shards = plan.shards or min(MAX_SHARDS, max(1, -(-df.count() // ROWS_PER_SHARD)))
-    h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], *[F.col(f).cast("string") for f in features],
-                          F.lit(str(plan.seed))))
-    rows = df.select(prepared(features, scaler).alias("x"), h.alias("h"))
-    rows = rows.select(
-        "x.*", "h", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"),
-        (unit_interval(F.col("h")) < plan.validation).alias("held"))
+    shards = plan.shards or max(1, -(-df.count() // ROWS_PER_SHARD))
+
+    def placed(rows: DataFrame, held) -> DataFrame:
+        h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys],
+                              *[F.col(f).cast("string") for f in features], F.lit(str(plan.seed))))
+        rows = rows.select(prepared(features, scaler).alias("x"), h.alias("h"))
+        return rows.select("x.*", "h", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), held.alias("held"))
+
+    if validation_data is None:
+        rows = placed(df, unit_interval(F.col("h")) < plan.validation)
+    else:
+        rows = placed(df, F.lit(False)).unionByName(placed(validation_data, F.lit(True)))
     sharded = keep(rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("h"))
-    moments, start = np.zeros(2 * len(theta)), 0
+    settings = _settings(plan, features, keys, theta, shards, validation_data is not None)
+    s = _State(0, theta, np.zeros(2 * len(theta)), plan.learning_rate, theta.copy())
     if plan.checkpoint_path:
-        theta, moments, start = _resume(spark, plan.checkpoint_path, theta, moments)
-    best, best_loss, flat, since_halved, rate, steps = theta.copy(), np.inf, 0, 0, plan.learning_rate, 0
-    history: list[tuple] = []
+        s = _resume(spark, plan.checkpoint_path, settings) or s
     try:
-        for epoch in range(start, plan.epochs + 1):
-            # The job of epoch e also measures the weights it starts from, so validation costs no pass of its own.
-            last = epoch == plan.epochs
-            state = spark.sparkContext.broadcast((theta, moments, rate, steps, epoch, last))
-            parts = sharded.mapInPandas(
-                _shard_task(state, features, loss_and_gradient, validation_loss, plan.batch_size, plan.seed),
-                "theta array<double>, moments array<double>, n bigint, steps bigint, loss double, "
-                "held_n bigint, held_loss double").collect()
-            state.unpersist()
-            held_n = sum(p["held_n"] for p in parts)
-            train_n = sum(p["n"] for p in parts)
-            if epoch > start or last:
-                val = sum(p["held_loss"] for p in parts) / held_n if held_n else history[-1][1] if history else np.inf
-                if history:
-                    history[-1] = (*history[-1][:2], float(val), history[-1][3])
-                if val < best_loss - 1e-12:
-                    best, best_loss, flat, since_halved = theta.copy(), val, 0, 0
+        while True:
+            # The job of an epoch also measures the weights it starts from, so validation costs no pass of its own.
+            last = s.epoch >= plan.epochs
+            sent = spark.sparkContext.broadcast((s.theta, s.moments, s.rate, s.steps, s.epoch, last))
+            task = _shard_task(sent, features, loss_and_gradient, validation_loss, plan.batch_size, plan.seed)
+            made, most = _summed(sharded.mapInPandas(task, "shard int, values array<double>"))
+            sent.unpersist()
+            if not len(made):
+                break
+            n, loss, held_n, held_loss = made[:4]
+            if s.epoch > 0 or last:
+                val = held_loss / held_n if held_n else s.history[-1][1] if s.history else np.inf
+                if s.history:
+                    s.history[-1] = (*s.history[-1][:2], float(val), s.history[-1][3])
+                if val < s.best_loss - 1e-12:
+                    s.best, s.best_loss, s.flat, s.since_halved = s.theta.copy(), float(val), 0, 0
                 else:
-                    flat, since_halved = flat + 1, since_halved + 1
-                if since_halved >= plan.halve_after:
-                    rate, since_halved = max(rate * 0.5, plan.min_rate), 0
-                if flat >= plan.patience:
+                    s.flat, s.since_halved = s.flat + 1, s.since_halved + 1
+                if s.since_halved >= plan.halve_after:
+                    s.rate, s.since_halved = max(s.rate * 0.5, plan.min_rate), 0
+                if s.flat >= plan.patience:
                     break
-            if last or train_n == 0:
+            if last or n == 0:
                 break
-            total = float(train_n)
-            theta = sum((np.array(p["theta"]) * (p["n"] / total) for p in parts if p["n"]), np.zeros_like(theta))
-            moments = sum((np.array(p["moments"]) * (p["n"] / total) for p in parts if p["n"]), np.zeros_like(moments))
-            steps += max(p["steps"] for p in parts)
-            history.append((epoch + 1, float(sum(p["loss"] * p["n"] for p in parts) / total), float("nan"), rate))
-            if plan.checkpoint_path and (epoch + 1) % plan.checkpoint_every == 0:
-                _checkpoint(spark, plan.checkpoint_path, theta, moments, epoch + 1)
+            s.theta, s.moments = np.split(made[5:] / n, [len(theta)])
+            s.steps += int(most[4])
+            s.epoch += 1
+            s.history.append((s.epoch, float(loss / n), float("nan"), s.rate))
+            if plan.checkpoint_path and s.epoch % plan.checkpoint_every == 0:
+                _checkpoint(spark, plan.checkpoint_path, s, settings)
     finally:
         sharded.unpersist()
-    return best, history
+    return s.best, s.history
+
+
+def _summed(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and largest value of every component over the shards; added up in the order of the shards."""
+    entries = parts.select("shard", F.posexplode("values").alias("k", "v")).groupBy("k").agg(
+        F.sort_array(F.collect_list(F.struct("shard", "v"))).alias("all"))
+    rows = entries.select("k", F.aggregate("all", F.lit(0.0), lambda total, one: total + one["v"]).alias("total"),
+                          F.array_max(F.transform("all", lambda one: one["v"])).alias("most")).toPandas().sort_values("k")
+    return rows.total.to_numpy(), rows.most.to_numpy()
 
 
 def _shard_task(state, features, loss_and_gradient, validation_loss, batch_size, seed):
-    """One shard's share of an epoch: Adam steps over its batches, streamed; memory holds one Arrow batch."""
+    """One shard's share of an epoch: Adam steps over its batches, streamed; memory holds one Arrow batch.
+
+    A shard's values: rows, loss, held rows, their loss, steps, then weights and moments times rows.
+    """
 
     def run(batches):
         theta, moments, rate, steps, epoch, measure_only = state.value
@@ -205,10 +242,11 @@ def _shard_task(state, features, loss_and_gradient, validation_loss, batch_size,
         m, v = np.split(moments, 2)
         n = done = held_n = 0
         loss_sum = held_loss = 0.0
-        rng = None
+        rng = shard = None
         for batch in batches:
             if len(batch) == 0:
                 continue
+            shard = int(batch["shard"].iloc[0])
             x = batch[features].to_numpy(dtype=float)
             held = batch["held"].to_numpy(dtype=bool)
             if held.any():
@@ -216,7 +254,7 @@ def _shard_task(state, features, loss_and_gradient, validation_loss, batch_size,
                 held_n += int(held.sum())
             if measure_only:
                 continue
-            rng = rng or np.random.default_rng([seed, epoch, int(batch["shard"].iloc[0])])
+            rng = rng or np.random.default_rng([seed, epoch, shard])
             x = x[~held]
             x = x[rng.permutation(len(x))]
             for at in range(0, len(x), batch_size):
@@ -229,9 +267,10 @@ def _shard_task(state, features, loss_and_gradient, validation_loss, batch_size,
                 theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
                 loss_sum += loss * len(rows)
                 n += len(rows)
-        yield pd.DataFrame({"theta": [theta if n else []], "moments": [np.concatenate([m, v]) if n else []], "n": [n],
-                            "steps": [done], "loss": [loss_sum / n if n else 0.0], "held_n": [held_n],
-                            "held_loss": [held_loss]})
+        if shard is not None:
+            head = np.array([n, loss_sum, held_n, held_loss, done], float)
+            yield pd.DataFrame({"shard": [shard], "values": [head if measure_only else
+                                                             np.concatenate([head, theta * n, moments * n])]})
 
     return run
 
@@ -241,22 +280,44 @@ def history_frame(spark: SparkSession, history: list[tuple]) -> DataFrame:
     return spark.createDataFrame(history, "epoch int, loss double, val_loss double, learning_rate double")
 
 
-def _checkpoint(spark, path, theta, moments, epoch) -> None:
-    row = [(epoch, [float(t) for t in theta], [float(t) for t in moments])]
-    spark.createDataFrame(row, "epoch int, theta array<double>, moments array<double>").coalesce(1) \
+def _settings(plan: TrainingPlan, features, keys, theta, shards: int, own_validation: bool) -> str:
+    """A hash of all that a run must share with the one it resumes; a later run may have more epochs."""
+    free = {"epochs", "history", "checkpoint_path", "checkpoint_every"}
+    fixed = {name: value for name, value in asdict(plan).items() if name not in free}
+    text = json.dumps([fixed, features, keys, len(theta), hashlib.sha256(theta.tobytes()).hexdigest(), shards,
+                       own_validation], sort_keys=True)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+_SNAPSHOT = ("epoch int, theta array<double>, moments array<double>, rate double, best array<double>, steps bigint, "
+             "best_loss double, flat int, since_halved int, "
+             "history array<struct<epoch:int,loss:double,val_loss:double,learning_rate:double>>, settings string")
+
+
+def _checkpoint(spark, path, state: _State, settings: str) -> None:
+    """One row in one file, which the commit of the write puts there whole or not at all."""
+    row = {**vars(state), "settings": settings, **{name: [float(x) for x in getattr(state, name)]
+                                                   for name in ("theta", "moments", "best")}}
+    spark.createDataFrame([tuple(row[field.split()[0]] for field in _SNAPSHOT.split(", "))], _SNAPSHOT).coalesce(1) \
         .write.mode("append").parquet(path)
 
 
-def _resume(spark, path, theta, moments):
+def _resume(spark, path, settings: str) -> _State | None:
+    """The last snapshot under ``path``; one of other settings is an error, none is a fresh start."""
     from pyspark.errors import AnalysisException
 
     try:
-        row = spark.read.parquet(path).orderBy(F.col("epoch").desc()).first()
+        row = spark.read.schema(_SNAPSHOT).parquet(path).orderBy(F.col("epoch").desc()).first()
     except AnalysisException:
-        return theta, moments, 0
-    if row is None or len(row["theta"]) != len(theta):
-        return theta, moments, 0
-    return np.array(row["theta"]), np.array(row["moments"]), int(row["epoch"])
+        return None
+    if row is None:
+        return None
+    if row["settings"] != settings:
+        raise ValueError(f"the snapshots in {path} belong to a run with other settings")
+    values = row.asDict()
+    values.pop("settings")
+    values |= {name: np.array(values[name]) for name in ("theta", "moments", "best")}
+    return _State(**values | {"history": [tuple(entry) for entry in row["history"]]})
 
 
 def layers_to_json(layers: list[Dense]) -> str:

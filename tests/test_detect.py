@@ -302,6 +302,33 @@ def test_tree_contributions_are_additive_and_match_the_definition(cloud):
         assert got[0, i] == pytest.approx(phi, abs=1e-9)
 
 
+def test_resumed_training_equals_the_uninterrupted_one(spark, cloud, tmp_path):
+    rows = keep(benign(cloud))
+    plan = {"encoder": (4, 2), "decoder": (4,), "shards": 3, "batch_size": 64, "halve_after": 1, "patience": 6,
+            "learning_rate": 0.6, "checkpoint_every": 3}
+
+    def fit(epochs, **more):
+        return Autoencoder(FEATURES, ["id"], epochs=epochs, **plan, **more).fit(rows)
+
+    path = str(tmp_path / "snapshots")
+    whole = fit(9)
+    fit(4, checkpoint_path=path)  # ends after its snapshot of epoch 3
+    resumed = fit(9, checkpoint_path=path)
+    assert resumed.history == whole.history and len({rate for *_, rate in whole.history}) > 1
+    assert np.array_equal(resumed.theta, whole.theta) and resumed.threshold == whole.threshold
+    with pytest.raises(ValueError, match="other settings"):
+        fit(9, checkpoint_path=path, seed=7)
+
+
+def test_given_validation_rows(spark, cloud):
+    other = cloud.where("label = 'DoS'")
+    for estimator in (Autoencoder, VariationalAutoencoder):
+        sizes = {"encoder": (4, 2), "decoder": (4,)} if estimator is Autoencoder else {"latent": 2, "encoder": (4,)}
+        model = estimator(FEATURES, ["id"], epochs=2, **sizes).fit(benign(cloud), other)
+        held = estimator(FEATURES, ["id"], epochs=2, **sizes).fit(benign(cloud))
+        assert model.history[-1][2] > 3 * held.history[-1][2]  # attacks are rebuilt badly
+
+
 def test_tree_contributions_of_tables_and_paths_agree(spark, monkeypatch):
     """Both forms equal the definition over all subsets, also where a feature splits a path again."""
     from flowlens.detect import forest
