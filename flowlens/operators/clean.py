@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowlens.functions.numeric import INF, finite, is_infinite, long_form, null_if_nan
 from flowlens.operators.quantiles import exact_percentiles
 from flowlens.operators.schema import drop_metadata
-from flowlens.spec import numeric_columns
+from flowlens.spec import RESCUED, numeric_columns
 
 INF_RULES = ("replace", "drop", "ignore")
 NAN_RULES = ("drop", "mean", "median", "zero", "ignore")
@@ -31,6 +31,13 @@ class FeatureRule:
     constant: bool = False
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Full copies once. Rows that differ in a rescued text only are no copies."""
+    if RESCUED not in df.columns:
+        return df.dropDuplicates()
+    return df.withColumn(RESCUED, F.map_entries(RESCUED)).dropDuplicates().withColumn(RESCUED, F.map_from_entries(RESCUED))
+
+
 class FlowCleaner(Estimator):
     """C11. Rules run in a fixed order: duplicates, metadata, infinite, missing, constant features."""
 
@@ -51,7 +58,7 @@ class FlowCleaner(Estimator):
         ]
         # Extremes, constancy and "any missing" do not change with duplicates: only averages need them removed.
         exact_rows = self.remove_duplicates and self.handle_nan in ("mean", "median")
-        rows = df.dropDuplicates() if exact_rows else df
+        rows = distinct_rows(df) if exact_rows else df
         if self.handle_inf == "drop":
             rows = rows.where(~_any_infinite(features))
         stats = {r["feature"]: r for r in _feature_stats(rows, features).collect()}
@@ -105,7 +112,7 @@ class FlowCleaner(Estimator):
         if not self.remove_constant:
             return set()
         if drop_rows:
-            others = [c for c in columns if c not in features]
+            others = [c for c in columns if c not in features and c != RESCUED]
             complete = rows.select(*[replaced[f].alias(f) for f in features], *others).na.drop()
             ranges = long_form(complete, features).groupBy("feature").agg(
                 F.min("value").alias("low"), F.max("value").alias("high"))
@@ -136,7 +143,7 @@ class FlowCleanerModel(Model):
         self.constant_features = [r.feature for r in rules if r.constant]
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return self._clean_rows(df.dropDuplicates() if self.remove_duplicates else df)
+        return self._clean_rows(distinct_rows(df) if self.remove_duplicates else df)
 
     def _clean_rows(self, rows: DataFrame) -> DataFrame:
         rows = drop_metadata(rows)
@@ -153,7 +160,7 @@ class FlowCleanerModel(Model):
             out.append((value if rule.missing is None else F.coalesce(value, F.lit(rule.missing))).alias(c))
         cleaned = rows.select(*out)
         if self.drop_missing_rows:
-            cleaned = cleaned.na.drop()
+            cleaned = cleaned.na.drop(subset=[c for c in cleaned.columns if c != RESCUED])
         return cleaned.drop(*self.constant_features)
 
     def report(self, df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.operators import profile
-from flowlens.operators.clean import FlowCleaner, FlowCleanerModel
+from flowlens.operators.clean import FlowCleaner, FlowCleanerModel, distinct_rows
 from flowlens.operators.labels import encode_binary, encode_multiclass, label_mapping
 from flowlens.operators.sampling import mark_split
 from flowlens.operators.scale import FlowScaler, FlowScalerModel
@@ -15,7 +15,7 @@ from flowlens.operators.schema import drop_metadata
 from flowlens.session import keep
 from flowlens.sources.flows import read_flows
 from flowlens.sources.results import write_results
-from flowlens.spec import numeric_columns
+from flowlens.spec import RESCUED, numeric_columns
 
 
 @dataclass
@@ -47,9 +47,9 @@ def preprocess(flows: DataFrame, features: list[str] | None = None, label: str =
     rows. The split follows the hash of ``keys`` (all columns if none are given) and keeps class shares.
     """
     identity = list(keys or [])
-    keys = identity or flows.columns
+    keys = identity or [c for c in flows.columns if c != RESCUED]
     features = features or [c for c in numeric_columns(drop_metadata(flows)) if c != label and c not in identity]
-    rows = flows.dropDuplicates()
+    rows = distinct_rows(flows)
     options = dict(handle_inf=handle_inf, handle_nan=handle_nan, remove_duplicates=False, label=label,
                    keep=identity)
     if leaky:

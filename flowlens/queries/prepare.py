@@ -24,17 +24,20 @@ def _keys_sql(columns: str) -> str:
     return f"{KEYS}, {columns}"
 
 
+# Two rows in five have a text where the others have a number; both are read.
 @query("s1_read_flows", f"""with {FLOWS} select {KEYS}, flow_duration, total_bytes,
   {r("case when bytes_per_s = 'Infinity'::double then -1.0 else bytes_per_s end", 4, "bytes_per_s")},
-  iat_mean, label from flows""")
+  iat_mean, label, case when l_orderkey % 5 >= 2 then (l_orderkey % 5)::double end as proto,
+  case when l_orderkey % 5 < 2 then 'TCP' end as proto_text from flows""")
 def s1(spark, sf_dir):
     path = scratch_path(spark, "flow-csv")
     source = flows(spark, sf_dir)
     infinite = F.when(F.col("bytes_per_s") == float("inf"), "inf").otherwise(F.col("bytes_per_s").cast("string"))
+    five = F.col("l_orderkey") % 5
     source.select(
         *FLOW_KEYS, F.col("flow_duration").alias(" Flow Duration"), F.col("total_bytes").alias(" Total Bytes"),
         infinite.alias("Flow Bytes/s"), F.coalesce(F.col("iat_mean").cast("string"), F.lit("nan")).alias(" IAT Mean "),
-        F.col("label").alias(" Label"),
+        F.when(five < 2, "TCP").otherwise(five.cast("string")).alias("Proto"), F.col("label").alias(" Label"),
     ).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False).csv(path)
     read = read_flows(spark, path)
@@ -43,6 +46,7 @@ def s1(spark, sf_dir):
         F.col("Flow Duration").alias("flow_duration"), F.col("Total Bytes").alias("total_bytes"),
         F.coalesce(finite(F.col("Flow Bytes/s")), F.lit(-1.0)).alias("bytes_per_s"),
         finite(F.col("IAT Mean")).alias("iat_mean"), F.col("Label").alias("label"),
+        F.col("Proto").alias("proto"), F.col("_rescued")["Proto"].alias("proto_text"),
     ), 4)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flowlens.spec import METADATA_COLUMNS, safe_name
+from flowlens.spec import METADATA_COLUMNS, RESCUED, safe_name
 
 REPLACEMENT = "�"
 # Dash characters met in label texts of differently encoded files; all become a plain hyphen.
@@ -64,31 +64,32 @@ def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
     return list(groups.values()) if len(groups) > 1 else [paths]
 
 
-def _decoded(spark: SparkSession, paths: list[str]) -> tuple[list[DataFrame], dict[str, int]]:
-    """(files of one header as scans in their encodings, per column: values that are no numbers less those that are)."""
+def _decoded(spark: SparkSession, paths: list[str]) -> tuple[list[DataFrame], dict[str, bool]]:
+    """(files of one header as scans in their encodings, per column: whether it holds a number, None if nothing)."""
     raw = _scan(spark, paths, "UTF-8")
     if any(REPLACEMENT in c for c in raw.columns):
         raw = _scan(spark, paths, "ISO-8859-1")
     cells = [F.col(f"`{c}`") for c in raw.columns]
     marked = F.concat_ws("", *cells).contains(REPLACEMENT)
-    balance = [F.sum(F.when(c.try_cast("double").isNotNull(), -1).when(F.trim(c) != "", 1).otherwise(0)).alias(f"b{i}")
-               for i, c in enumerate(cells)]
+    numbers = [F.bool_or(F.when(F.trim(c) != "", c.try_cast("double").isNotNull())).alias(f"b{i}") for i, c in enumerate(cells)]
     seen = raw.select("*", F.when(marked, F.col("_metadata.file_path")).alias("_broken")).agg(
-        F.collect_set("_broken").alias("broken"), *balance).first()
-    balances = {c: seen[f"b{i}"] or 0 for i, c in enumerate(raw.columns)}
+        F.collect_set("_broken").alias("broken"), *numbers).first()
+    found = {c: seen[f"b{i}"] for i, c in enumerate(raw.columns)}
     if not seen["broken"]:
-        return [raw], balances
+        return [raw], found
     good = raw.where(~F.col("_metadata.file_path").isin(seen["broken"]))
-    return [good, _scan(spark, seen["broken"], "ISO-8859-1")], balances
+    return [good, _scan(spark, seen["broken"], "ISO-8859-1")], found
 
 
 def read_flows(spark: SparkSession, paths: str | list[str], text: list[str] | None = None,
-               label: str = "Label", with_file: bool = False) -> DataFrame:
+               label: str = "Label", with_file: bool = False, rescue: bool = True) -> DataFrame:
     """Numbers as double; ``inf``, ``-inf`` and ``nan`` are understood. Every file is read by its own header.
 
-    Metadata, label and ``text`` columns stay text, and so does a column in which more values are no numbers than are; a
-    stray text in a column of numbers is missing. A column that a file lacks is missing there. Files are read as UTF-8;
-    the reader never fails on invalid bytes but marks them, so files with a mark are read again as ISO-8859-1.
+    Metadata, label and ``text`` columns stay text, and so does a column without any number. Nothing is lost in a mixed
+    column: a value that is no number is missing there and kept by the column's name in the map ``_rescued``, which is
+    null for rows without one (``rescue=False`` leaves that column out). A column that a file lacks is missing there.
+    Files are read as UTF-8; the reader never fails on invalid bytes but marks them, so files with a mark are read again as
+    ISO-8859-1.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     try:
@@ -98,29 +99,35 @@ def read_flows(spark: SparkSession, paths: str | list[str], text: list[str] | No
             raise FileNotFoundError(f"no flow file at {paths}") from error
         raise
     scans: list[DataFrame] = []
-    balances: dict[str, int] = {}
+    numbers: dict[str, bool | None] = {}
     for group in groups:
         own, found = _decoded(spark, group)
         scans += own
-        for c, n in found.items():
-            balances[c] = balances.get(c, 0) + n
-    texts = [c for c, n in balances.items() if c in METADATA_COLUMNS or c == label or c in (text or []) or n > 0]
+        for c, some in found.items():
+            numbers[c] = some if numbers.get(c) is None else numbers[c] or bool(some)
+    texts = [c for c, some in numbers.items() if c in METADATA_COLUMNS or c == label or c in (text or []) or some is False]
     out = None
     for scan in scans:
-        typed = _typed(scan, texts, label, with_file)
+        typed = _typed(scan, texts, label, with_file, rescue)
         out = typed if out is None else out.unionByName(typed, allowMissingColumns=True)
     return out
 
 
-def _typed(raw: DataFrame, texts: list[str], label: str, with_file: bool) -> DataFrame:
+def _typed(raw: DataFrame, texts: list[str], label: str, with_file: bool, rescue: bool) -> DataFrame:
     columns: list[Column] = []
+    lost: list[Column] = []
     for c in raw.columns:
         column = F.col(f"`{c}`")
         if c == label:
             column = F.translate(F.trim(column), DASHES, "-" * len(DASHES))
         elif c not in texts:
-            column = column.try_cast("double")
+            number = column.try_cast("double")
+            lost.append(F.struct(F.lit(c).alias("key"), F.when(number.isNull() & (F.trim(column) != ""), column).alias("value")))
+            column = number
         columns.append(column.alias(c))
+    if rescue and lost:
+        kept = F.filter(F.array(*lost), lambda one: one["value"].isNotNull())
+        columns.append(F.when(F.size(kept) > 0, F.map_from_entries(kept)).alias(RESCUED))
     if with_file:
         columns.append(F.col("_metadata.file_path").alias("_file"))
     return raw.select(*columns)

@@ -31,6 +31,8 @@ RAW_FEATURES = [
 ]
 
 # Columns dropped by cleaning, the wider list used for whole-day training, and alias exceptions.
+#: Map of the texts that a scan found in columns of numbers.
+RESCUED = "_rescued"
 METADATA_COLUMNS = ["Flow ID", "Source IP", "Destination IP", "Timestamp"]
 WIDE_METADATA_COLUMNS = METADATA_COLUMNS + ["Source Port", "Destination Port", "Flow Bytes/s", "Flow Packets/s"]
 ALIAS_EXCEPTIONS = {

@@ -50,8 +50,9 @@ def test_read_flows_numbers_headers_and_encoding(spark, tmp_path):
     good.write_bytes((header + "1,inf,2,BENIGN\n-inf,nan,x,Web Attack – XSS\n").encode("utf-8"))
     bad.write_bytes((header + "7,8,9,Web Attack \x96 XSS\n").encode("latin-1"))
     df = read_flows(spark, [str(good), str(bad)])
-    assert df.columns == ["Flow Duration", "Fwd Header Length", "Fwd Header Length_1", "Label"]
-    got = rows(df)
+    assert df.columns == ["Flow Duration", "Fwd Header Length", "Fwd Header Length_1", "Label", "_rescued"]
+    assert [r[0] for r in df.select("_rescued").where("_rescued is not null").collect()] == [{"Fwd Header Length_1": "x"}]
+    got = rows(df.drop("_rescued"))
     assert (1.0, INF, 2.0, "BENIGN") in got
     assert (7.0, 8.0, 9.0, "Web Attack - XSS") in got
     other = [r for r in got if r[0] == -INF][0]
@@ -69,6 +70,21 @@ def test_read_flows_by_each_header(spark, tmp_path):
                    (None, 7.0, None, "DoS")}
 
 
+def test_mixed_columns_lose_nothing(spark, tmp_path):
+    lines = ["Proto,Kind,x,Label"] + [f"{'TCP' if i % 5 < 2 else i},k{i},{i},BENIGN" for i in range(50)] + [" , ,-7,DoS"]
+    (tmp_path / "a.csv").write_text("\n".join(lines + lines[1:3]))
+    df = read_flows(spark, str(tmp_path / "a.csv"))
+    assert dict(df.dtypes) == {"Proto": "double", "Kind": "string", "x": "double", "Label": "string",
+                               "_rescued": "map<string,string>"}
+    got = {r.x: (r.Proto, r._rescued) for r in df.collect()}
+    assert all(got[i] == ((None, {"Proto": "TCP"}) if i % 5 < 2 else (i, None)) for i in range(50))
+    assert df.count() == 53 and clean.distinct_rows(df).count() == 51
+    cleaned = FlowCleaner(["x"], label="Label", remove_constant=False).fit(df).transform(df.drop("Proto"))
+    assert cleaned.where("_rescued.Proto = 'TCP'").count() == 20
+    prepared = preprocess(df.drop("Proto", "Kind"), label="Label", scaler=None)
+    assert prepared.features == ["x"] and prepared.train.where("_rescued is not null").count() > 0
+
+
 def test_read_flows_missing_file(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_flows(spark, str(tmp_path / "none.csv"))
@@ -84,8 +100,8 @@ def test_read_days_tags_rows(spark, tmp_path):
 def test_load_and_clean(spark, tmp_path):
     (tmp_path / "f.csv").write_text("Flow ID, a, b, Label\nq,1,5,BENIGN\nq,1,5,BENIGN\nr,inf,5,x\ns,3,5,x\n")
     df = load_and_clean(spark, str(tmp_path / "f.csv"))
-    assert df.columns == ["a", "Label"]
-    assert rows(df) == [(1.0, "BENIGN"), (3.0, "x"), (3.0, "x")]
+    assert df.columns == ["a", "Label", "_rescued"]
+    assert rows(df) == [(1.0, "BENIGN", None), (3.0, "x", None), (3.0, "x", None)]
 
 
 # ---- generator -----------------------------------------------------------------------------------------------------
