@@ -4,7 +4,8 @@ Tier one resolves whole pre-tokens that are vocabulary entries: a minimal perfec
 the n entries its own slot of n, and one comparison of bytes tells an entry from any other text. Tier two merges the bytes
 of the remaining pre-tokens with a heap of adjacent pairs over a doubly linked list, O(n log n) for a pre-token of n bytes.
 
-Both tiers see a distinct pre-token once per group of texts; results stay in a bounded memo. Documents are independent, so
+Both tiers see a distinct pre-token once per group of texts; results stay in a memo of two bounded generations, so that frequent
+pre-tokens outlive the many that occur once. Documents are independent, so
 the operators are narrow: no shuffle, no state but the vocabulary, lost tasks are simply run again. A very long text is cut
 where the pattern splits anyway, so memory is bounded by the group size.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from flowlens.llm.common import GROUP_CHARS, groups
 
-#: Distinct pre-tokens a task remembers; about 250 bytes each.
+#: Distinct pre-tokens in each of the two generations that a task remembers; about 250 bytes each.
 MEMO = 200_000
 #: Bytes of text of one batch of results; a longer text is a batch of its own.
 SLICE = 1_000_000
@@ -100,7 +101,12 @@ class Vocabulary:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.pieces = {rank: piece for piece, rank in self.ranks.items()}
+        pieces = {rank: piece for piece, rank in self.ranks.items()}
+        self.flat = np.frombuffer(b"".join(pieces.values()), np.uint8)
+        self.size = np.zeros(max(pieces) + 1, np.int64)
+        self.size[list(pieces)] = [len(piece) for piece in pieces.values()]
+        self.place = np.zeros_like(self.size)
+        self.place[list(pieces)] = np.cumsum([0, *map(len, pieces.values())])[:-1]
         self.pattern = regex.compile(pattern)
         entries = list(self.ranks)
         self.hash = PerfectHash(entries)
@@ -108,6 +114,7 @@ class Vocabulary:
         for slot, entry in zip(self.hash.slots(entries).tolist(), entries):
             self.slot_entry[slot] = entry
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of lowest rank merges first, the leftmost among equals."""
@@ -145,41 +152,64 @@ class Vocabulary:
         return ids
 
     def _learn(self, words: set[str]) -> None:
+        """Puts the ids of all these pre-tokens into the memo; a full memo becomes the old one, from which they move on."""
         new = words.difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = words
+            self.old, self.memo, new = self.memo, {}, words
+        for word in new & self.old.keys():
+            self.memo[word] = self.old[word]
+        new = [word for word in new if word not in self.memo]
         if not new:
             return
-        new = list(new)
         keys = [w.encode() for w in new]
         for word, key, slot in zip(new, keys, self.hash.slots(keys).tolist()):
             ids = [self.ranks[key]] if self.slot_entry[slot] == key else self.merge(key)
             self.memo[word] = pack(f"<{len(ids)}I", *ids)
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def _known(self, texts: list[str]) -> Iterator[Iterator[Iterator[bytes]]]:
+        """For each text its parts, for each part the ids of its pre-tokens."""
         for start, stop in groups(texts):
             if stop - start == 1:
-                parts = []
-                for segment in segments(texts[start]):
-                    words = self.pattern.findall(segment)
-                    self._learn(set(words))
-                    parts.append(b"".join(map(self.memo.__getitem__, words)))
-                yield b"".join(parts)
+                yield map(self._part, segments(texts[start]))
             else:
                 split = [self.pattern.findall(text) for text in texts[start:stop]]
                 self._learn(set(chain.from_iterable(split)))
                 for words in split:
-                    yield b"".join(map(self.memo.__getitem__, words))
+                    yield iter([map(self.memo.__getitem__, words)])
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+    def _part(self, segment: str) -> Iterator[bytes]:
+        words = self.pattern.findall(segment)
+        self._learn(set(words))
+        return map(self.memo.__getitem__, words)
 
-    def decode_packed(self, packed: bytes) -> bytes:
-        """As ``decode``, from little-endian unsigned 32-bit integers, a bounded part at a time."""
-        return b"".join(self.decode(np.frombuffer(packed[i : i + 4 * SLICE], "<u4").tolist())
-                        for i in range(0, len(packed), 4 * SLICE))
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return (b"".join(map(b"".join, parts)) for parts in self._known(texts))
+
+    def count_all(self, texts: list[str]) -> Iterator[int]:
+        """The number of ids of each text."""
+        return (sum(sum(map(len, part)) for part in parts) // 4 for parts in self._known(texts))
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that the ids stand for, and where each id's bytes end; an unknown id raises."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size)) or not (size := self.size[ids]).all():
+            raise ValueError("an id is not in the vocabulary")
+        ends = np.cumsum(size)
+        made = np.empty(int(ends[-1]) if len(ids) else 0, np.uint8)
+        for i in range(0, len(ids), SLICE):  # a bounded part of a long text at a time
+            part = slice(i, i + SLICE)
+            first = int(ends[i] - size[i])
+            stop = int(ends[part][-1])
+            at = np.repeat(self.place[ids[part]] - (ends[part] - size[part]), size[part])
+            made[first:stop] = self.flat[at + np.arange(first, stop)]
+        return made, ends
+
+    def decode_rows(self, ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+        """One value of bytes per row, from the ids of all rows one after the other."""
+        made, ends = self.decode(ids)
+        offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths)))]
+        buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(made)]
+        return pa.Array.from_buffers(pa.binary(), len(lengths), buffers)
 
 
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
@@ -211,32 +241,34 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
-def encode(df: DataFrame, column: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None,
-           packed: str | None = None, decoded: str | None = None) -> DataFrame:
+def encode(df: DataFrame, column: str = "text", out: str | None = "ids", path: str | None = None,
+           pattern: str | None = None, packed: str | None = None, decoded: str | None = None) -> DataFrame:
     """``df`` with ``out``, the token ids of ``column`` as an array of int; null text has no ids, special tokens are text.
 
-    ``packed`` names one more column for the ids as little-endian unsigned 32-bit integers, ``decoded`` one for the bytes
+    Without ``out`` there is no such column. ``packed`` names one more column for the ids as little-endian unsigned 32-bit integers, ``decoded`` one for the bytes
     that the ids decode to, made in the same pass. A column with one of these names is replaced. Rows are independent:
     repeated rows, ties and empty tables need no care.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
     extra = [name for name in (packed, decoded) if name]
-    rest = [name for name in df.columns if name not in (out, *extra)]
+    arrays = [out] if out else []
+    rest = [name for name in df.columns if name not in (*arrays, *extra)]
 
     def run(batches):
         vocab = vocabulary(path, pattern)
         for batch in (part for whole in batches for part in _slices(whole, column)):
             texts = [text or "" for text in batch.column(column).to_pylist()]
             rows = list(vocab.encode_all(texts))
-            ends = np.cumsum([0] + [len(p) // 4 for p in rows]).astype(np.int32)
-            made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))]
+            sizes, ids, made = [len(p) // 4 for p in rows], np.frombuffer(b"".join(rows), "<i4"), []
+            if out:
+                made.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0] + sizes).astype(np.int32)), pa.array(ids)))
             if packed:
                 made.append(pa.array(rows, pa.binary()))
             if decoded:
-                made.append(pa.array([vocab.decode_packed(p) for p in rows], pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in rest] + made, names=[*rest, out, *extra])
+                made.append(vocab.decode_rows(ids, np.array(sizes, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in rest] + made, names=[*rest, *arrays, *extra])
 
-    fields = [*df.select(*rest).schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())),
+    fields = [*df.select(*rest).schema.fields, *(T.StructField(name, T.ArrayType(T.IntegerType())) for name in arrays),
               *(T.StructField(name, T.BinaryType()) for name in extra)]
     return df.select(*dict.fromkeys([*rest, column])).mapInArrow(run, T.StructType(fields))
 
@@ -258,13 +290,10 @@ def decode(df: DataFrame, column: str = "ids", out: str = "decoded", packed: str
             values, ends = ids.flatten().to_numpy(zero_copy_only=False), np.zeros(len(ids) + 1, np.int64)
             np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False),
                       out=ends[1:])
-            texts, raw = [], []
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                texts.append(b"".join(vocab.decode(values[i : min(b, i + GROUP_CHARS)].tolist())
-                                      for i in range(a, b, GROUP_CHARS)))
-                if packed:
-                    raw.append(values[a:b].astype("<u4").tobytes())
-            made = [pa.array(texts, pa.binary())] + ([pa.array(raw, pa.binary())] if packed else [])
+            values = np.asarray(values, np.int64)
+            texts = vocab.decode_rows(values, np.diff(ends))
+            raw = [values[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())] if packed else []
+            made = [texts] + ([pa.array(raw, pa.binary())] if packed else [])
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in rest] + made, names=rest + more)
 
     kept = df.select(*rest)
@@ -274,6 +303,6 @@ def decode(df: DataFrame, column: str = "ids", out: str = "decoded", packed: str
 
 def report(docs: DataFrame) -> DataFrame:
     """The digest of the query: doc_id, n_tokens, and hashes of the packed ids and of the decoded bytes."""
-    made = encode(docs.select("doc_id", "text"), "text", "ids", packed="packed", decoded="decoded")
-    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = encode(docs.select("doc_id", "text"), "text", None, packed="packed", decoded="decoded")
+    return made.select("doc_id", F.expr("octet_length(packed) div 4").alias("n_tokens"),
+                       F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
