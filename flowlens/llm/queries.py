@@ -11,7 +11,7 @@ from flowlens.llm.common import table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents")))
+    return token_counts.report(table(spark, sf_dir, "documents"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

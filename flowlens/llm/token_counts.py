@@ -14,20 +14,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowlens.llm import bpe
+from flowlens.llm.common import Scratch
 
 #: Lengths per block of the two-level suffix sums; blocks are summed first, so no task orders all lengths.
 BLOCK = 1024
 
 
 def lengths(docs: DataFrame, column: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """One row ``n_tokens`` per document; null text counts 0."""
+    """One row ``n_tokens`` per document; null and empty texts count 0, repeated rows each count.
+
+    A very long text is counted whole, a bounded part at a time; an empty table gives no rows.
+    """
     path, pattern = path or bpe.default_path(), pattern or bpe.default_pattern()
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         vocab = bpe.vocabulary(path, pattern)
-        return pd.Series(np.fromiter((len(p) // 4 for p in vocab.encode_all(texts.fillna("").tolist())), np.int64,
-                                     len(texts)))
+        return pd.Series(np.fromiter(vocab.count_all(texts.fillna("").tolist()), np.int64, len(texts)))
 
     return docs.select(count(F.col(column)).alias("n_tokens"))
 
@@ -64,6 +67,11 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
                         / F.col("docs_total")))
 
 
+def report(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The suffix sums of a table of documents; the histogram is written once, so that texts are encoded once."""
+    return suffix_sums((scratch or Scratch(docs.sparkSession)).keep(histogram(docs), "length-histogram"))
+
+
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     """``limit, tokens_truncated, docs_over`` for given context limits, from ``suffix_sums``.
 
