@@ -26,10 +26,10 @@ from flowlens.llm.common import groups, held_out
 #: Documents per language that the model learns from, in expectation; they are picked by a hash of the id.
 SAMPLE = 2_000
 ROUNDS, SMOOTHING = 4, 0.05
-#: Letter runs longer than this are scored in parts.
-LONGEST = 24
-#: Distinct words a task remembers.
-MEMO = 200_000
+#: Levels of a lattice after which sums are rescaled.
+STEP = 24
+#: Distinct words in each of the two generations that a task remembers, and words of one lattice.
+MEMO, LATTICE = 200_000, 20_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -40,109 +40,161 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-@lru_cache(maxsize=2)
-def pieces(path: str) -> tuple[dict[str, int], int]:
-    """(id of every ordinary piece and -1 for every other prefix of one, number of pieces).
+class Trie:
+    """The ordinary pieces of the vocabulary, numbered in order; ``n`` is the number of a character that none covers."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = dict.fromkeys(model.id_to_piece(i) for i in range(model.get_piece_size())
+                              if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
+        self.n, self.longest = len(names), max(map(len, names))
+        states: dict[str, int] = {"": 0}
+        for name in names:
+            for i in range(1, len(name) + 1):
+                states.setdefault(name[:i], len(states))
+        self.piece = np.full(len(states), -1)
+        self.piece[[states[name] for name in names]] = np.arange(self.n)
+        moves = {states[prefix[:-1]] << 21 | ord(prefix[-1]): state for prefix, state in states.items() if prefix}
+        self.mask = (1 << (4 * len(moves)).bit_length()) - 1
+        self.keys, self.next = np.full(self.mask + 1, -1), np.full(self.mask + 1, -1)
+        for key, state in moves.items():
+            slot = self._slot(np.array([key]))[0]
+            while self.keys[slot] >= 0:
+                slot = slot + 1 & self.mask
+            self.keys[slot], self.next[slot] = key, state
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x >> np.uint64(40)) & np.uint64(self.mask)).astype(np.int64)
+
+    def step(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The state after one more character of each, -1 where no piece goes on."""
+        keys = states << 21 | chars
+        slots = self._slot(keys)
+        made, open_ = np.full(len(keys), -1), np.arange(len(keys))
+        while len(open_):
+            there = self.keys[slots]
+            hit = there == keys[open_]
+            made[open_[hit]] = self.next[slots[hit]]
+            on = ~hit & (there >= 0)
+            open_, slots = open_[on], slots[on] + 1 & self.mask
+        return made
 
-    The number itself is the id of a character that no piece covers.
-    """
-    import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [model.id_to_piece(i) for i in range(model.get_piece_size())
-             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    prefixes = {name[:i]: -1 for name in names for i in range(1, len(name))}
-    ids = {name: i for i, name in enumerate(dict.fromkeys(names))}
-    return prefixes | ids, len(ids)
+@lru_cache(maxsize=2)
+def trie(path: str) -> Trie:
+    return Trie(path)
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def units(word: str) -> list[str]:
-    """A word as the lattice sees it: a mark for its start, long runs in parts."""
-    marked = "▁" + word
-    return [marked[i : i + LONGEST] for i in range(0, len(marked), LONGEST)]
-
-
 class Lattices:
-    """All pieces of many words as flat edges; one pass over them serves all words and languages at once."""
+    """All pieces of many words as flat edges; one pass over them serves all words and languages at once.
+
+    A word starts with a mark; it has a node before, between and after its characters. All places of all words walk the
+    trie together, a character at a time. Sums are rescaled every ``STEP`` levels, so a run of any length is scored whole.
+    """
 
     def __init__(self, words: list[str], path: str):
-        known, unknown = pieces(path)
-        get, nodes = known.get, 0
-        starts, ends, piece = [], [], []
-        owner, first, last = [], [], []
-        for w, word in enumerate(words):
-            for unit in units(word):
-                n = len(unit)
-                for start in range(n):
-                    for end in range(start + 1, n + 1):
-                        found = get(unit[start:end])
-                        if found is None:
-                            if end == start + 1:
-                                starts.append(nodes + start)
-                                ends.append(nodes + end)
-                                piece.append(unknown)
-                            break
-                        if found >= 0 or end == start + 1:
-                            starts.append(nodes + start)
-                            ends.append(nodes + end)
-                            piece.append(found if found >= 0 else unknown)
-                owner.append(w)
-                first.append(nodes)
-                last.append(nodes + n)
-                nodes += n + 1
-        self.nodes, self.words = nodes, len(words)
-        self.owner, self.first, self.last = (np.array(x, np.int64) for x in (owner, first, last))
-        starts, ends, piece = (np.array(x, np.int64) for x in (starts, ends, piece))
-        unit = np.searchsorted(self.first, starts, side="right") - 1
-        level = ends - self.first[unit]
-        order = np.lexsort((ends, level))
-        self.starts, self.ends, self.piece, self.unit = starts[order], ends[order], piece[order], unit[order]
+        known = trie(path)
+        chars = np.frombuffer("".join("▁" + word for word in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        stops = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        at, states, depth = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+        starts, lengths, pieces = [], [], []
+        while len(at):
+            states = known.step(states, chars[at + depth])
+            depth += 1
+            piece = np.where(states >= 0, known.piece[states], -1)
+            if depth == 1:
+                piece[piece < 0] = known.n
+            found = piece >= 0
+            starts.append(at[found])
+            pieces.append(piece[found])
+            lengths.append(np.full(int(found.sum()), depth))
+            on = (states >= 0) & (at + depth < stops[owner[at]])
+            at, states = at[on], states[on]
+        start, length, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths, pieces))
+        self.words, self.longest = len(words), known.longest
+        self.nodes = len(chars) + len(words)
+        self.last = stops + np.arange(len(words))
+        self.first = self.last - sizes
+        self.sizes, unit = sizes, owner[start]
+        end = start + length + unit
+        level = end - self.first[unit]
+        order = np.argsort(level * self.nodes + end)
+        self.starts, self.ends, self.piece, self.unit = (start + unit)[order], end[order], piece[order], unit[order]
         # runs of edges with one end, and the runs of each level: an end's edges are added up at once
-        runs = np.flatnonzero(np.concatenate([[True], np.diff(self.ends) != 0])) if len(order) else np.zeros(0, np.int64)
+        runs = np.flatnonzero(np.diff(self.ends, prepend=-1))
         cuts = np.concatenate([[0], np.cumsum(np.bincount(level))]).astype(np.int64)
-        self.levels = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if b > a:
-                own = runs[np.searchsorted(runs, a) : np.searchsorted(runs, b)]
-                self.levels.append((slice(a, b), own - a, self.ends[own]))
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Sum over all segmentations from the start of a unit to each node, for the piece probabilities of a language."""
-        alpha = np.zeros(self.nodes)
+        own = np.searchsorted(runs, cuts)
+        self.levels = [(slice(a, b), runs[i:j] - a, self.ends[runs[i:j]])
+                       for a, b, i, j in zip(cuts[1:-1].tolist(), cuts[2:].tolist(), own[1:-1].tolist(), own[2:].tolist())]
+
+    def _window(self, units: np.ndarray, level: int, back: int) -> np.ndarray:
+        """Nodes of the last levels of units, up to ``level``: those that edges to come can start from."""
+        return self.first[units][:, None] + np.arange(max(0, level - back), level + 1)
+
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sum over all segmentations from the start of a word to each node, logarithm of each node's scale, of each
+        word's), a column per column of the piece probabilities ``p``."""
+        alpha, scale = np.zeros((self.nodes, p.shape[1])), np.zeros((self.words, p.shape[1]))
+        node_scale = np.zeros_like(alpha) if len(self.levels) >= STEP else None
         alpha[self.first] = 1
-        weight = p[self.piece]
-        for edges, runs, to in self.levels:
-            alpha[to] = np.add.reduceat(alpha[self.starts[edges]] * weight[edges], runs)
-        return alpha
-
-    def backward(self, p: np.ndarray) -> np.ndarray:
-        """Sum from each node to the end of its unit; from the last level down, a node is complete when its edges end."""
-        beta = np.zeros(self.nodes)
+        for level, (edges, runs, to) in enumerate(self.levels, 1):
+            alpha[to] = np.add.reduceat(alpha[self.starts[edges]] * p[self.piece[edges]], runs)
+            if level % STEP == 0 and len(going := np.flatnonzero(self.sizes > level)):
+                window = self._window(going, level, self.longest)
+                top = alpha[window].max(axis=1)
+                alpha[window] /= top[:, None]
+                scale[going] += np.log(top)
+                node_scale[window] = scale[going][:, None]
+                ahead = self.first[going][:, None] + np.arange(level + 1, level + STEP + 1)
+                inside = ahead <= self.last[going][:, None]
+                node_scale[ahead[inside]] = np.repeat(scale[going], inside.sum(axis=1), axis=0)
+        return alpha, node_scale, scale
+
+    def backward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sum from each node to the end of its word, logarithm of each node's scale) for one column of ``p``; from the
+        last level down, a node is complete when its edges end."""
+        beta, scale = np.zeros(self.nodes), np.zeros(self.words)
+        node_scale = np.zeros(self.nodes)
         beta[self.last] = 1
-        weight = p[self.piece]
-        for edges, _, _ in reversed(self.levels):
-            np.add.at(beta, self.starts[edges], beta[self.ends[edges]] * weight[edges])
-        return beta
+        for level in range(len(self.levels), 0, -1):
+            edges = self.levels[level - 1][0]
+            np.add.at(beta, self.starts[edges], beta[self.ends[edges]] * p[self.piece[edges]])
+            if level % STEP == 0 and len(going := np.flatnonzero(self.sizes >= level)):
+                window = self._window(going, level - 1, self.longest)
+                top = beta[window].max(axis=1)
+                beta[window] /= top[:, None]
+                scale[going] += np.log(top)
+                below = self.first[going][:, None] + np.arange(max(0, level - STEP - self.longest), level)
+                node_scale[below] = scale[going][:, None]
+        return beta, node_scale
 
     def log_likelihood(self, p: np.ndarray) -> np.ndarray:
-        """Log probability of each word."""
-        return np.bincount(self.owner, np.log(self.forward(p)[self.last]), self.words)
+        """Log probability of each word, a column per column of ``p``."""
+        alpha, _, scale = self.forward(p)
+        return np.log(alpha[self.last]) + scale
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece when word w occurs counts[w] times."""
-        alpha, beta = self.forward(p), self.backward(p)
-        share = counts[self.owner] / alpha[self.last]
-        use = alpha[self.starts] * p[self.piece] * beta[self.ends] * share[self.unit]
-        return np.bincount(self.piece, use, len(p))
+        """Expected uses of each piece, of one column of probabilities, when word w occurs counts[w] times."""
+        alpha, alpha_scale, scale = self.forward(p[:, None])
+        beta, beta_scale = self.backward(p)
+        use = alpha[self.starts, 0] * p[self.piece] * beta[self.ends] / alpha[self.last, 0][self.unit]
+        if alpha_scale is not None:
+            use *= np.exp(alpha_scale[self.starts, 0] + beta_scale[self.ends] - scale[self.unit, 0])
+        return np.bincount(self.piece, use * counts[self.unit], len(p))
 
 
 def fit_pieces(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language by expectation maximisation, smoothed so that none is zero."""
-    size = pieces(path)[1] + 1
+    size = trie(path).n + 1
     p, lattice = np.full(size, 1 / size), Lattices(words, path)
     for _ in range(rounds):
         use = lattice.expected(p, counts) + SMOOTHING
@@ -158,7 +210,7 @@ def train(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) -> tup
     path = path or default_path()
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     sizes = {row.lang: row.n for row in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    size = 1 + pieces(path)[1]
+    size = 1 + trie(path).n
     if not sizes:
         return [], np.zeros((size, 0))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, sample / n))])
@@ -190,23 +242,24 @@ def train(docs: DataFrame, path: str | None = None, sample: int = SAMPLE) -> tup
 
 
 class Scorer:
-    """Log likelihoods of texts in every language; remembers the words it has seen."""
+    """Log likelihoods of texts in every language; remembers words in two generations, so that frequent ones stay."""
 
     def __init__(self, table: np.ndarray, path: str):
         self.table, self.path = table, path
-        self.rows: dict[str, int] = {}
-        self.scores = np.zeros((0, table.shape[1]))
+        self.rows, self.scores = {}, np.zeros((0, table.shape[1]))
+        self.old, self.old_scores = self.rows, self.scores
 
     def _learn(self, words: set[str]) -> None:
         new = words.difference(self.rows)
         if len(self.rows) + len(new) > MEMO:
+            self.old, self.old_scores = self.rows, self.scores
             self.rows, self.scores, new = {}, self.scores[:0], words
-        if new:
-            new = list(new)
-            lattice = Lattices(new, self.path)
-            made = np.stack([lattice.log_likelihood(self.table[:, i]) for i in range(self.table.shape[1])], axis=1)
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            self.scores = np.concatenate([self.scores, made])
+        moved = [w for w in new if w in self.old]
+        parts = [self.scores, self.old_scores[[self.old[w] for w in moved]]]
+        new = [w for w in new if w not in self.old]
+        parts += [Lattices(new[i : i + LATTICE], self.path).log_likelihood(self.table) for i in range(0, len(new), LATTICE)]
+        self.rows.update(zip(moved + new, range(len(self.rows), len(self.rows) + len(moved) + len(new))))
+        self.scores = np.concatenate(parts)
 
     def score(self, texts: list[str]) -> Iterator[np.ndarray]:
         """One row of log likelihoods per text; NaN for a text without letters."""
