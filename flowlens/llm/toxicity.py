@@ -26,6 +26,8 @@ from flowlens.llm.common import held_out
 
 #: Labelled documents per class that the model learns from, in expectation; they are picked by a hash of the id.
 SAMPLE = 4_000
+#: Most marked documents that are broadcast; beyond it the planner joins the chosen texts.
+MAX_BROADCAST = 100_000
 #: Most voters mined from the sample, the strongest first.
 VOTERS = 600
 MIN_DOCUMENTS, MIN_Z, MIN_LOG_ODDS = 4, 4.0, 1.0
@@ -143,9 +145,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, voters: int
     if len(sizes) < 2:
         return fallback
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.when(F.col("toxic") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
-    marks = marks.where(place < share)
-    texts = (docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(marks, "doc_id")
+    shares = [min(1.0, sample / sizes[toxic]) for toxic in (0, 1)]
+    marks = marks.where(place < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]))
+    if marks.count() <= MAX_BROADCAST:
+        marks = F.broadcast(marks)
+    chosen = docs.where(F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (place < max(shares)))
+    texts = (chosen.select("doc_id", "text").join(marks, "doc_id")
              .groupBy(F.xxhash64("text").alias("key"), "toxic").agg(F.min_by("text", "doc_id").alias("text")))
     texts = texts.select("key", "toxic", "text").persist()
     try:
