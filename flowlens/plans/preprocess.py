@@ -87,23 +87,8 @@ def preprocess_file(spark: SparkSession, paths: str | list[str], label: str = "L
 
 def profile_report(flows: DataFrame, features: list[str], label: str = "label", folder: str | None = None,
                    fmt: str = "parquet") -> dict[str, DataFrame]:
-    """All profile tables; written to ``folder`` if one is given."""
-    from flowlens.operators.labels import label_distribution
-
-    matrix = profile.correlation(flows, features)
-    tables = {
-        "schema": profile.schema_report(flows),
-        "missing": profile.missing_profile(flows, features),
-        "infinite": profile.infinite_profile(flows, features),
-        "duplicates": profile.duplicate_profile(flows),
-        "labels": label_distribution(flows, label),
-        "describe": profile.describe(flows, features),
-        "constant": profile.constant_features(flows, features),
-        "histogram": profile.histogram(flows, features),
-        "correlation": matrix,
-        "high_correlation": profile.high_correlation_pairs(matrix),
-        "summary": profile.quality_summary(flows, features, label),
-    }
+    """All profile tables from two scans; written to ``folder`` if one is given."""
+    tables = profile.full_profile(flows, features, label)
     if folder:
         write_results(tables, folder, fmt)
     return tables
