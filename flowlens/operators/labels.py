@@ -8,6 +8,8 @@ from flowlens.operators.ordering import with_position
 from flowlens.spec import BENIGN
 
 ORIGINAL = "label_original"
+#: Labels that the driver may order.
+FEW = 10_000
 
 
 def encode_binary(df: DataFrame, label: str = "label", benign: str = BENIGN) -> DataFrame:
@@ -21,11 +23,24 @@ def encode_binary(df: DataFrame, label: str = "label", benign: str = BENIGN) ->
 
 
 def label_mapping(df: DataFrame, label: str = "label") -> DataFrame:
-    """L2: (label, code) with codes 0..k-1 in text order (UTF-8 bytes); the place in a global order, never one task."""
+    """L2: (label, code) with codes 0..k-1 in text order (UTF-8 bytes).
+
+    Up to ``FEW`` labels are ordered here; more of them get their place in a global order, never in one task.
+    """
     distinct = df.select(label).where(F.col(label).isNotNull()).distinct()
+    known = [row[0] for row in distinct.limit(FEW + 1).collect()]
+    if len(known) <= FEW:
+        known.sort(key=lambda text: text.encode() if isinstance(text, str) else text)
+        kind = df.schema[label].dataType.simpleString()
+        return df.sparkSession.createDataFrame(list(zip(known, range(len(known)))), f"`{label}` {kind}, code int")
     return with_position(distinct, [F.col(label).asc()], "code").select(label, F.col("code").cast("int").alias("code"))
 
 
+def binary_mapping(df: DataFrame, label: str = "label", benign: str = BENIGN) -> DataFrame:
+    """L1: (label, code) of the labels that occur."""
+    return df.select(label).distinct().withColumn("code", (~F.col(label).eqNullSafe(benign)).cast("int"))
+
+
 def encode_multiclass(df: DataFrame, label: str = "label") -> DataFrame:
     """L2 applied: the label column becomes its code, a missing label stays missing.
 

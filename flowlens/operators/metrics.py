@@ -61,34 +61,40 @@ def classification_metrics(df: DataFrame, by: list[str] | None = None, **columns
     return add_rates(confusion_counts(df, by, **columns))
 
 
-def _score_groups(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    return df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(
+def score_curve(df: DataFrame, by: list[str] | None = None, score: str = "anomaly_score",
+                label: str = "label") -> DataFrame:
+    """What ROC and AUC share: per group and distinct score the attacks ``p`` and benign rows ``q`` at it, those up to it
+    (``p_to``, ``q_to``) and of the whole group (``p_all``, ``q_all``). The scores are ordered once."""
+    by = by or []
+    groups = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    curve = running_sums(groups, [F.col("_score").asc()], {"p_to": "p", "q_to": "q"}, by)
+    totals = curve.groupBy(*by).agg(F.sum("p").alias("p_all"), F.sum("q").alias("q_all"))
+    if by:
+        return join_groups(curve, totals, by)
+    return curve.select("*", totals.select("p_all").scalar().alias("p_all"), totals.select("q_all").scalar().alias("q_all"))
 
 
 def roc_points(df: DataFrame, by: list[str] | None = None, score: str = "anomaly_score",
-               label: str = "label") -> DataFrame:
+               label: str = "label", curve: DataFrame | None = None) -> DataFrame:
     """M3: (fpr, tpr, threshold) at each distinct score, highest first, and the origin at threshold infinity."""
     by = by or []
-    groups = _score_groups(df, by, score, label)
-    running = running_sums(groups, [F.col(score).desc()], {"tp": "p", "fp": "q"}, by)
-    totals = groups.groupBy(*by).agg(F.sum("p").alias("_P"), F.sum("q").alias("_N"))
-    joined = join_groups(running, totals, by) if by else running.select(
-        "*", totals.select("_P").scalar().alias("_P"), totals.select("_N").scalar().alias("_N"))
-    points = joined.select(*by, ratio(F.col("fp"), F.col("_N")).alias("fpr"),
-                           ratio(F.col("tp"), F.col("_P")).alias("tpr"), F.col(score).alias("threshold"))
-    origin = totals.select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
-                           F.lit(float("inf")).alias("threshold"))
+    curve = score_curve(df, by, score, label) if curve is None else curve
+    tp, fp = (F.col(f"{c}_all") - F.col(f"{c}_to") + F.col(c) for c in ("p", "q"))
+    points = curve.select(*by, ratio(fp, F.col("q_all")).alias("fpr"), ratio(tp, F.col("p_all")).alias("tpr"),
+                          F.col("_score").alias("threshold"))
+    origin = curve.groupBy(*by).agg(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
+                                    F.lit(float("inf")).alias("threshold"))
     return points.unionByName(origin)
 
 
-def auc(df: DataFrame, by: list[str] | None = None, score: str = "anomaly_score", label: str = "label") -> DataFrame:
+def auc(df: DataFrame, by: list[str] | None = None, score: str = "anomaly_score", label: str = "label",
+        curve: DataFrame | None = None) -> DataFrame:
     """M4: the share of (attack, benign) pairs ranked rightly, ties half; no pair is ever formed."""
     by = by or []
-    groups = _score_groups(df, by, score, label)
-    running = running_sums(groups, [F.col(score).asc()], {"_to": "q"}, by)
-    won = F.col("p") * ((F.col("_to") - F.col("q")) + 0.5 * F.col("q"))
-    return running.groupBy(*by).agg(
+    curve = score_curve(df, by, score, label) if curve is None else curve
+    won = F.col("p") * ((F.col("q_to") - F.col("q")) + 0.5 * F.col("q"))
+    return curve.groupBy(*by).agg(
         F.sum(won).alias("_won"), F.sum("p").cast("double").alias("_P"), F.sum("q").cast("double").alias("_N")
     ).select(*by, ratio(F.col("_won"), F.col("_P") * F.col("_N")).alias("auc"))
 
@@ -108,10 +114,10 @@ def fixed4(column: Column) -> Column:
     return F.format_string("%.4f", column.cast("double"))
 
 
-def performance_summary(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def performance_summary(df: DataFrame, by: list[str] | None = None, curve: DataFrame | None = None) -> DataFrame:
     """M6: M2 and M4 as text with four decimals."""
     by = by or ["model"]
-    rated = join_groups(classification_metrics(df, by), auc(df, by), by)
+    rated = join_groups(classification_metrics(df, by), auc(df, by, curve=curve), by)
     named = {"Accuracy": "accuracy", "Precision": "precision", "Recall": "recall", "F1_Score": "f1", "AUC": "auc",
              "Specificity": "specificity", "FPR": "fpr", "FNR": "fnr"}
     return rated.select(
@@ -154,11 +160,12 @@ def classification_report(df: DataFrame, by: list[str] | None = None, names: tup
 
 
 def evaluate_model(scored: DataFrame, importances: DataFrame | None = None, top: int = 20) -> dict[str, DataFrame]:
-    """M8: every table of one evaluation, from one (cached) scored frame."""
+    """M8: every table of one evaluation, from one (cached) scored frame; its scores are ordered once."""
+    curve = score_curve(scored, ["model"])
     tables = {
         "metrics": classification_metrics(scored, ["model"]),
-        "summary": performance_summary(scored, ["model"]),
-        "roc": roc_points(scored, ["model"]),
+        "summary": performance_summary(scored, ["model"], curve),
+        "roc": roc_points(scored, ["model"], curve=curve),
         "confusion": confusion_table(scored, ["model"], normalise=True),
         "report": classification_report(scored, ["model"]),
     }

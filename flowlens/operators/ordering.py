@@ -1,4 +1,7 @@
-"""Global order without a global task: range partitions, per-partition totals and local windows (H2)."""
+"""Global order without a global task: range partitions, per-partition totals and local windows (H2).
+
+What fits one sort anyway (``SMALL`` rows, counted once it is written) is ordered by a plain window.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowlens.session import materialise
 
 PART = "_part"
+#: Rows that one task may order.
+SMALL = 1_000_000
 
 
 def ordered_parts(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -30,7 +35,11 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], by: l
     ``by`` must lead ``order``. A group may span partitions: only its local part is windowed, the totals of its earlier
     partitions (one row per partition and group) are joined in.
     """
-    parts = ordered_parts(df, [F.col(b).asc() for b in by] + order)
+    written = materialise(df, "groups")
+    if written.count() <= SMALL:
+        window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return written.select(*df.columns, *[F.sum(src).over(window).alias(out) for out, src in sums.items()])
+    parts = ordered_parts(written, [F.col(b).asc() for b in by] + order)
     totals = parts.groupBy(PART, *by).agg(*[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()])
     earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -44,7 +53,10 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], by: l
 
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """0-based global position of every row in ``order``."""
-    parts = ordered_parts(df, order)
+    written = materialise(df, "rows")
+    if written.count() <= SMALL:
+        return written.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint"))
+    parts = ordered_parts(written, order)
     sizes = parts.groupBy(PART).agg(F.count("*").alias("_n"))
     # One row per partition: small enough for one window.
     offsets = sizes.select(
@@ -61,6 +73,16 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     )
 
 
+def newest(df: DataFrame, by: list[str], order: list[Column], size: int, salts: int, spread_by: str) -> DataFrame:
+    """The first ``size`` rows of every group in ``order``: those of each share of a group by a hash of ``spread_by`` first,
+    so a group that holds most rows is ordered in ``salts`` tasks, and no task orders more than ``salts * size`` of it."""
+    for keys in ([*by, "_salt"], by):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts))) if "_salt" in keys else df
+        df = salted.withColumn("_n", place).where(F.col("_n") <= size).drop("_n")
+    return df.drop("_salt")
+
+
 def trailing(df: DataFrame, order: list[Column], size: int, aggregates: dict[str, Column],
              block: int = 100_000) -> DataFrame:
     """Aggregates over the last ``size`` rows of the global order, for every row (K2).

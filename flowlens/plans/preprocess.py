@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flowlens.operators import profile
 from flowlens.operators.clean import FlowCleaner, FlowCleanerModel, distinct_rows
-from flowlens.operators.labels import encode_binary, encode_multiclass, label_mapping
+from flowlens.operators.labels import binary_mapping, encode_binary, encode_multiclass, label_mapping
 from flowlens.operators.sampling import mark_split
 from flowlens.operators.scale import FlowScaler, FlowScalerModel
 from flowlens.operators.schema import drop_metadata
@@ -62,7 +62,7 @@ def preprocess(flows: DataFrame, features: list[str] | None = None, label: str =
         cleaner = FlowCleaner(features, **options).fit(marked.where("not is_test").drop("is_test"))
         split = cleaner.transform(marked)
     encode = encode_binary if binary else encode_multiclass
-    mapping = label_mapping(flows, label)
+    mapping = binary_mapping(flows, label) if binary else label_mapping(flows, label)
     encoded = encode(split, label)
     train, test = encoded.where("not is_test").drop("is_test"), encoded.where("is_test").drop("is_test")
     scaling = None

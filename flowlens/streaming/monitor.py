@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowlens.functions.numeric import ratio
 from flowlens.operators.monitor import HISTORY, check_drift, map_moments
+from flowlens.operators.ordering import newest
 from flowlens.session import scratch_path
 from flowlens.streaming.sinks import drain_to_table, latest
 
@@ -67,19 +68,18 @@ def recent_candidates(log: DataFrame, id_column: str, time: str = "timestamp", s
         RecentRows(size), "model_used string, micros bigint, id bigint, prediction int", "Append", "none")
 
 
-def recent_rows(candidates: DataFrame, size: int = HISTORY) -> DataFrame:
-    """The newest ``size`` rows per model out of the drained candidates."""
-    newest = Window.partitionBy("model_used").orderBy(F.col("micros").desc(), F.col("id").desc())
-    return candidates.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= size).drop("_n")
+def recent_rows(candidates: DataFrame, size: int = HISTORY, salts: int = SALTS) -> DataFrame:
+    """The newest ``size`` rows per model out of the drained candidates, first of every share of a model, then of those."""
+    return newest(candidates, ["model_used"], [F.col("micros").desc(), F.col("id").desc()], size, salts, "id")
 
 
-def stream_statistics(log: DataFrame, id_column: str, size: int = HISTORY) -> DataFrame:
-    """K1 per model from two drained streams: totals (update mode) and the recent window."""
+def stream_statistics(log: DataFrame, id_column: str, size: int = HISTORY, salts: int = SALTS) -> DataFrame:
+    """K1 per model from two drained streams: totals (update mode) and the recent window; ``salts`` tasks share a model."""
     spark = log.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     totals, _ = drain_to_table(running_totals(log), output_mode="update")
-    candidates, _ = drain_to_table(recent_candidates(log, id_column, size=size))
-    recent = recent_rows(candidates, size).groupBy("model_used").agg(
+    candidates, _ = drain_to_table(recent_candidates(log, id_column, size=size, salts=salts))
+    recent = recent_rows(candidates, size, salts).groupBy("model_used").agg(
         F.count("*").alias("history_window_size"),
         ratio(F.count_if(F.col("prediction") == 1) * 100.0, F.count("*")).alias("recent_anomaly_rate_percent"))
     return latest(totals, ["model_used"]).join(recent, "model_used").withColumns({

@@ -1,17 +1,18 @@
 """Edge rules of metrics, ordering, monitoring and streams."""
 
 import json
+import random
 import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import metrics, monitor
+from flowlens.operators import labels, metrics, monitor, ordering
 from flowlens.operators.ordering import trailing, with_position
 from flowlens.operators.schema import recode_prediction
 from flowlens.sources import prediction_log as plog
-from flowlens.streaming.monitor import stream_statistics
+from flowlens.streaming.monitor import recent_rows, stream_statistics
 from flowlens.streaming.sinks import drain_to_table, late_rows
 
 # Published grid of one-class SVM runs (nu, kernel, gamma, F1, precision, recall).
@@ -197,3 +198,42 @@ def test_missing_group_keeps_its_curve(spark):
         ("a", 11), (None, 11)}
     flagged = df.withColumn("prediction", F.col("label"))
     assert metrics.performance_summary(flagged, ["model"]).count() == 2
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_orders_agree_however_they_are_made(spark, monkeypatch, small):
+    """Global positions, curves and areas over range partitions and in one sort, with ties and a missing model."""
+    monkeypatch.setattr(ordering, "SMALL", small)
+    draw = random.Random(12)
+    rows = [(draw.choice(["a", "b", None]), draw.randrange(2), float(draw.randrange(40))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "model string, label int, anomaly_score double").repartition(6)
+    areas = {r.model: r.auc for r in metrics.auc(df, ["model"]).collect()}
+    curve = metrics.score_curve(df, ["model"])
+    points = {}
+    for r in metrics.roc_points(df, ["model"], curve=curve).collect():
+        points.setdefault(r.model, []).append((r.threshold, r.fpr, r.tpr))
+    for model in ("a", "b", None):
+        attacks = [s for m, label, s in rows if m == model and label == 1]
+        benign = [s for m, label, s in rows if m == model and label == 0]
+        wins = sum((x > y) + 0.5 * (x == y) for x in attacks for y in benign) / (len(attacks) * len(benign))
+        assert areas[model] == pytest.approx(wins, abs=1e-12)
+        assert sorted(points[model]) == sorted([(float("inf"), 0.0, 0.0)] + [
+            (t, sum(y >= t for y in benign) / len(benign), sum(x >= t for x in attacks) / len(attacks))
+            for t in set(attacks + benign)])
+    numbered = spark.range(500).withColumn("x", F.col("id") * 7919 % 500).repartition(7)
+    assert all(r.position == r.x for r in ordering.with_position(numbered, [F.col("x").asc()]).collect())
+    names = spark.createDataFrame([("b",), ("é",), ("Z",), (None,), ("a",), ("a",)], "label string")
+    monkeypatch.setattr(labels, "FEW", 0 if small == 0 else 10_000)
+    assert {r.label: r.code for r in labels.label_mapping(names).collect()} == {"Z": 0, "a": 1, "b": 2, "é": 3}
+
+
+def test_newest_rows_of_a_hot_model(spark):
+    """A window beyond the planner's own limit, where one model has nearly all rows."""
+    log = spark.range(60_000).select(F.when(F.col("id") % 100 == 0, "rare").otherwise("hot").alias("model_used"),
+                                     (F.col("id") * 7919 % 60_000).alias("micros"), "id", F.lit(0).alias("prediction"))
+    got = recent_rows(log, 5_000, salts=5).groupBy("model_used").agg(
+        F.count("*").alias("n"), F.min("micros").alias("low"), F.count_distinct("id").alias("ids")).collect()
+    by_model = {r.model_used: r for r in got}
+    assert by_model["rare"].n == 600 and by_model["hot"].n == by_model["hot"].ids == 5_000
+    hot = sorted((i * 7919 % 60_000 for i in range(60_000) if i % 100), reverse=True)
+    assert by_model["hot"].low == hot[4_999]
