@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.functions.numeric import nan_to_num
 from flowlens.operators.scale import FlowScalerModel
+from flowlens.operators.schema import check_feature_count
 
 
 def matrix_column(function: Callable[[np.ndarray], np.ndarray], inputs: Column, returns: str = "double") -> Column:
@@ -65,6 +66,7 @@ class Detector:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``raw_score`` in the model's own direction, ``anomaly_score`` (higher is worse), ``prediction``, probability."""
+        check_feature_count(df, self.features)
         raw = F.col("raw_score")
         return df.withColumn("raw_score", self.raw_score()).withColumns({
             "anomaly_score": raw if self.higher_is_worse else -raw,
@@ -104,6 +106,41 @@ class Detector:
             .write.mode("overwrite").json(f"{path}/metadata")
 
 
+class UserModel(Detector):
+    """Any function from a pandas frame of features to scores as a detector: it explains, permutes and scores like the others.
+
+    ``decision`` says that the function is a signed decision (negative is anomalous) rather than a score that grows with
+    the anomaly; ``threshold`` is where it flags. Such a model can't be saved.
+    """
+
+    kind = "user"
+
+    def __init__(self, function: Callable[[pd.DataFrame], pd.Series], features: list[str], threshold: float = 0.0,
+                 decision: bool = False, scaler: FlowScalerModel | None = None):
+        self.function, self.features, self.threshold, self.scaler = function, list(features), float(threshold), scaler
+        self.higher_is_worse = not decision
+
+    def matrix_score(self) -> Callable[[np.ndarray], np.ndarray]:
+        function, features = self.function, self.features
+        return lambda rows: np.asarray(function(pd.DataFrame(rows, columns=features)), dtype=float)
+
+    def prediction(self, raw: Column) -> Column:
+        return (raw > self.threshold if self.higher_is_worse else raw < self.threshold).cast("int")
+
+    def probability(self, raw: Column) -> Column:
+        distance = raw - F.lit(self.threshold)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-distance if self.higher_is_worse else distance))
+
+    def metadata(self) -> dict:
+        return {"features": self.features}
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {}
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        raise TypeError("a user function has no state to save")
+
+
 def read_state(spark: SparkSession, path: str) -> tuple[dict, dict[str, np.ndarray]]:
     meta = json.loads(spark.read.schema("metadata string").json(f"{path}/metadata").first()[0])
     arrays = {r["name"]: np.array(r["data"], dtype=float).reshape(r["shape"])

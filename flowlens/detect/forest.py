@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from flowlens.detect.base import Detector, prepared
 from flowlens.functions.hashing import unit_interval
 from flowlens.operators.quantiles import exact_percentiles
+from flowlens.operators.schema import check_feature_count
 from flowlens.session import keep
 
 NODES = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
@@ -60,6 +61,7 @@ class IsolationForest:
         self.contamination, self.max_features, self.seed, self.scaler = contamination, max_features, seed, scaler
 
     def fit(self, df: DataFrame) -> "IsolationForestModel":
+        check_feature_count(df, self.features)
         n = df.count()
         psi = min(self.max_samples, n)
         if psi < 2:

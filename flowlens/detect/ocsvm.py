@@ -20,6 +20,7 @@ from flowlens.detect.svm_solver import Problem, solve, sums
 from flowlens.functions.numeric import ratio
 from flowlens.operators.ordering import with_position
 from flowlens.operators.scale import FlowScaler
+from flowlens.operators.schema import check_feature_count
 from flowlens.functions.hashing import seeded_hash
 from flowlens.session import materialise, spread
 
@@ -146,6 +147,7 @@ def fit_all(df: DataFrame, estimators: list[OneClassSVM]) -> list["OneClassSVMMo
     first = estimators[0]
     if any((e.features, e.scale) != (first.features, first.scale) for e in estimators):
         raise ValueError("fits that share their passes need the same features and scaling")
+    check_feature_count(df, first.features)
     scaler = FlowScaler(first.features).fit(df) if first.scale else None
     rows = spread(df.select(prepared(first.features, scaler).alias("x")))
     try:
@@ -381,10 +383,10 @@ def permutation_importance(df: DataFrame, model: Detector, keys: list[str], seed
             out.append(score(swapped))
         return np.stack(out, axis=1)
 
-    renamed = paired.select(own.alias("a"), *[F.col(f"_o_{f}").alias(f) for f in features]).select(
-        "a", foreign.alias("b"))
-    both = F.struct(*[F.col(f"a.{f}").alias(f"a_{i}") for i, f in enumerate(features)],
-                    *[F.col(f"b.{f}").alias(f"b_{i}") for i, f in enumerate(features)])
+    renamed = paired.select(own.alias("_own"), *[F.col(f"_o_{f}").alias(f) for f in features]).select(
+        "_own", foreign.alias("_foreign"))
+    both = F.struct(*[F.col("_own").getField(f).alias(f"a_{i}") for i, f in enumerate(features)],
+                    *[F.col("_foreign").getField(f).alias(f"b_{i}") for i, f in enumerate(features)])
     names = F.array(F.lit(""), *[F.lit(f) for f in features])
     variances = (
         renamed.select(matrix_column(scores, both, "array<double>").alias("s"))

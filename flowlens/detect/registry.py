@@ -81,9 +81,11 @@ def score_with(df: DataFrame, model: Detector, name: str) -> DataFrame:
 def score_flows(df: DataFrame, model: Detector, top_feature: Column | None = None, strict: bool = True) -> DataFrame:
     """The whole scoring pipeline as one projection; batch and streaming frames share it.
 
-    With ``strict=False`` a row whose features are missing or infinite becomes ``ERROR`` with score and confidence 0.
+    A frame without one of the model's features is refused before any job (P7). With ``strict=False`` an absent column is
+    0.0 (P5), and a row whose features are missing or infinite becomes ``ERROR`` with score and confidence 0.
     """
-    scored = model.transform(df)
+    absent = [] if strict else [f for f in model.features if f not in df.columns]
+    scored = model.transform(df.withColumns({f: F.lit(0.0) for f in absent}) if absent else df)
     raw = F.col("raw_score")
     confidence = percent_confidence(raw)
     feature = top_feature if top_feature is not None else F.lit("unknown")
@@ -103,4 +105,4 @@ def score_flows(df: DataFrame, model: Detector, top_feature: Column | None = Non
         "prediction": F.when(broken, F.lit(None).cast("int")).otherwise(F.col("prediction")),
         "raw_score": F.when(broken, F.lit(0.0)).otherwise(raw),
         "anomaly_score": F.when(broken, F.lit(0.0)).otherwise(F.col("anomaly_score")),
-    })
+    }).drop(*absent)

@@ -38,12 +38,14 @@ def frame_scorer(function: Callable[[pd.DataFrame], pd.Series], features: list[s
     return lambda rows: np.asarray(function(pd.DataFrame(rows, columns=features)), dtype=float)
 
 
-def coalitions(m: int, nsamples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """0/1 rows and their weights: all subsets of few features, else paired draws by subset size."""
-    if m <= ENUMERATE_UP_TO or 2**m - 2 <= nsamples:
+def coalitions(m: int, nsamples: int | None, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """0/1 rows and their weights: all subsets if they are no more than ``nsamples`` (or of few features, where no number is
+    given), else that many paired draws by subset size."""
+    if 2**m - 2 <= nsamples if nsamples else m <= ENUMERATE_UP_TO:
         masks = np.array([z for z in itertools.product((0.0, 1.0), repeat=m) if 0 < sum(z) < m]).reshape(-1, m)
         sizes = masks.sum(axis=1).astype(int)
         return masks, np.array([(m - 1) / (math.comb(m, s) * s * (m - s)) for s in sizes])
+    nsamples = nsamples or 2 * m + 2048
     rng = np.random.default_rng(seed)
     sizes = np.arange(1, m)
     share = 1.0 / (sizes * (m - sizes))
@@ -72,7 +74,7 @@ def kernel_contributions(score: Scorer, background: np.ndarray, nsamples: int |
     base = float(score(background).mean())
     if m == 1:
         return lambda rows: (score(rows) - base)[:, None]
-    masks, weights = coalitions(m, nsamples or 2 * m + 2048, seed)
+    masks, weights = coalitions(m, nsamples, seed)
     solve = projection(masks, weights)
     b = len(background)
 
@@ -111,9 +113,18 @@ def expected_value(score: Scorer, background: np.ndarray) -> float:
     return float(score(background).mean())
 
 
-def explain_linear(df: DataFrame, weights: dict[str, float], means: dict[str, float]) -> DataFrame:
-    """X1 for a linear score: weight * (x - background mean), exact and without leaving the JVM."""
-    return df.withColumn("shap", F.array(*[F.lit(w) * (F.col(f) - F.lit(means[f])) for f, w in weights.items()]))
+def explain_linear(df: DataFrame, weights: dict[str, float], means: dict[str, float], scaler=None,
+                   base: float | None = None) -> DataFrame:
+    """X1 for a linear score: weight * (x - background mean), exact and without leaving the JVM.
+
+    ``means`` are those of the background as the score sees it; with a scaler (or a ``base`` value) features are prepared
+    as for scoring.
+    """
+    if scaler is None and base is None:
+        return df.withColumn("shap", F.array(*[F.lit(w) * (F.col(f) - F.lit(means[f])) for f, w in weights.items()]))
+    x = prepared(list(weights), scaler)
+    shap = F.array(*[F.lit(float(w)) * (x.getField(f) - F.lit(float(means[f]))) for f, w in weights.items()])
+    return df.withColumns({"shap": shap, "expected_value": F.lit(base)})
 
 
 def top_features(features: list[str], shap: Column, k: int = 10) -> Column:
@@ -347,10 +358,14 @@ def explain_network(df: DataFrame, model, background: np.ndarray, steps: int = 2
 
 def explain_model(df: DataFrame, model: Detector, background_rows: DataFrame, keys: list[str], n_background: int = 100,
                   nsamples: int | None = None, seed: int = 42, method: str = "auto") -> DataFrame:
-    """The fitting method per model: trees for a forest, gradients for networks, else the kernel method."""
+    """The fitting method per model: trees for a forest, the closed form for a linear score, gradients for networks, else
+    the kernel method."""
     if method == "auto" and model.kind == "isolation_forest":
         return explain_forest(df, model)
     background = background_matrix(background_rows, model.features, keys, n_background, seed, model.scaler)
+    if method == "auto" and model.kind == "one_class_svm" and model.fmap.kernel == "linear":
+        return explain_linear(df, dict(zip(model.features, model.weights)), dict(zip(model.features, background.mean(axis=0))),
+                              model.scaler, expected_value(model.matrix_score(), background))
     if method == "auto" and hasattr(model, "error_gradient"):
         return explain_network(df, model, background)
     return explain(df, model.features, model.matrix_score(), background, nsamples, model.scaler, seed)

@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from flowlens.detect import autoencoder, forest, network, ocsvm, registry, vae
+from flowlens.detect.base import UserModel
 from flowlens.operators import metrics, sampling, schema
 from flowlens.operators.clean import FlowCleaner
 from flowlens.operators.quantiles import exact_percentiles
 from flowlens.operators.scale import FlowScaler
-from flowlens.queries.registry import KEYS, SIGNAL, md5_of, query, r, rounded
+from flowlens.queries.registry import KEYS, ORACLES, SIGNAL, md5_of, query, r, rounded
 from flowlens.session import keep, scratch_path
 from flowlens.sources.views import FLOW_KEYS, VECTOR_FEATURES, flows_signal, vectors
 
@@ -317,6 +318,29 @@ def d11(spark, sf_dir):
     return rounded(ocsvm.permutation_importance(df, _linear_svm(df), FLOW_KEYS), 5)
 
 
+def _user_model(df):
+    """The same linear decision, given as a function of a pandas frame."""
+    def decision(rows):
+        return sum(w * rows[f] for f, w in LINEAR_WEIGHTS.items()) - 0.25
+
+    return UserModel(decision, THREE, decision=True, scaler=_scaler(df))
+
+
+@query("d11_permutation_user_scorer", ORACLES["d11_permutation_importance"])
+def d11_user(spark, sf_dir):
+    df = flows_signal(spark, sf_dir, heavy=True).select(*FLOW_KEYS, *THREE, "label")
+    return rounded(ocsvm.permutation_importance(df, _user_model(df), FLOW_KEYS), 5)
+
+
+@query("d24_user_scorer", f"""with {SCALED} select {KEYS}, {r(LINEAR_SCORE, 5, "raw_score")},
+  case when {LINEAR_SCORE} < 0 then 1 else 0 end as prediction,
+  {r(f"least(abs({LINEAR_SCORE}) / 2.0, 1.0)", 5, "confidence")} from scaled""")
+def d24_user(spark, sf_dir):
+    df = flows_signal(spark, sf_dir, heavy=True).select(*FLOW_KEYS, *THREE, "label")
+    scored = registry.score_with(df, _user_model(df), "mine")
+    return rounded(scored.select(*FLOW_KEYS, "raw_score", "prediction", "confidence"), 5)
+
+
 # ---- autoencoders --------------------------------------------------------------------------------------------------
 
 # A given 3-2-3 network: relu bottleneck, linear output.
@@ -466,7 +490,8 @@ def d21(spark, sf_dir):
     return model.history_frame(spark)
 
 
-@query("d22_model_info")
+@query("d22_model_info", """select 'one_class_svm' as kind, 4::integer as n_features, 256::bigint as n_parameters,
+  0.0::double as threshold""")
 def d22(spark, sf_dir):
     df = schema.filter_benign(_clean_signal(spark, sf_dir))
     return ocsvm.OneClassSVM(FOUR, nu=1.0).fit(df).info(spark).drop("metadata")

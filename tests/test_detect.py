@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlens.detect import network, ocsvm, registry
 from flowlens.detect.autoencoder import Autoencoder, AutoencoderModel
-from flowlens.detect.base import prepared
+from flowlens.detect.base import UserModel, prepared
 from flowlens.detect.forest import IsolationForest, average_path
 from flowlens.detect.ocsvm import FeatureMap, OneClassSVM, fit_all, kernel_decision, pooled_gamma
 from flowlens.detect.svm_solver import shortest
@@ -415,3 +415,46 @@ def test_pooled_gamma_skips_missing_entries(spark):
     df = spark.createDataFrame([(1.0, 10.0), (2.0, None), (4.0, 30.0), (None, 50.0)], "a double, b double")
     entries = np.array([1, 2, 4, 10, 30, 50])
     assert pooled_gamma(df, ["a", "b"]) == pytest.approx(1 / (2 * entries.var()))
+
+
+def test_models_refuse_frames_without_their_features(spark, cloud):
+    model = OneClassSVM(FEATURES, nu=1.0).fit(benign(cloud))
+    for estimator in (OneClassSVM(FEATURES), IsolationForest(FEATURES, ["id"]), Autoencoder(FEATURES, ["id"]),
+                      VariationalAutoencoder(FEATURES, ["id"])):
+        with pytest.raises(ValueError, match="expected 3 features, 2 present"):
+            estimator.fit(cloud.drop("b"))
+    with pytest.raises(ValueError, match="missing .'b'."):
+        model.transform(cloud.drop("b"))
+    with pytest.raises(ValueError, match="expected 3 features"):
+        registry.score_flows(cloud.drop("b"), model)
+    aligned = registry.score_flows(cloud.drop("b"), model, strict=False)
+    assert "b" not in aligned.columns
+    zero = {r.id: r.raw_score for r in model.transform(cloud.withColumn("b", F.lit(0.0))).collect()}
+    assert {r.id: r.raw_score for r in aligned.collect()} == zero
+
+
+def test_a_user_function_is_a_detector(spark, cloud):
+    plain = UserModel(lambda rows: rows["a"] - 2 * rows["b"], FEATURES, threshold=5.0)
+    signed = UserModel(lambda rows: 5.0 - rows["a"] + 2 * rows["b"], FEATURES, decision=True)
+    a, b = ({r.id: (r.prediction, r.anomaly_probability) for r in m.transform(cloud).collect()} for m in (plain, signed))
+    assert all(a[i][0] == b[i][0] and a[i][1] == pytest.approx(b[i][1]) for i in a) and 0 < sum(p for p, _ in a.values()) < 1600
+    importance = {r.feature: r.importance for r in ocsvm.permutation_importance(cloud, plain, ["id"]).collect()}
+    assert importance["c"] == 0 and importance["b"] > 0
+    scored = registry.score_with(cloud, signed, "mine").first()
+    assert scored.model == "mine" and 0 <= scored.confidence <= 1
+    with pytest.raises(TypeError):
+        plain.save(spark, "nowhere")
+
+
+def test_linear_models_take_the_closed_form(spark, cloud):
+    model = OneClassSVM(FEATURES, nu=0.3, kernel="linear").fit(benign(cloud))
+    some = cloud.limit(40)
+    closed = explain.explain_model(some, model, benign(cloud), ["id"], 20)
+    assert "ArrowEvalPython" not in closed._jdf.queryExecution().optimizedPlan().toString()
+    slow = explain.explain_model(some, model, benign(cloud), ["id"], 20, method="kernel")
+    by_id = {r.id: r for r in slow.collect()}
+    for r in closed.collect():
+        assert r.shap == pytest.approx(by_id[r.id].shap, abs=1e-9)
+        assert r.expected_value == pytest.approx(by_id[r.id].expected_value)
+    masks, _ = explain.coalitions(9, 100, 1)
+    assert len(masks) == 100 and len(explain.coalitions(9, None, 1)[0]) == 510 and len(explain.coalitions(5, 100, 1)[0]) == 30

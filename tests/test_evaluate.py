@@ -8,10 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowlens.detect.ocsvm import OneClassSVM
 from flowlens.operators import labels, metrics, monitor, ordering
 from flowlens.operators.ordering import trailing, with_position
 from flowlens.operators.schema import recode_prediction
+from flowlens.plans import training
 from flowlens.sources import prediction_log as plog
+from flowlens.sources.flows import read_days
 from flowlens.streaming.monitor import recent_rows, stream_statistics
 from flowlens.streaming.sinks import drain_to_table, late_rows
 
@@ -237,3 +240,39 @@ def test_newest_rows_of_a_hot_model(spark):
     assert by_model["rare"].n == 600 and by_model["hot"].n == by_model["hot"].ids == 5_000
     hot = sorted((i * 7919 % 60_000 for i in range(60_000) if i % 100), reverse=True)
     assert by_model["hot"].low == hot[4_999]
+
+
+def test_pipelines_with_their_steps(spark, tmp_path):
+    """W3 and W4 from files, W6 and W7 with samples and filled features: quotas, result folders, days apart."""
+    draw = random.Random(2)
+    for day, attack in (("mon", None), ("tue", "DoS"), ("wed", "PortScan")):
+        lines = [" a, b, k, Label"]
+        for i in range(300):
+            bad = attack and i % 3 == 0
+            a = "inf" if i == 7 else "" if i == 11 else f"{draw.gauss(6 if bad else 0, 1):.4f}"
+            lines.append(f"{a},{draw.gauss(0, 1):.4f},{day}{i},{attack if bad else 'BENIGN'}")
+        (tmp_path / f"{day}.csv").write_text("\n".join(lines + lines[1:3]))
+    models, tables = training.train_from_files(
+        spark, str(tmp_path / "mon.csv"), [str(tmp_path / f"{d}.csv") for d in ("tue", "wed")],
+        lambda features: {"svm": OneClassSVM(features, nu=0.05, max_iter=40)}, sample=250, keys=["k"], handle_nan="median",
+        folder=str(tmp_path / "w3"))
+    assert models["svm"].features == ["a", "b"] and models["svm"].n_rows <= 250
+    assert 240 <= tables["scored"].count() <= 250 and {p.name for p in (tmp_path / "w3").iterdir()} == {"comparison", "gate", "per_attack"}
+    assert metrics.classification_metrics(tables["scored"], ["model"]).first()["recall"] > 0.8
+
+    catalog = {d: (f"{d}.csv", c) for d, c in (("mon", "BENIGN"), ("tue", "DoS"), ("wed", "PortScan"))}
+    again = {"one": models["svm"], "two": models["svm"]}
+    got = training.scenario_test_from_files(spark, str(tmp_path), again, "one", "two", catalog, max_rows=90, keys=["k"],
+                                            folder=str(tmp_path / "w4"))
+    rated = {(r.attack_category, r.model): r for r in got["metrics"].collect()}
+    assert all(r.tp + r.tn + r.fp + r.fn == 90 for r in rated.values())
+    attacks = {c: rated[c, "one"].tp + rated[c, "one"].fn for c in ("BENIGN", "DoS", "PortScan")}
+    assert attacks["BENIGN"] == 0 and attacks["DoS"] == int(90 * 101 / 302) and (tmp_path / "w4" / "summary").exists()
+
+    flows = read_days(spark, str(tmp_path), catalog).withColumnRenamed("Label", "label")
+    audit = training.false_alarm_audit(flows, {"svm": models["svm"]}, sample=50, keys=["k"], fill=True)
+    assert {r.day: r.samples_tested for r in audit["alarms"].collect()} == {"mon": 50, "tue": 50, "wed": 50}
+    expected = spark.createDataFrame([("svm", 0.9, 0.9, 0.05)], "model string, f1 double, recall double, fpr double")
+    sides = training.score_audit(flows, models["svm"], "svm", expected, per_side=80, keys=["k"], fill=True)
+    row = sides["metrics"].first()
+    assert row.tp + row.fn == 80 and row.tn + row.fp == 80
