@@ -32,6 +32,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have yet, whatever case names are compared in."""
+    taken = {name.lower() for name in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 class Scratch:
     """Intermediate tables in the shared folder ``spark.checkpoint.dir``: they cut lineage and outlive executors."""
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import Scratch
+from flowlens.llm.common import Scratch, unused
 
 DEFAULT_KEY = "replace-me"
 #: Most moved entities that are sent along with the replacing function; beyond, they are joined.
@@ -167,7 +167,7 @@ _TOKEN = re.compile(_CAPITAL)
 
 def _normal(kind: str, mention: str) -> str:
     if kind in ("phone", "card", "ssn"):
-        return re.sub(r"\D", "", mention)
+        return ("+" if mention[0] == "+" else "") + re.sub(r"\D", "", mention)
     if kind == "iban":
         return mention.replace(" ", "")
     return mention if kind in ("secret", "key", "hex") else mention.lower()
@@ -244,6 +244,22 @@ def _luhn(digits: str) -> int:
     return total % 10
 
 
+def _mod97(text: str) -> int:
+    """The remainder that account numbers are checked by; letters count from 10."""
+    return int("".join(str(int(ch, 36)) for ch in text)) % 97
+
+
+# Country calling codes of one and two digits; all others have three.
+_SHORT_CODES = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48",
+                "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82",
+                "84", "86", "90", "91", "92", "93", "94", "95", "98"}
+
+
+def _country(digits: str) -> int:
+    """Digits of the country code at the start of an international number."""
+    return next((n for n in (1, 2) if digits[:n] in _SHORT_CODES), min(3, len(digits) - 1))
+
+
 def surrogate(kind: str, value: str, key: str, attempt: int) -> str:
     """The replacement of a normalised value; the same length and character classes, never the value itself."""
     for retry in range(64):
@@ -266,7 +282,13 @@ def surrogate(kind: str, value: str, key: str, attempt: int) -> str:
             made = "".join("0123456789abcdef"[next(draw) % 16] for _ in value)
             made = made.upper() if value.upper() == value else made
         elif kind == "iban":
-            made = value[:2] + "".join(_like(ch, draw) for ch in value[2:])
+            body = "".join(_like(ch, draw) for ch in value[4:])
+            check = f"{98 - _mod97(body + value[:2] + '00'):02d}" if _mod97(value[4:] + value[:4]) == 1 else "".join(
+                _like(ch, draw) for ch in value[2:4])
+            made = value[:2] + check + body
+        elif kind == "phone" and value[0] == "+":
+            code = 1 + _country(value[1:])
+            made = value[:code] + str(1 + next(draw) % 9) + "".join(str(next(draw) % 10) for _ in value[code + 1 :])
         elif kind in ("phone", "card", "ssn"):
             keep = kind == "card" or kind == "phone" and len(value) > 10
             made = (value[0] if keep else str(1 + next(draw) % 9)) + "".join(str(next(draw) % 10) for _ in value[1:])
@@ -283,7 +305,7 @@ def surrogate(kind: str, value: str, key: str, attempt: int) -> str:
 def render(kind: str, mention: str, made: str) -> str:
     """A surrogate in the form of one mention: its separators and its case."""
     if kind in ("phone", "card", "ssn", "iban"):
-        rest = iter(made)
+        rest = iter(ch for ch in made if ch.isalnum())
         return "".join(next(rest) if ch.isalnum() else ch for ch in mention)
     if kind.startswith("given") or kind == "surname":
         return made.upper() if mention.isupper() and len(mention) > 1 else made.title()
@@ -345,10 +367,11 @@ def protect(docs: DataFrame, key: str = DEFAULT_KEY, column: str = "text", spans
     """``docs`` with surrogates in ``column``; ``spans`` names one more column for what was replaced and where.
 
     Null texts stay null and empty ones empty; documents without entities are unchanged; repeated rows get equal texts;
-    an empty table stays empty. Other columns pass as they are.
+    an empty table stays empty. Very long texts are read whole. Other columns pass as they are, whatever their names; a column
+    named like ``spans`` is replaced.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    text = F.col(column)
+    text, own_made = F.col(column), unused(docs, "__made")
     found = docs.select(F.explode(_entities(text)).alias("e")).select("e.kind", "e.value").distinct()
     entities = scratch.keep(found, "entities")
     moved = moved_entities(entities, key, scratch)
@@ -370,7 +393,7 @@ def protect(docs: DataFrame, key: str = DEFAULT_KEY, column: str = "text", spans
         def put(texts: pd.Series) -> pd.DataFrame:
             return rows(texts, [sent] * len(texts))
 
-        made = docs.withColumn("__made", put(text))
+        made = docs.withColumn(own_made, put(text))
     else:
         @F.pandas_udf(schema)
         def put_own(texts: pd.Series, told: pd.Series) -> pd.DataFrame:
@@ -378,13 +401,15 @@ def protect(docs: DataFrame, key: str = DEFAULT_KEY, column: str = "text", spans
                                 for own in told])
 
         place = F.struct(F.xxhash64(text), F.length(text), F.sha2(text, 256))
-        own = (docs.select(place.alias("__place"), F.explode(_entities(text)).alias("e"))
-               .select("__place", "e.kind", "e.value").distinct().join(moved, ["kind", "value"])
-               .groupBy("__place").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("__moved")))
-        made = (docs.withColumn("__place", place).join(own, "__place", "left")
-                .withColumn("__made", put_own(text, F.col("__moved"))))
-    new = [F.col("__made.text").alias(name) if name == column else F.col(name) for name in docs.columns if name != spans]
-    return made.select(*new, *([F.col("__made.spans").alias(spans)] if spans else []))
+        at, told = unused(docs, "__place"), unused(docs, "__moved")
+        own = (docs.select(place.alias(at), F.explode(_entities(text)).alias("e"))
+               .select(at, "e.kind", "e.value").distinct().join(moved, ["kind", "value"])
+               .groupBy(at).agg(F.collect_set(F.struct("kind", "value", "attempt")).alias(told)))
+        made = (docs.withColumn(at, place).join(own, at, "left")
+                .withColumn(own_made, put_own(text, F.col(told))))
+    new = [F.col(f"{own_made}.text").alias(name) if name == column else F.col(f"`{name}`")
+           for name in docs.columns if name != spans]
+    return made.select(*new, *([F.col(f"{own_made}.spans").alias(spans)] if spans else []))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import ASCII_SPACE, let
+from flowlens.llm.common import ASCII_SPACE, let, unused
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 50, 3, 50
 
@@ -162,7 +162,7 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns as they are."""
     names = docs.columns
-    q = "__quality"
+    q = unused(docs, "__quality")
     return judge(docs, "text", q).where(F.col(q)["kept"]).select(*names)
 
 

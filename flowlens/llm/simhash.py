@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import Scratch
+from flowlens.llm.common import Scratch, unused
 from flowlens.llm.components import connected_components
 
 SHINGLE, SEED, BITS, MAX_DISTANCE = 4, 42, 64, 4
@@ -199,8 +199,8 @@ def keep_one(docs: DataFrame, text: str = "text", scratch: Scratch | None = None
     repeated = kept.where("n > 1")
     if repeated.isEmpty():
         return among(kept)
-    names = docs.columns
-    once = (among(repeated).withColumn("__key", F.xxhash64(text)).dropDuplicates(["doc_id", "__key"]).select(*names))
+    names, own = docs.columns, unused(docs, "__key")
+    once = (among(repeated).withColumn(own, F.xxhash64(text)).dropDuplicates(["doc_id", own]).select(*names))
     return among(kept.where("n = 1")).unionByName(once)
 
 

@@ -11,15 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.llm.common import LOWER, UPPER, Scratch, let, lower_ascii
+from flowlens.llm.common import LOWER, UPPER, Scratch, let, lower_ascii, unused
 from flowlens.llm.components import connected_components
 
 #: The rules of the query: (rule, verdict); a rule is a host followed by the start of a path.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
+#: Most ruled hosts that are broadcast; beyond it the planner joins them.
+MAX_BROADCAST = 100_000
+
 _LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = (r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*"""
             r"""([^"'\s>]+)""")
+#: References to an ampersand in an attribute.
+_AMPERSAND = "(?i)&(?:amp|#38|#x26);"
 _OG = r"""(?is)<meta\b(?=[^>]*\bproperty\s*=\s*["']?og:url\b)[^>]*\bcontent\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -59,32 +64,42 @@ def _key(url: Column) -> Column:
     return F.concat(host_of(url), F.substring(rest, F.char_length(host_of(url)) + 1, F.char_length(rest)))
 
 
-def longest_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def longest_rule(urls: DataFrame, rules: DataFrame, scratch: Scratch) -> DataFrame:
     """``urls(host, path, ...)`` with ``rule`` and ``rule_verdict`` of the longest fitting rule, or null.
 
     Only distinct hosts are taken apart into suffixes; each then has its own rules in an array. Of rules of one length
-    (equal rules with two verdicts) an allow goes first.
+    (equal rules with two verdicts) an allow goes first. Columns of ``urls`` pass as they are, but for ``rule`` and
+    ``rule_verdict``, which are replaced; repeated rows, null hosts (no rule) and empty tables need no care.
     """
+    own_rules, own_best = unused(urls, "__rules"), unused(urls, "__best")
     parts = F.split("host", r"\.")
     suffixes = F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "."))
     hosts = urls.select("host").where(F.col("host") != "").distinct().select("host", F.explode(suffixes).alias("suffix"))
     fits = (hosts.join(rules, F.col("suffix") == F.col("rule_host")).groupBy("host")
             .agg(F.collect_set(F.struct(F.char_length("rule").alias("size"), "verdict", "rule", "rule_path"))
-                 .alias("__rules")))
-    own = F.filter("__rules", lambda r: F.col("path").startswith(r["rule_path"]))
+                 .alias(own_rules)))
+    own = F.filter(own_rules, lambda r: F.col("path").startswith(r["rule_path"]))
     order = F.transform(own, lambda r: F.struct(-r["size"], r["verdict"], r["rule"]))
     best = F.array_min(order)
-    return (urls.join(fits, "host", "left").withColumn("__best", best)
-            .withColumn("rule", F.col("__best.rule")).withColumn("rule_verdict", F.col("__best.verdict"))
-            .drop("__rules", "__best"))
+    # The ruled hosts are few beside the pages; counted, they are sent along, so a host with a third of the pages is no key.
+    fits = scratch.keep(fits, "ruled-hosts")
+    if fits.count() <= MAX_BROADCAST:
+        fits = F.broadcast(fits)
+    return (urls.join(fits, "host", "left").withColumn(own_best, best)
+            .withColumn("rule", F.col(f"{own_best}.rule")).withColumn("rule_verdict", F.col(f"{own_best}.verdict"))
+            .drop(own_rules, own_best))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``page_url, target`` from canonical links, refreshes and og:url; relative targets are resolved against the host."""
-    found = [F.regexp_extract("html", pattern, 1) for pattern in (_LINK, _REFRESH, _OG)]
+    """``url, target`` from every canonical link, refresh and og:url of a page.
+
+    References to ``&`` in targets are decoded; relative targets are resolved against the host and folder of the page.
+    """
+    found = [F.regexp_extract_all("html", F.lit(pattern), F.lit(1)) for pattern in (_LINK, _REFRESH, _OG)]
     cheap = F.col("html").rlike(r"(?i)canonical|http-equiv|og:url")
     rows = (pages.where(F.col("url").isNotNull() & cheap)
-            .select("url", F.explode(F.array(*found)).alias("target")).where("target <> ''"))
+            .select("url", F.explode(F.concat(*found)).alias("target")).where("target <> ''")
+            .withColumn("target", F.regexp_replace("target", _AMPERSAND, "&")))
     scheme = F.substring_index("url", "://", 1)
     absolute = (F.when(F.instr("target", "://") > 0, F.col("target"))
                 .when(F.col("target").startswith("//"), F.concat(scheme, F.lit(":"), F.col("target")))
@@ -112,12 +127,12 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     members = connected_components(edges.select(_key(url).alias("a"), _key(target).alias("b")), scratch)
     nodes = edges.select(url).unionByName(edges.select(target.alias("url"))).distinct()
     nodes = longest_rule(nodes.select(_key(url).alias("node"), host_of(url).alias("host"), path_of(url).alias("path")),
-                         rules)
+                         rules, scratch)
     said = nodes.join(members, "node").groupBy("component").agg(
         F.min("rule_verdict").alias("said"))  # allow sorts before block
     known = members.join(said, "component").select("node", "said").where("said is not null")
     rows = longest_rule(pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"),
-                                     _key(url).alias("node")), rules)
+                                     _key(url).alias("node")), rules, scratch)
     return rows.join(known, "node", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", "said", F.lit("allow")).alias("verdict"))
 
@@ -145,14 +160,17 @@ def sql(table: str = "pages") -> str:
     link2 = r"""(?is)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)[^>]*\brel\s*=\s*["']?canonical\b"""
     refresh = (r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*"""
                r"""([^"'\s>]+)""")
+    refresh2 = (r"""(?is)<meta\b[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""")
+    og2 = r"""(?is)<meta\b[^>]*\bcontent\s*=\s*["']?([^"'\s>]+)[^>]*\bproperty\s*=\s*["']?og:url\b"""
     og = r"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']?og:url\b[^>]*\bcontent\s*=\s*["']?([^"'\s>]+)"""
-    found = ", ".join(f"regexp_extract(html, '{find(p)}', 1)" for p in (link, link2, refresh, og))
+    found = ", ".join(f"regexp_extract_all(html, '{find(p)}', 1)" for p in (link, link2, refresh, refresh2, og, og2))
     base = f"regexp_extract(url, '^(.*?)://', 1) || '://' || {host}"
     return rf"""
 with recursive r as (select rule, verdict, split_part(rule, '/', 1) as rh, substr(rule, strpos(rule, '/')) as rp
   from (values {rules}) t(rule, verdict)),
 p as (select row_number() over () as n, page_id, url, html, {host} as host, {path} as path from {table}),
-e0 as (select url, unnest([{found}]) as target from p where strpos(url, '://') > 0),
+e0 as (select url, regexp_replace(unnest(flatten([{found}])), '{_AMPERSAND}', '&', 'g') as target
+  from p where strpos(url, '://') > 0 and html is not null),
 e as (select distinct url, case when strpos(target, '://') > 0 then target
         when starts_with(target, '//') then regexp_extract(url, '^(.*?)://', 1) || ':' || target
         when starts_with(target, '/') then {base} || target
