@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from flowlens.llm.common import Scratch, let, lower_ascii
 
 WINDOW, SHINGLE = 10, 4
-#: Most shingle hashes (8 bytes each) that are broadcast.
+#: Most shingle hashes (8 bytes each), or ids of documents to leave out, that are broadcast.
 MAX_BROADCAST = 1_000_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -57,18 +57,34 @@ def _tokens(windows: DataFrame) -> DataFrame:
     return distinct.select("window", "length", F.posexplode(tokens).alias("offset", "token"))
 
 
-def _document_tokens(docs: DataFrame, sizes: list[int], vocabulary: DataFrame) -> DataFrame:
-    """Shingles of documents that the vocabulary has, with the words around; one row without token per document."""
+def _document_tokens(docs: DataFrame, sizes: list[int], vocabulary: DataFrame, sent: bool) -> DataFrame:
+    """Shingles of documents that the vocabulary has, with the words around; one row without token per document.
+
+    A vocabulary that is ``sent`` along meets the shingles where the words are. Else only a shingle and the few words around
+    it are shuffled, never a text, and the rows of the documents go beside that join.
+    """
     w = F.col("w")
     read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
-    arrays = [F.struct(F.lit(k).alias("k"), _shingles(w, k).alias("tokens")) for k in sizes]
-    arrays.append(F.struct(F.lit(0).alias("k"), F.array(F.lit(None).cast("long")).alias("tokens")))
-    rows = (read.select("doc_id", "text_hash", "w", F.inline(F.array(*arrays)))
-            .select("doc_id", "text_hash", "w", "k", F.posexplode("tokens").alias("at", "token")))
-    rows = rows.join(vocabulary.withColumn("known", F.lit(True)), "token", "left").where("known or k = 0")
     first = F.greatest(F.col("at") - (WINDOW - 1), F.lit(0))
-    return rows.select("doc_id", "text_hash", "token", "at", F.size(w).alias("n_words"), first.alias("first"),
-                       F.when(F.col("k") > 0, F.slice(w, first + 1, F.lit(2 * WINDOW))).alias("around"))
+    found = ["doc_id", "text_hash", "token", "at", F.size(w).alias("n_words"), first.alias("first"),
+             F.slice(w, first + 1, F.lit(2 * WINDOW)).alias("around")]
+    none = F.struct(F.lit(0).alias("k"), F.array(F.lit(None).cast("long")).alias("tokens"))
+
+    def rolled(arrays: list[Column]) -> DataFrame:
+        return (read.select("doc_id", "text_hash", "w", F.inline(F.array(*arrays)))
+                .select("doc_id", "text_hash", "w", "k", F.posexplode("tokens").alias("at", "token")))
+
+    arrays = [F.struct(F.lit(k).alias("k"), _shingles(w, k).alias("tokens")) for k in sizes]
+    if sent:
+        rows = rolled([*arrays, none]).join(vocabulary.withColumn("known", F.lit(True)), "token", "left")
+        found[-1] = F.when(F.col("k") > 0, F.slice(w, first + 1, F.lit(2 * WINDOW))).alias("around")
+        return rows.where("known or k = 0").select(*found)
+    documents = read.select("doc_id", "text_hash", F.lit(None).cast("long").alias("token"), F.lit(None).cast("int").alias("at"),
+                            F.size(w).alias("n_words"), F.lit(None).cast("int").alias("first"),
+                            F.lit(None).cast("array<string>").alias("around"))
+    if not sizes:
+        return documents
+    return rolled(arrays).select(*found).join(vocabulary, "token").select(documents.columns).unionByName(documents)
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -77,9 +93,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> tupl
     tokens = scratch.keep(_tokens(windows), "window-tokens")
     vocabulary = tokens.select("token").distinct()
     sizes = [row.k for row in windows.select(F.least("length", F.lit(SHINGLE)).alias("k")).distinct().collect()]
-    if vocabulary.count() <= MAX_BROADCAST:
-        vocabulary = F.broadcast(vocabulary)
-    kept = scratch.keep(_document_tokens(docs, sorted(sizes), vocabulary), "document-tokens")
+    sent = vocabulary.count() <= MAX_BROADCAST
+    kept = scratch.keep(_document_tokens(docs, sorted(sizes), F.broadcast(vocabulary) if sent else vocabulary, sent),
+                        "document-tokens")
     found = kept.where(F.col("token").isNotNull())
     rarity = found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     prefix = (tokens.join(rarity, "token", "left").groupBy("window", "length")
@@ -135,8 +151,15 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, with their columns as they are."""
-    bad = contamination(docs, benchmark).where("contaminated").select("doc_id", "text_hash").distinct().alias("b")
+    """The documents without a hit, with their columns as they are.
+
+    The ids of those with one are written and counted: up to ``MAX_BROADCAST`` of them are sent to the documents, beyond it
+    the planner joins.
+    """
+    scratch = Scratch(docs.sparkSession)
+    bad = scratch.keep(contamination(docs, benchmark, scratch).where("contaminated").select("doc_id", "text_hash").distinct(),
+                       "contaminated")
+    bad = (F.broadcast(bad) if bad.count() <= MAX_BROADCAST else bad).alias("b")
     d = docs.alias("d")
     return d.join(bad, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id"))
                   & (F.xxhash64("d.text") == F.col("b.text_hash")), "left_anti")

@@ -198,6 +198,21 @@ def test_benchmark_and_quality_of_nothing(spark, empty):
     assert [r["__quality"] for r in quality.keep_good(good).collect()] == ["__quality1"]
 
 
+def test_benchmark_join_without_broadcast(spark, sf_dir, monkeypatch):
+    """Beyond the limit the same rows come from a shuffle in which no text moves."""
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = sorted(tuple(r) for r in decontaminate.report(docs, items).select(*names).collect())
+    clean = sorted(r.doc_id for r in decontaminate.keep_clean(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    assert sorted(tuple(r) for r in decontaminate.report(docs, items).select(*names).collect()) == want
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, items).collect()) == clean
+    vocabulary = spark.range(9).select(F.xxhash64("id").alias("token"))
+    plan = decontaminate._document_tokens(docs, [4], vocabulary, False)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join"):]
+    assert "around" in join and decontaminate.keep_clean(docs, items.limit(0)).count() == docs.count()
+
+
 def plain_label_model(votes, labels, rounds):
     """The label model voter by voter, in plain loops."""
     both = [[*map(float, row), float(y)] for row, y in zip(votes, labels)]
