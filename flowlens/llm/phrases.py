@@ -31,7 +31,7 @@ from flowlens.llm.common import Scratch
 
 LONGEST, THRESHOLD, CONTAINED_PERCENT, TOP, UNIT = 4, 30, 80, 2000, 1_000_000
 #: Bytes of text in a chunk; bytes that may wait in a task for their chunk; bytes of text per hash partition.
-CHUNK, WAITING, PART = 4_000_000, 24_000_000, 12_000_000
+CHUNK, WAITING, PART = 2_500_000, 12_000_000, 12_000_000
 #: Bits of a hash beyond the logarithm of the input's bytes that blocks keep.
 SPARE_BITS = 9
 _SPACE, _END = 0x20, 0x0A
@@ -187,7 +187,8 @@ def _chunks(rows: DataFrame) -> DataFrame:
 
         sizes: Counter = Counter()
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            for lang, text in zip(batch.column("lang"), batch.column("text")):
+                lang = lang.as_py()
                 for part in _parts(text.as_py()):
                     made = canonical(part)
                     if not made:
@@ -228,7 +229,7 @@ def _blocks(chunks: DataFrame, parts: int, bits: int, longest: int) -> DataFrame
     def run(batches):
         edges = np.array([-(-(p << bits) // parts) for p in range(parts)], np.uint64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # one text at a time
                 words = Words(row["text"], _seed(row["lang"]))
                 keys, counts = _tally(np.concatenate([h for _, _, h in words.phrases(longest)]) >> np.uint64(64 - bits))
                 cuts = np.append(np.searchsorted(keys, edges), len(keys))
