@@ -458,3 +458,20 @@ def test_linear_models_take_the_closed_form(spark, cloud):
         assert r.expected_value == pytest.approx(by_id[r.id].expected_value)
     masks, _ = explain.coalitions(9, 100, 1)
     assert len(masks) == 100 and len(explain.coalitions(9, None, 1)[0]) == 510 and len(explain.coalitions(5, 100, 1)[0]) == 30
+
+
+def test_shares_of_many_atoms_take_few_steps():
+    from flowlens.detect.svm_solver import shares_of
+
+    atoms = np.random.default_rng(3).normal(size=(60, 20))
+    shares = shares_of(atoms, np.ones(60) / 60, 1e-8, 1e-14, steps=200)
+    w = shares @ atoms    # the hull holds the origin
+    assert np.isclose(shares.sum(), 1.0) and (shares >= 0).all() and float(w @ w) < 1e-12
+
+
+def test_svm_of_a_small_nu_needs_few_rounds(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(24_000, 2)), rng.uniform(-6, 6, size=(1_000, 2))])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])).repartition(4)
+    model = OneClassSVM(["a", "b"], nu=0.002).fit(df)
+    assert model.rounds <= 25 and model.gap <= 1e-3 * float(model.weights @ model.weights)
