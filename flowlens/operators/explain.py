@@ -168,6 +168,8 @@ def summary(df: DataFrame, features: list[str], shap: str = "shap", top: int = 2
 
 #: Numbers in the tables of leaf contributions; a forest that needs more is explained in the linear form.
 MAX_TABLE = 8_000_000
+#: Numbers in the tables of subset values, which a task makes for itself from the trees, and the features they are made for.
+MAX_GRID, GRID_FEATURES = 32_000_000, (2, 3, 4)
 #: Rows that are explained at once.
 TREE_ROWS = 1024
 
@@ -215,7 +217,8 @@ def tree_contributions(model) -> tuple[Scorer, float]:
 
     For each leaf the chance to reach it factors over the features on its path: 1 or 0 for a known feature, the share of
     training points for an unknown one. The Shapley weights of such a product are an integral of a polynomial, exact by a
-    few quadrature points. With few features the contributions of a leaf are a table by which features the row meets;
+    few quadrature points. With very few features the value of every set of known features is looked up instead, in a table
+    per tree; with few features the contributions of a leaf are a table by which features the row meets;
     else a pass down and up each tree shares the products of common paths, linear in its nodes.
     """
     from flowlens.detect.forest import average_path
@@ -226,7 +229,9 @@ def tree_contributions(model) -> tuple[Scorer, float]:
     shares, used = forest.path_shares(d)
     n_trees = len(forest.roots)
     base = float((value[leaves] * shares[leaves].prod(axis=1)).sum() / n_trees)
-    if len(leaves) * d * 2.0 ** d <= MAX_TABLE:
+    if d in GRID_FEATURES and _Grids.size(forest, d) <= MAX_GRID:
+        explain_block = _Grids(forest, leaves, value[leaves], shares[leaves], base * n_trees)
+    elif len(leaves) * d * 2.0 ** d <= MAX_TABLE:
         explain_block = _by_tables(forest, leaves, value[leaves], shares[leaves], used[leaves])
     else:
         explain_block = _by_paths(forest, value, int(used.sum(axis=1).max()))
@@ -283,6 +288,90 @@ def _by_tables(forest: _Forest, leaves: np.ndarray, value: np.ndarray, shares: n
     return block
 
 
+class _Grids:
+    """The value of every proper subset of known features by the row's place among a tree's thresholds, and one walk down the
+    tree for all features; Shapley values are fixed sums of them. Travels as the trees; the tables are made where it runs."""
+
+    def __init__(self, forest: _Forest, leaves: np.ndarray, value: np.ndarray, shares: np.ndarray, empty: float):
+        self.forest, self.leaves, self.value, self.shares, self.empty = forest, leaves, value, shares, empty
+        self.tables = None
+
+    def __getstate__(self):
+        return vars(self) | {"tables": None}
+
+    @staticmethod
+    def size(forest: _Forest, d: int) -> float:
+        tree = np.searchsorted(forest.roots, np.arange(len(forest.feature)), "right") - 1
+        bins = np.array([np.bincount(tree[forest.feature == j], minlength=len(forest.roots)) + 1.0 for j in range(d)])
+        return float(sum(bins[list(s)].prod(axis=0).sum() for k in range(1, d) for s in itertools.combinations(range(d), k)))
+
+    def _make(self, d: int) -> None:
+        f = self.forest
+        low, high = np.full((len(f.feature), d), -np.inf), np.full((len(f.feature), d), np.inf)
+        for at in f.levels:
+            at = at[f.inner[at]]
+            for child, edge in ((f.left[at], high), (f.right[at], low)):
+                low[child], high[child] = low[at], high[at]
+                edge[child, f.feature[at]] = f.threshold[at]
+        tree = np.searchsorted(f.roots, self.leaves, "right") - 1
+        ends = np.append(f.roots, len(f.feature))
+        self.cuts = [np.unique(f.threshold[f.feature == j]) for j in range(d)]
+        sets = [s for k in range(1, d) for s in itertools.combinations(range(d), k)]
+        tables = []
+        for r in range(len(f.roots)):
+            nodes = np.arange(ends[r], ends[r + 1])
+            mine = tree == r
+            bins, meets = [], []
+            for j in range(d):
+                cuts = np.unique(f.threshold[nodes[f.feature[nodes] == j]])
+                bins.append(np.searchsorted(cuts, np.append(self.cuts[j], np.inf), "left").astype(np.int32))
+                first = np.searchsorted(cuts, low[self.leaves[mine], j], "right")
+                last = np.searchsorted(cuts, high[self.leaves[mine], j], "left")
+                place = np.arange(len(cuts) + 1)
+                meets.append(((place >= first[:, None]) & (place <= last[:, None])).astype(float))
+            grids = []
+            for s in sets:
+                weight = self.value[mine] * self.shares[mine][:, [j for j in range(d) if j not in s]].prod(axis=1)
+                grid = weight[:, None]
+                for j in s[:-1]:
+                    grid = (grid[:, :, None] * meets[j][:, None, :]).reshape(len(grid), -1)
+                grids.append((grid.T @ meets[s[-1]]).ravel())
+            leaf = np.zeros(len(nodes))
+            leaf[self.leaves[mine] - ends[r]] = self.value[mine]
+            inner = f.inner[nodes]
+            to = np.stack([np.where(inner, f.left[nodes] - ends[r], np.arange(len(nodes))),
+                           np.where(inner, f.right[nodes] - ends[r], np.arange(len(nodes)))], axis=1).ravel()
+            tables.append((bins, [m.shape[1] for m in meets], grids, np.maximum(f.feature[nodes], 0),
+                           f.threshold[nodes], to, leaf))
+        self.sets, self.tables = sets, tables
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        d, n = x.shape
+        if self.tables is None:
+            self._make(d)
+        ranks = [np.searchsorted(self.cuts[j], x[j], "left") for j in range(d)]
+        values, full = np.zeros((len(self.sets), n)), np.zeros(n)
+        flat, line, depth = x.ravel(), np.arange(n), len(self.forest.levels) - 1
+        for bins, sizes, grids, feature, threshold, to, leaf in self.tables:
+            own = [bins[j].take(ranks[j]) for j in range(d)]
+            places: dict[tuple, np.ndarray] = {}
+            for i, s in enumerate(self.sets):
+                places[s] = own[s[0]] if len(s) == 1 else places[s[:-1]] * sizes[s[-1]] + own[s[-1]]
+                values[i] += grids[i].take(places[s])
+            start = feature * n
+            at = np.zeros(n, np.intp)
+            for _ in range(depth):
+                at = to.take(2 * at + (flat.take(start.take(at) + line) > threshold.take(at)))
+            full += leaf.take(at)
+        out = np.zeros((d, n))
+        every = [((), np.full(n, self.empty)), *zip(self.sets, values), (tuple(range(d)), full)]
+        for s, v in every:
+            k = len(s)
+            for j in range(d):
+                out[j] += v * (1.0 / (d * math.comb(d - 1, k - 1)) if j in s else -1.0 / (d * math.comb(d - 1, k)))
+        return out
+
+
 def _by_paths(forest: _Forest, value: np.ndarray, longest: int):
     """The linear form: products of factors go down a tree, their sums over leaves come up, and every edge adds what its
     feature gains over the feature's edge before on the path."""

@@ -475,3 +475,22 @@ def test_svm_of_a_small_nu_needs_few_rounds(spark):
     df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"])).repartition(4)
     model = OneClassSVM(["a", "b"], nu=0.002).fit(df)
     assert model.rounds <= 25 and model.gap <= 1e-3 * float(model.weights @ model.weights)
+
+
+def test_tree_contributions_by_subsets_equal_those_by_leaves(monkeypatch):
+    from types import SimpleNamespace
+
+    from flowlens.detect.forest import grow_tree
+    from flowlens.operators import explain
+
+    rng = np.random.default_rng(1)
+    x = np.c_[rng.integers(1, 9, 600), rng.normal(size=600), rng.gamma(1.0, 10.0, 600)]
+    nodes = pd.concat([grow_tree(x[t::10], t, 42, np.arange(3), 6) for t in range(10)]).reset_index(drop=True)
+    model = SimpleNamespace(table={c: nodes[c].to_numpy() for c in nodes.columns}, features=["a", "b", "c"])
+    made = []
+    grids = explain._Grids.__call__
+    monkeypatch.setattr(explain._Grids, "__call__", lambda self, rows: made.append(1) or grids(self, rows))
+    by_subsets, base = explain.tree_contributions(model)
+    monkeypatch.setattr(explain, "GRID_FEATURES", ())
+    by_leaves, same = explain.tree_contributions(model)
+    assert base == same and np.allclose(by_subsets(x), by_leaves(x), atol=1e-12) and made
