@@ -68,11 +68,7 @@ def score_curve(df: DataFrame, by: list[str] | None = None, score: str = "anomal
     by = by or []
     groups = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    curve = running_sums(groups, [F.col("_score").asc()], {"p_to": "p", "q_to": "q"}, by)
-    totals = curve.groupBy(*by).agg(F.sum("p").alias("p_all"), F.sum("q").alias("q_all"))
-    if by:
-        return join_groups(curve, totals, by)
-    return curve.select("*", totals.select("p_all").scalar().alias("p_all"), totals.select("q_all").scalar().alias("q_all"))
+    return running_sums(groups, [F.col("_score").asc()], {"p_to": "p", "q_to": "q"}, by, {"p_all": "p", "q_all": "q"})
 
 
 def roc_points(df: DataFrame, by: list[str] | None = None, score: str = "anomaly_score",

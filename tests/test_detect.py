@@ -494,3 +494,17 @@ def test_tree_contributions_by_subsets_equal_those_by_leaves(monkeypatch):
     monkeypatch.setattr(explain, "GRID_FEATURES", ())
     by_leaves, same = explain.tree_contributions(model)
     assert base == same and np.allclose(by_subsets(x), by_leaves(x), atol=1e-12) and made
+
+
+def test_range_partitions_grow_with_the_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from flowlens.operators import ordering
+
+    monkeypatch.setattr(ordering, "SMALL", 50)
+    df = spark.range(1_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    parts = ordering.ordered_parts(df, [F.col("v").asc()], 1_000)
+    assert parts.groupBy(ordering.PART).count().count() > 15
+    sums = ordering.running_sums(df, [F.col("v").asc()], {"upto": "v"}, ["g"], {"all": "v"})
+    totals = {0: sum(range(0, 1_000, 2)), 1: sum(range(1, 1_000, 2))}
+    assert all(r["all"] == totals[r["g"]] and r["upto"] == sum(range(r["g"], r["v"] + 1, 2)) for r in sums.collect())
