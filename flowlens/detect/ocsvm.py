@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.detect.base import Detector, matrix_column, prepared
-from flowlens.detect.svm_solver import Problem, solve, sums
+from flowlens.detect.svm_solver import Problem, in_blocks, solve, sums
 from flowlens.functions.numeric import ratio
-from flowlens.operators.ordering import with_position
+from flowlens.operators.ordering import with_previous
 from flowlens.operators.scale import FlowScaler
 from flowlens.operators.schema import check_feature_count
 from flowlens.functions.hashing import seeded_hash
@@ -183,7 +183,7 @@ class OneClassSVMModel(Detector):
 
     def matrix_score(self):
         fmap, w, rho = self.fmap, self.weights, self.rho
-        return lambda rows: fmap(rows) @ w - rho
+        return in_blocks(lambda rows: fmap(rows) @ w - rho, len(w))
 
     def prediction(self, raw: Column) -> Column:
         return (raw < 0).cast("int")
@@ -201,7 +201,8 @@ class OneClassSVMModel(Detector):
             raise ValueError("this model has no record of its support vectors")
         fmap, support = self.fmap, self.support
         directions, cuts, shares = support["directions"].T, support["cuts"], support["shares"]
-        return matrix_column(lambda rows: (fmap(rows) @ directions <= cuts) @ shares, prepared(self.features, self.scaler))
+        share = in_blocks(lambda rows: (fmap(rows) @ directions <= cuts) @ shares, len(directions))
+        return matrix_column(share, prepared(self.features, self.scaler))
 
     def support_vectors(self, df: DataFrame, keys: list[str]) -> DataFrame:
         """Keys (the indices), ``coefficient`` and ``raw_score`` of the support vectors among the training rows."""
@@ -358,17 +359,13 @@ def _entries(struct: Column, df: DataFrame) -> Column:
 def permutation_importance(df: DataFrame, model: Detector, keys: list[str], seed: int = 42) -> DataFrame:
     """|variance of scores - variance with one feature permuted|, as shares.
 
-    Every row takes the feature from the next row in hash order (the last from the first): one permutation for all
-    features, made by an equi-join on position.
+    Every row takes the feature from the row before it in hash order (the first from the last): one permutation for all
+    features, made within range partitions, with one row each for their edges. One pass scores them all.
     """
     features = model.features
     base = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).withColumn(
         "_h", seeded_hash(keys, seed))
-    order = [F.col("_h").asc(), *[F.col(k).asc() for k in keys]]
-    placed = with_position(base, order, "_pos").select("_pos", *features)
-    n = placed.agg(F.max("_pos") + 1).scalar()
-    other = placed.select(F.pmod(F.col("_pos") + 1, n).alias("_pos"), *[F.col(f).alias(f"_o_{f}") for f in features])
-    paired = placed.join(other, "_pos")
+    paired = with_previous(base, ["_h", *keys], features, "_o_")
     own = prepared(features, model.scaler)
     foreign = prepared(features, model.scaler)
     score = model.matrix_score()
@@ -387,13 +384,9 @@ def permutation_importance(df: DataFrame, model: Detector, keys: list[str], seed
         "_own", foreign.alias("_foreign"))
     both = F.struct(*[F.col("_own").getField(f).alias(f"a_{i}") for i, f in enumerate(features)],
                     *[F.col("_foreign").getField(f).alias(f"b_{i}") for i, f in enumerate(features)])
-    names = F.array(F.lit(""), *[F.lit(f) for f in features])
-    variances = (
-        renamed.select(matrix_column(scores, both, "array<double>").alias("s"))
-        .select(F.posexplode("s").alias("i", "s"))
-        .groupBy("i").agg(F.var_pop("s").alias("v"))
-    )
-    baseline = variances.where("i = 0").select("v").scalar()
-    change = variances.where("i > 0").select(names[F.col("i")].alias("feature"), F.abs(F.col("v") - baseline).alias("c"))
-    total = change.agg(F.sum("c")).scalar()
-    return change.select("feature", ratio(F.col("c"), total).alias("importance"))
+    scored = renamed.select(matrix_column(scores, both, "array<double>").alias("s"))
+    spreads = scored.agg(*[F.var_pop(F.get("s", F.lit(i))).alias(f"v{i}") for i in range(len(features) + 1)])
+    changes = [F.abs(F.col(f"v{i + 1}") - F.col("v0")) for i in range(len(features))]
+    total = sum(changes[1:], changes[0])
+    return spreads.select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), ratio(c, total).alias("importance")) for f, c in zip(features, changes)])))

@@ -508,3 +508,26 @@ def test_range_partitions_grow_with_the_rows(spark, monkeypatch):
     sums = ordering.running_sums(df, [F.col("v").asc()], {"upto": "v"}, ["g"], {"all": "v"})
     totals = {0: sum(range(0, 1_000, 2)), 1: sum(range(1, 1_000, 2))}
     assert all(r["all"] == totals[r["g"]] and r["upto"] == sum(range(r["g"], r["v"] + 1, 2)) for r in sums.collect())
+
+
+def test_previous_rows_across_partitions(spark, monkeypatch):
+    from flowlens.operators import ordering
+
+    rows = [(i // 2, None if i % 5 == 0 else float(i)) for i in range(100)]   # keys repeat, values may be missing
+    df = spark.createDataFrame(rows, "k int, v double").repartition(5)
+    expected = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0.0))
+    expected = sorted(((k, v, expected[i - 1][1]) for i, (k, v) in enumerate(expected)), key=str)
+    for small in (1_000, 10):
+        monkeypatch.setattr(ordering, "SMALL", small)
+        found = ordering.with_previous(df, ["k"], ["v"], "before_")
+        assert sorted((tuple(r) for r in found.collect()), key=str) == expected
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_feature_maps_work_in_blocks(monkeypatch):
+    from flowlens.detect import svm_solver
+
+    seen = []
+    monkeypatch.setattr(svm_solver, "BLOCK", 1_000)
+    run = svm_solver.in_blocks(lambda rows: seen.append(len(rows)) or rows.sum(axis=1), 100)
+    assert np.allclose(run(np.ones((35, 2))), 2.0) and max(seen) == 10 and len(run(np.ones((0, 2)))) == 0
