@@ -1,10 +1,9 @@
 """The small dense networks of the two autoencoders, and their data-parallel training (H6).
 
 A network is a flat list of layers; its parameters are one vector, so that shards can be averaged. Every epoch is one
-Spark job: each shard runs its mini-batches from the averaged weights, and the shards' vectors are averaged component by
-component in a shuffle, in the order of the shards, so the driver receives one vector and the same one every time (parameter
-mixing). Shards are fixed by the hash of a row, not by input partitions, so a result depends only on the data, the seed and
-their number.
+Spark job: each shard runs its mini-batches from the averaged weights, and the shards' vectors are averaged part by part in a
+shuffle, in the order of the shards, so the driver receives one vector and the same one every time (parameter mixing). Shards
+are fixed by the hash of a row, not by input partitions, so a result depends only on the data, the seed and their number.
 
 A snapshot is one row with all that the loop knows (weights, moments, step count, rate, patience, best weights, history) and
 a hash of the settings; a resumed run goes on as if it had not stopped.
@@ -14,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from flowlens.session import keep
 
 BN_EPS, BN_MOMENTUM = 1e-3, 0.99
 ROWS_PER_SHARD = 50_000
+#: Longest part of a shard's values, and most numbers that one task adds up.
+PART, PART_ROOM = 512, 1_000_000
 ACTIVATIONS = {
     "relu": (lambda a: np.maximum(a, 0.0), lambda a: (a > 0).astype(float)),
     "tanh": (np.tanh, lambda a: 1.0 - np.tanh(a) ** 2),
@@ -54,7 +57,7 @@ def views(layers: list[Dense], theta: np.ndarray) -> list[list[np.ndarray]]:
     for layer in layers:
         arrays = []
         for shape in layer.sizes():
-            n = int(np.prod(shape))
+            n = math.prod(shape)
             arrays.append(theta[at:at + n].reshape(shape))
             at += n
         out.append(arrays)
@@ -73,6 +76,11 @@ def initial(layers: list[Dense], rng: np.random.Generator) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def _mean(rows: np.ndarray) -> np.ndarray:
+    """``rows.mean(0)`` to the bit; that call costs more than the sum on a batch of a few thousand numbers."""
+    return np.add.reduce(rows, 0) / len(rows)
+
+
 def forward(layers, params, x, rng=None):
     """Output and what backward needs; ``rng`` switches dropout and batch statistics on."""
     caches = []
@@ -81,13 +89,15 @@ def forward(layers, params, x, rng=None):
         h = ACTIVATIONS[layer.activation][0](a)
         norm = None
         if layer.normalised:
-            mean, var = (h.mean(0), h.var(0)) if rng is not None else (p[4], p[5])
+            mean = _mean(h) if rng is not None else p[4]
+            centred = h - mean
+            var = _mean(centred * centred) if rng is not None else p[5]
             scale = 1.0 / np.sqrt(var + BN_EPS)
-            norm = ((h - mean) * scale, scale, mean, var)
+            norm = (centred * scale, scale, mean, var)
             h = norm[0] * p[2] + p[3]
         mask = None
         if rng is not None and layer.dropout > 0:
-            mask = (rng.random(h.shape) >= layer.dropout) / (1.0 - layer.dropout)
+            mask = (rng.random(h.shape) >= layer.dropout) * (1.0 / (1.0 - layer.dropout))
             h = h * mask
         caches.append((x, a, norm, mask))
         x = h
@@ -104,12 +114,13 @@ def backward(layers, params, caches, grad, l2: float, trained: bool = True):
         if norm is not None:
             hat, scale, _, _ = norm
             zero = np.zeros_like(p[4])
-            extra = [(grad * hat).sum(0), grad.sum(0), zero, zero]
+            extra = [np.add.reduce(grad * hat, 0), np.add.reduce(grad, 0), zero, zero]
             g = grad * p[2]
-            grad = scale * (g - g.mean(0) - hat * (g * hat).mean(0)) if trained else scale * g
-        grad = grad * ACTIVATIONS[layer.activation][1](a)
+            grad = scale * (g - _mean(g) - hat * _mean(g * hat)) if trained else scale * g
+        if layer.activation != "linear":
+            grad = grad * ACTIVATIONS[layer.activation][1](a)
         gw = x.T @ grad + (2.0 * l2 * p[0] if layer.regularised else 0.0)
-        grads.append([gw, grad.sum(0), *extra])
+        grads.append([gw, np.add.reduce(grad, 0), *extra])
         grad = grad @ p[0].T
     return list(reversed(grads)), grad
 
@@ -180,7 +191,9 @@ def train(df: DataFrame, features: list[str], keys: list[str], scaler, theta: np
         rows = placed(df, unit_interval(F.col("h")) < plan.validation)
     else:
         rows = placed(df, F.lit(False)).unionByName(placed(validation_data, F.lit(True)))
-    sharded = keep(rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("h"))
+    # The hash only gives the order of a shard's rows. They are packed once: an epoch moves and converts no single row.
+    ordered = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("h").drop("h")
+    sharded = keep(ordered.mapInPandas(_pack_task(features), "shard int, held binary, x binary"))
     settings = _settings(plan, features, keys, theta, shards, validation_data is not None)
     s = _State(0, theta, np.zeros(2 * len(theta)), plan.learning_rate, theta.copy())
     if plan.checkpoint_path:
@@ -190,8 +203,9 @@ def train(df: DataFrame, features: list[str], keys: list[str], scaler, theta: np
             # The job of an epoch also measures the weights it starts from, so validation costs no pass of its own.
             last = s.epoch >= plan.epochs
             sent = spark.sparkContext.broadcast((s.theta, s.moments, s.rate, s.steps, s.epoch, last))
-            task = _shard_task(sent, features, loss_and_gradient, validation_loss, plan.batch_size, plan.seed)
-            made, most = _summed(sharded.mapInPandas(task, "shard int, values array<double>"))
+            part = max(1, min(PART, PART_ROOM // shards))
+            task = _shard_task(sent, loss_and_gradient, validation_loss, plan.batch_size, plan.seed, part)
+            made, most = _summed(sharded.mapInPandas(task, "shard int, part int, values array<double>"))
             sent.unpersist()
             if not len(made):
                 break
@@ -222,18 +236,35 @@ def train(df: DataFrame, features: list[str], keys: list[str], scaler, theta: np
 
 
 def _summed(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and largest value of every component over the shards; added up in the order of the shards."""
-    entries = parts.select("shard", F.posexplode("values").alias("k", "v")).groupBy("k").agg(
-        F.sort_array(F.collect_list(F.struct("shard", "v"))).alias("all"))
-    rows = entries.select("k", F.aggregate("all", F.lit(0.0), lambda total, one: total + one["v"]).alias("total"),
-                          F.array_max(F.transform("all", lambda one: one["v"])).alias("most")).toPandas().sort_values("k")
-    return rows.total.to_numpy(), rows.most.to_numpy()
+    """Sum and largest value of every component over the shards; added up in the order of the shards, part by part."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        values = list(rows.sort_values("shard")["values"])
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "total": [reduce(np.add, values, 0.0)],
+                             "most": [reduce(np.maximum, values)]})
+
+    rows = parts.groupBy("part").applyInPandas(add, "part int, total array<double>, most array<double>").toPandas()
+    rows = rows.sort_values("part")
+    return tuple(np.concatenate([*rows[name], np.zeros(0)]) for name in ("total", "most"))
 
 
-def _shard_task(state, features, loss_and_gradient, validation_loss, batch_size, seed):
+def _pack_task(features):
+    """The rows of an Arrow batch as one row with their bytes: a mark per row whether it is held, and the features."""
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"shard": batch["shard"].iloc[:1], "held": [batch["held"].to_numpy(dtype=bool).tobytes()],
+                                    "x": [batch[features].to_numpy(dtype=float).tobytes()]})
+
+    return run
+
+
+def _shard_task(state, loss_and_gradient, validation_loss, batch_size, seed, part):
     """One shard's share of an epoch: Adam steps over its batches, streamed; memory holds one Arrow batch.
 
-    A shard's values: rows, loss, held rows, their loss, steps, then weights and moments times rows.
+    A shard's values: rows, loss, held rows, their loss, steps, then weights and moments times rows; in parts of a fixed
+    length, which are added up apart from each other.
     """
 
     def run(batches):
@@ -243,12 +274,9 @@ def _shard_task(state, features, loss_and_gradient, validation_loss, batch_size,
         n = done = held_n = 0
         loss_sum = held_loss = 0.0
         rng = shard = None
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            shard = int(batch["shard"].iloc[0])
-            x = batch[features].to_numpy(dtype=float)
-            held = batch["held"].to_numpy(dtype=bool)
+        for shard, held, x in (row for batch in batches for row in zip(batch["shard"], batch["held"], batch["x"])):
+            held = np.frombuffer(held, dtype=bool)
+            x = np.frombuffer(x).reshape(len(held), -1)
             if held.any():
                 held_loss += float(validation_loss(incoming, x[held]).sum())
                 held_n += int(held.sum())
@@ -269,8 +297,9 @@ def _shard_task(state, features, loss_and_gradient, validation_loss, batch_size,
                 n += len(rows)
         if shard is not None:
             head = np.array([n, loss_sum, held_n, held_loss, done], float)
-            yield pd.DataFrame({"shard": [shard], "values": [head if measure_only else
-                                                             np.concatenate([head, theta * n, moments * n])]})
+            values = head if measure_only else np.concatenate([head, theta * n, moments * n])
+            pieces = [values[at:at + part] for at in range(0, len(values), part)]
+            yield pd.DataFrame({"shard": int(shard), "part": range(len(pieces)), "values": pieces})
 
     return run
 

@@ -186,6 +186,38 @@ def test_network_gradients():
         assert flat[i] == pytest.approx((loss(theta + step) - loss(theta - step)) / 2e-6, abs=1e-5)
 
 
+def test_batch_statistics_are_those_of_the_batch():
+    rng = np.random.default_rng(8)
+    layers, x = [network.Dense(3, 4, "relu", True, True)], rng.normal(size=(300, 3))
+    params = network.views(layers, network.initial(layers, rng))
+    h = np.maximum(x @ params[0][0] + params[0][1], 0.0)
+    _, [(_, _, (hat, scale, mean, var), _)] = network.forward(layers, params, x, rng)
+    assert (mean == h.mean(0)).all() and (var == h.var(0)).all() and (hat == (h - h.mean(0)) * scale).all()
+
+
+def test_training_keeps_packed_rows_without_text(spark, cloud, monkeypatch):
+    kept = []
+    monkeypatch.setattr(network, "keep", lambda df: kept.append(keep(df)) or kept[-1])
+    VariationalAutoencoder(FEATURES, ["id"], latent=1, encoder=(4,), epochs=1, shards=2).fit(benign(cloud))
+    assert dict(kept[0].dtypes) == {"shard": "int", "held": "binary", "x": "binary"}
+    blocks = kept[0].collect()
+    assert {b["shard"] for b in blocks} == {0, 1} and len(blocks) < 10 and sum(len(b["held"]) for b in blocks) == 1500
+    assert all(len(b["x"]) == 8 * len(FEATURES) * len(b["held"]) for b in blocks)
+
+
+def test_shards_add_up_in_their_order_by_parts(spark):
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(40, 7)) * 10.0 ** rng.integers(-9, 9, size=(40, 7))
+    parts = [(s, k, [float(v) for v in values[s, at:at + 3]]) for s in range(40) for k, at in enumerate((0, 3, 6))]
+    frame = spark.createDataFrame(parts[::-1], "shard int, part int, values array<double>").repartition(5)
+    total, most = network._summed(frame)
+    want = np.zeros(7)
+    for row in values:
+        want = want + row
+    assert (total == want).all() and (most == values.max(0)).all()
+    assert [len(x) for x in network._summed(frame.where("shard < 0"))] == [0, 0]
+
+
 def test_autoencoder_learns_and_ignores_layout(spark, cloud, tmp_path):
     def fit(n, **more):
         return Autoencoder(FEATURES, ["id"], encoder=(8, 2), decoder=(2, 8), activation="tanh", dropout=0.0, epochs=6,
