@@ -34,7 +34,7 @@ def _scaler(df):
 
 def _clean_signal(spark, sf_dir):
     """Signal flows with infinite rates and missing values filled; statistics are learned on benign flows."""
-    df = flows_signal(spark, sf_dir, heavy=True).drop("const_zero")
+    df = flows_signal(spark, sf_dir, heavy=True).drop("const_zero", "day")
     cleaner = FlowCleaner(FOUR, handle_nan="median", remove_duplicates=False, remove_constant=False,
                           keep=FLOW_KEYS).fit(schema.filter_benign(df))
     return keep(cleaner.transform(df))

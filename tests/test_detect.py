@@ -16,7 +16,9 @@ from flowlens.detect.ocsvm import FeatureMap, OneClassSVM, fit_all, kernel_decis
 from flowlens.detect.svm_solver import shortest
 from flowlens.detect.vae import VariationalAutoencoder, VariationalAutoencoderModel
 from flowlens.operators import explain
+from flowlens.queries.detect import FOUR, _clean_signal
 from flowlens.session import keep
+from flowlens.sources.views import FLOW_KEYS
 
 FEATURES = ["a", "b", "c"]
 
@@ -218,6 +220,17 @@ def test_shards_add_up_in_their_order_by_parts(spark):
     assert [len(x) for x in network._summed(frame.where("shard < 0"))] == [0, 0]
 
 
+def test_clean_signal_keeps_what_the_detectors_read(spark, tmp_path):
+    spark.sql("""select id as l_orderkey, id as l_partkey, id as l_suppkey, 1 as l_linenumber, id + 1.5d as l_quantity,
+      id * 10d as l_extendedprice, if(id % 5 = 0, 0d, 0.1d) as l_discount, if(id % 7 = 0, 0d, 0.02d * id) as l_tax,
+      element_at(array('N', 'A', 'R'), cast(id % 3 as int) + 1) as l_returnflag, timestamp'2020-01-01 00:00:00' as l_shipdate
+      from range(60)""").write.parquet(str(tmp_path / "lineitem.parquet"))
+    frame = _clean_signal(spark, str(tmp_path))
+    assert frame.columns == [*FLOW_KEYS, *FOUR, "label"] and frame.count() == 60
+    assert frame.where(" or ".join(f"{f} is null or abs({f}) = double('inf')" for f in FOUR)).count() == 0
+    frame.unpersist()
+
+
 def test_autoencoder_learns_and_ignores_layout(spark, cloud, tmp_path):
     def fit(n, **more):
         return Autoencoder(FEATURES, ["id"], encoder=(8, 2), decoder=(2, 8), activation="tanh", dropout=0.0, epochs=6,
