@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowlens.functions.numeric import INF, finite, is_infinite, long_form, null_if_nan
+from flowlens.functions.numeric import INF, finite, is_infinite, is_missing, long_form, null_if_nan
 from flowlens.operators.quantiles import exact_percentiles
 from flowlens.operators.schema import drop_metadata
 from flowlens.spec import RESCUED, numeric_columns
@@ -61,7 +61,9 @@ class FlowCleaner(Estimator):
         rows = distinct_rows(df) if exact_rows else df
         if self.handle_inf == "drop":
             rows = rows.where(~_any_infinite(features))
-        stats = {r["feature"]: r for r in _feature_stats(rows, features).collect()}
+        others = [c for c in df.columns if c not in features and c != RESCUED]
+        stats = {r["feature"]: r for r in _feature_stats(
+            rows, features, others if self.handle_nan == "drop" and self.remove_constant else None).collect()}
 
         positive, negative = {}, {}
         for f in features:
@@ -77,7 +79,7 @@ class FlowCleaner(Estimator):
         )
         drop_rows = self.handle_nan == "drop" and missing_total > 0
         fill = self._fill_values(rows, features, stats, replaced, positive, negative)
-        constant = self._constant(rows, features, stats, replaced, fill, drop_rows, df.columns)
+        constant = self._constant(rows, features, stats, replaced, fill, drop_rows, others)
         rules = [
             FeatureRule(f, positive.get(f), negative.get(f), fill.get(f), f in constant) for f in features
         ]
@@ -86,6 +88,15 @@ class FlowCleaner(Estimator):
     def _inf_turns_missing(self, s) -> bool:
         return self.handle_inf == "replace" and self.inf_replacement is None and s["high"] is None
 
+    def _one_value(self, s) -> bool:
+        """Whether the complete rows hold one value of a feature, infinite ones counted as what replaces them."""
+        values = {s["whole_low"], s["whole_high"]} - {None}
+        for infinite, count, extreme in ((INF, s["whole_pos"], s["high"]), (-INF, s["whole_neg"], s["low"])):
+            if count:
+                replacement = extreme if self.inf_replacement is None else float(self.inf_replacement)
+                values.add(infinite if self.handle_inf == "ignore" else replacement)
+        return len(values) == 1
+
     def _fill_values(self, rows, features, stats, replaced, positive, negative) -> dict[str, float]:
         if self.handle_nan == "zero":
             return {f: 0.0 for f in features}
@@ -108,11 +119,12 @@ class FlowCleaner(Estimator):
             fill = {f: self.missing_fallback if fill.get(f) is None else fill[f] for f in features}
         return {f: v for f, v in fill.items() if v is not None}
 
-    def _constant(self, rows, features, stats, replaced, fill, drop_rows, columns) -> set[str]:
+    def _constant(self, rows, features, stats, replaced, fill, drop_rows, others) -> set[str]:
         if not self.remove_constant:
             return set()
+        if drop_rows and not any(s["inf_pos"] + s["inf_neg"] and self._inf_turns_missing(s) for s in stats.values()):
+            return {f for f, s in stats.items() if self._one_value(s)}
         if drop_rows:
-            others = [c for c in columns if c not in features and c != RESCUED]
             complete = rows.select(*[replaced[f].alias(f) for f in features], *others).na.drop()
             ranges = long_form(complete, features).groupBy("feature").agg(
                 F.min("value").alias("low"), F.max("value").alias("high"))
@@ -204,15 +216,28 @@ def _replaced(feature: str, positive: float | None, negative: float | None, hand
     return F.when(x == F.lit(INF), F.lit(positive)).when(x == F.lit(-INF), F.lit(negative)).otherwise(x)
 
 
-def _feature_stats(df: DataFrame, features: list[str]) -> DataFrame:
-    """One row per feature from one pass; partial sums are combined before the (tiny) shuffle."""
-    value = F.col("value")
+def _feature_stats(df: DataFrame, features: list[str], others: list[str] | None = None) -> DataFrame:
+    """One row per feature from one pass; partial sums are combined before the (tiny) shuffle.
+
+    With ``others`` also ``whole_`` figures: of the rows without a missing value in any feature or other column.
+    """
+    value, whole = F.col("value"), F.col("_whole")
     x = finite(value)
-    return long_form(df, features).groupBy("feature").agg(
+    figures = [
         F.min(x).alias("low"), F.max(x).alias("high"), F.sum(x).alias("total"), F.count(x).alias("n_finite"),
         F.count_if(value == F.lit(INF)).alias("inf_pos"), F.count_if(value == F.lit(-INF)).alias("inf_neg"),
         F.count_if(value.isNull() | F.isnan(value)).alias("missing"),
-    )
+    ]
+    if others is None:
+        return long_form(df, features).groupBy("feature").agg(*figures)
+    fractions = [name for name, kind in df.dtypes if kind in ("float", "double")]
+    absent = [is_missing(F.col(f).cast("double")) for f in features] + [
+        is_missing(F.col(c)) if c in fractions else F.col(c).isNull() for c in others]
+    marked = df.withColumn("_whole", ~F.greatest(F.lit(False), F.lit(False), *absent))
+    return long_form(marked, features, "_whole").groupBy("feature").agg(
+        *figures, F.min(F.when(whole, x)).alias("whole_low"), F.max(F.when(whole, x)).alias("whole_high"),
+        F.count_if(whole & (value == F.lit(INF))).alias("whole_pos"),
+        F.count_if(whole & (value == F.lit(-INF))).alias("whole_neg"))
 
 
 def replace_infinite(df: DataFrame, features: list[str], value: float) -> DataFrame:

@@ -64,21 +64,24 @@ def _by_header(spark: SparkSession, paths: list[str]) -> list[list[str]]:
     return list(groups.values()) if len(groups) > 1 else [paths]
 
 
-def _decoded(spark: SparkSession, paths: list[str]) -> tuple[list[DataFrame], dict[str, bool]]:
-    """(files of one header as scans in their encodings, per column: whether it holds a number, None if nothing)."""
+def _decoded(spark: SparkSession, paths: list[str], given: set[str]) -> tuple[list[DataFrame], dict[str, bool | None], set[str]]:
+    """Files of one header as scans in their encodings; per column whether it holds a number (None if nothing, or if it is
+    one of the ``given`` texts); the columns that may hold other text. Only files that are no UTF-8 cost a second pass."""
     raw = _scan(spark, paths, "UTF-8")
     if any(REPLACEMENT in c for c in raw.columns):
         raw = _scan(spark, paths, "ISO-8859-1")
-    cells = [F.col(f"`{c}`") for c in raw.columns]
-    marked = F.concat_ws("", *cells).contains(REPLACEMENT)
-    numbers = [F.bool_or(F.when(F.trim(c) != "", c.try_cast("double").isNotNull())).alias(f"b{i}") for i, c in enumerate(cells)]
-    seen = raw.select("*", F.when(marked, F.col("_metadata.file_path")).alias("_broken")).agg(
-        F.collect_set("_broken").alias("broken"), *numbers).first()
-    found = {c: seen[f"b{i}"] for i, c in enumerate(raw.columns)}
+    cells = {c: F.col(f"`{c}`") for c in raw.columns}
+    marked = F.greatest(F.lit(False), F.lit(False), *[cell.contains(REPLACEMENT) for cell in cells.values()])
+    checked = {c: F.when(F.trim(cell) != "", cell.try_cast("double").isNotNull()) for c, cell in cells.items() if c not in given}
+    seen = raw.agg(F.bool_or(marked).alias("broken"), *[
+        both.alias(f"{name}{i}") for i, c in enumerate(checked.values())
+        for name, both in (("some", F.bool_or(c)), ("all", F.bool_and(c)))]).first()
+    found = dict.fromkeys(raw.columns) | {c: seen[f"some{i}"] for i, c in enumerate(checked)}
     if not seen["broken"]:
-        return [raw], found
-    good = raw.where(~F.col("_metadata.file_path").isin(seen["broken"]))
-    return [good, _scan(spark, seen["broken"], "ISO-8859-1")], found
+        return [raw], found, {c for i, c in enumerate(checked) if seen[f"all{i}"] is False}
+    file = F.col("_metadata.file_path")
+    broken = [row[0] for row in raw.where(marked).select(file).distinct().collect()]
+    return [raw.where(~file.isin(broken)), _scan(spark, broken, "ISO-8859-1")], found, set(raw.columns)
 
 
 def read_flows(spark: SparkSession, paths: str | list[str], text: list[str] | None = None,
@@ -98,36 +101,42 @@ def read_flows(spark: SparkSession, paths: str | list[str], text: list[str] | No
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"no flow file at {paths}") from error
         raise
-    scans: list[DataFrame] = []
+    given = {*METADATA_COLUMNS, label, *(text or [])}
+    scans: list[tuple[DataFrame, set[str]]] = []
     numbers: dict[str, bool | None] = {}
     for group in groups:
-        own, found = _decoded(spark, group)
-        scans += own
+        own, found, mixed = _decoded(spark, group, given)
+        scans += [(scan, mixed) for scan in own]
         for c, some in found.items():
             numbers[c] = some if numbers.get(c) is None else numbers[c] or bool(some)
-    texts = [c for c, some in numbers.items() if c in METADATA_COLUMNS or c == label or c in (text or []) or some is False]
+    texts = [c for c, some in numbers.items() if c in given or some is False]
     out = None
-    for scan in scans:
-        typed = _typed(scan, texts, label, with_file, rescue)
+    for scan, mixed in scans:
+        typed = _typed(scan, texts, label, with_file, rescue, mixed - {*texts})
         out = typed if out is None else out.unionByName(typed, allowMissingColumns=True)
     return out
 
 
-def _typed(raw: DataFrame, texts: list[str], label: str, with_file: bool, rescue: bool) -> DataFrame:
+def _typed(raw: DataFrame, texts: list[str], label: str, with_file: bool, rescue: bool, mixed: set[str]) -> DataFrame:
+    """Columns in their types; ``mixed`` are the columns of numbers that may hold other text."""
     columns: list[Column] = []
     lost: list[Column] = []
+    numeric = False
     for c in raw.columns:
         column = F.col(f"`{c}`")
         if c == label:
             column = F.translate(F.trim(column), DASHES, "-" * len(DASHES))
         elif c not in texts:
             number = column.try_cast("double")
-            lost.append(F.struct(F.lit(c).alias("key"), F.when(number.isNull() & (F.trim(column) != ""), column).alias("value")))
-            column = number
+            if c in mixed:
+                lost.append(F.struct(F.lit(c).alias("key"), F.when(number.isNull() & (F.trim(column) != ""), column).alias("value")))
+            numeric, column = True, number
         columns.append(column.alias(c))
     if rescue and lost:
         kept = F.filter(F.array(*lost), lambda one: one["value"].isNotNull())
         columns.append(F.when(F.size(kept) > 0, F.map_from_entries(kept)).alias(RESCUED))
+    elif rescue and numeric:
+        columns.append(F.lit(None).cast("map<string,string>").alias(RESCUED))
     if with_file:
         columns.append(F.col("_metadata.file_path").alias("_file"))
     return raw.select(*columns)

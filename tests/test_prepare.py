@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.functions.numeric import nan_to_num
+from flowlens.functions.numeric import long_form, nan_to_num
 from flowlens.operators import clean, labels, metrics, quantiles, sampling, schema
 from flowlens.operators.clean import FlowCleaner
 from flowlens.operators.quantiles import exact_percentiles, grouped_percentiles, with_percentiles
@@ -85,6 +85,18 @@ def test_mixed_columns_lose_nothing(spark, tmp_path):
     assert prepared.features == ["x"] and prepared.train.where("_rescued is not null").count() > 0
 
 
+def test_a_file_of_numbers_is_read_without_looking_for_other_text(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Key,x,y,Label\nk1,1,inf,BENIGN\nk2, ,nan,DoS\n")
+    df = read_flows(spark, str(tmp_path / "a.csv"), text=["Key"])
+    assert dict(df.dtypes) == {"Key": "string", "x": "double", "y": "double", "Label": "string", "_rescued": "map<string,string>"}
+    assert {(r.Key, r.x, r._rescued) for r in df.collect()} == {("k1", 1.0, None), ("k2", None, None)}
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
+    (tmp_path / "b.csv").write_text("Key,x,y,Label\nk3,n/a,-7,BENIGN\n")
+    both = read_flows(spark, str(tmp_path), text=["Key"])
+    assert {(r.Key, r.x, str(r._rescued)) for r in both.collect()} == {
+        ("k1", 1.0, "None"), ("k2", None, "None"), ("k3", None, "{'x': 'n/a'}")}
+
+
 def test_read_flows_missing_file(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_flows(spark, str(tmp_path / "none.csv"))
@@ -150,6 +162,36 @@ def test_drop_missing_also_drops_missing_labels_only_when_a_feature_is_missing(s
     assert FlowCleaner(["a", "b"]).fit(one_missing).transform(one_missing).count() == 2
 
 
+@pytest.mark.parametrize("options", [{}, {"inf_replacement": 2.0}, {"handle_inf": "ignore"}, {"handle_inf": "drop"}])
+def test_constants_of_complete_rows_come_from_the_pass_of_the_statistics(spark, monkeypatch, options):
+    passes = []
+    monkeypatch.setattr(clean, "long_form", lambda *given: passes.append(given) or long_form(*given))
+    rng = np.random.default_rng(17)
+    found = set()
+    for _ in range(5):
+        values = [1.0, 2.0, 2.0, 2.0, INF, -INF, NAN, None]
+        data = [(2.0, None, "x")] + [(values[i], values[j], "x" if k else None) for i, j, k in rng.integers(0, [8, 8, 4], (5, 3))]
+        used = [r for r in data if options.get("handle_inf") != "drop" or not {INF, -INF} & {*r[:2]}]
+        finite = [[r[j] for r in used if r[j] is not None and math.isfinite(r[j])] for j in (0, 1)]
+
+        def put(x, j):
+            if x is None or math.isnan(x):
+                return None
+            if math.isfinite(x) or "handle_inf" in options:
+                return x
+            return options.get("inf_replacement", (max if x > 0 else min)(finite[j], default=None))
+
+        complete = [r for r in ((put(r[0], 0), put(r[1], 1), r[2]) for r in used) if None not in r]
+        want = [f for j, f in enumerate("ab") if len({r[j] for r in complete}) == 1]
+        df = frame(spark, data)
+        passes.clear()
+        assert FlowCleaner(["a", "b"], **options).fit(df).constant_features == want
+        found.update(want)
+        unknown = not options and any(not finite[j] and {INF, -INF} & {r[j] for r in used} for j in (0, 1))
+        assert len(passes) == (2 if unknown else 1)
+    assert found
+
+
 def test_zero_fill_can_make_a_constant_column_vary(spark):
     df = frame(spark, [(7.0, 1.0, "x"), (None, 2.0, "x")])
     assert FlowCleaner(["a", "b"], handle_nan="zero").fit(df).constant_features == []
