@@ -10,6 +10,9 @@ Only connectivity is wanted, so a dense group never becomes all its pairs. Equal
 Within a key, members near its most frequent fingerprint link to that alone (a star); after components of the stars are
 known, only keys that still hold different components are joined, and only across components. No link is lost: every pair
 that shares a key either has one component already or is compared.
+
+Tables of keys are never broadcast: Spark sizes them by the table they are exploded from, or by their files, in which the
+repeated fingerprints take a few bits each.
 """
 
 from __future__ import annotations
@@ -128,17 +131,17 @@ def link_fingerprints(counted: DataFrame, scratch: Scratch) -> DataFrame:
     hubs = (keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"),
                                      F.max(F.struct("n", "fp")).alias("hub")).where("members > 1")
             .select("key", F.col("hub.fp").alias("hub")))
-    shared = scratch.keep(keyed.select("key", "fp").join(hubs, "key"), "shared-keys")
+    shared = scratch.keep(keyed.select("key", "fp").join(hubs.hint("merge"), "key"), "shared-keys")
     own = Scratch(scratch.spark)
     stars = shared.where((F.col("fp") != F.col("hub")) & linked(F.col("fp"), F.col("hub")))
     first = own.keep(connected_components(stars.select(F.col("fp").alias("a"), F.col("hub").alias("b")), own), "stars")
     left = first.select(F.col("node").alias("fp"), "component")
-    member = (shared.join(left, "fp", "left")
+    member = (shared.join(left.hint("merge"), "fp", "left")
               .select("key", "fp", F.coalesce("component", "fp").alias("c")))
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_keys = own.keep(member.join(mixed, "key", "left_semi"), "open-keys")
+    open_keys = own.keep(member.join(mixed.hint("merge"), "key", "left_semi"), "open-keys")
     x, y = open_keys.alias("x"), open_keys.alias("y")
-    across = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c"))
+    across = (x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c"))
                      & linked(F.col("x.fp"), F.col("y.fp")))
               .select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct())
     second = connected_components(across, own)

@@ -225,6 +225,22 @@ def test_near_links_of_random_fingerprints(spark):
     assert got == dict(enumerate(least))
 
 
+def test_tables_of_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes exploded keys by the table they come from, which is under its limit long after the keys are not."""
+    plans, keep = {}, Scratch.keep
+
+    def spied(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", spied)
+    fps = spark.createDataFrame([(fp, 1) for fp in (0, 1, 3, 2**40, 2**40 + 1, 7 << 50)], "fp long, n long")
+    found = simhash.link_fingerprints(fps, Scratch(spark)).collect()
+    assert {r.fp for r in found} == {0, 1, 3, 2**40, 2**40 + 1, 7 << 50}
+    for name in ("shared-keys", "open-keys"):
+        assert "Join" in plans[name] and "Broadcast" not in plans[name]
+
+
 def test_keep_one_of_awkward_rows(spark, awkward):
     kept = simhash.keep_one(awkward)
     assert kept.columns == awkward.columns
