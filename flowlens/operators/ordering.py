@@ -22,7 +22,7 @@ def ordered_parts(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
     Partitions grow in number, not in size, with the rows. They are read back one or a few to a task, so windows and small
     tables by partition need no shuffle with fewer, larger tasks.
     """
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SMALL))
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // max(1, SMALL)))
     parted = df.repartitionByRange(n, *order).withColumn(PART, F.spark_partition_id())
     return materialise(parted, "ordered").repartition(n, PART)
 
