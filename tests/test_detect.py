@@ -576,3 +576,14 @@ def test_feature_maps_work_in_blocks(monkeypatch):
     monkeypatch.setattr(svm_solver, "BLOCK", 1_000)
     run = svm_solver.in_blocks(lambda rows: seen.append(len(rows)) or rows.sum(axis=1), 100)
     assert np.allclose(run(np.ones((35, 2))), 2.0) and max(seen) == 10 and len(run(np.ones((0, 2)))) == 0
+
+
+def test_gradients_summed_along_lines_are_those_of_single_points():
+    rng = np.random.default_rng(4)
+    for act, last in (("relu", "linear"), ("tanh", "sigmoid"), ("sigmoid", "relu")):
+        layers = Autoencoder(list("abcde"), [], encoder=(7, 3), decoder=(3, 7), activation=act, output_activation=last).layers()
+        gradient = AutoencoderModel.from_weights(layers, network.initial(layers, rng) + 0.1, list("abcde")).error_gradient()
+        background, rows = rng.normal(size=(20, 5)), rng.normal(size=(400, 5))
+        single = explain.gradient_contributions(lambda x: gradient(x), background)(rows)
+        assert gradient.along(rows.T, rows.T, np.array([0.5]), np.array([1.0])).shape == (5, 400)
+        assert np.allclose(explain.gradient_contributions(gradient, background)(rows), single, rtol=1e-10, atol=1e-13)
