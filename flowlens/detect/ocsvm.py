@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowlens.detect.base import Detector, matrix_column, prepared
-from flowlens.detect.svm_solver import Problem, in_blocks, solve, sums
+from flowlens.detect.svm_solver import SAME, Problem, in_blocks, solve, sums
 from flowlens.functions.numeric import ratio
 from flowlens.operators.ordering import with_previous
 from flowlens.operators.scale import FlowScaler
@@ -91,7 +91,11 @@ class FeatureMap:
     def __call__(self, rows: np.ndarray) -> np.ndarray:
         if self.kernel == "rbf":
             phases = self.arrays["phases"]
-            return np.sqrt(2.0 / len(phases)) * np.cos(rows @ self.arrays["frequencies"] + phases)
+            z = rows @ self.arrays["frequencies"]
+            z += phases
+            np.cos(z, out=z)
+            z *= np.sqrt(2.0 / len(phases))
+            return z
         if self.kernel == "linear":
             return rows
         x = math.sqrt(self.gamma) * rows
@@ -152,6 +156,9 @@ def fit_all(df: DataFrame, estimators: list[OneClassSVM]) -> list["OneClassSVMMo
     rows = spread(df.select(prepared(first.features, scaler).alias("x")))
     try:
         gammas = {rule: pooled_gamma(rows.select("x.*"), first.features, rule) for rule in {e.gamma for e in estimators}}
+        # Rules for gamma that give the same number but for rounding share a map; on scaled features these two do.
+        gammas = {rule: next(g for g in gammas.values() if math.isclose(g, gamma, rel_tol=SAME))
+                  for rule, gamma in gammas.items()}
         maps: dict[tuple, FeatureMap] = {}
         problems = []
         for e in estimators:

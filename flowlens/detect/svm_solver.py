@@ -5,7 +5,7 @@ set are means of z over the rows below a cut in some direction. A round has two
 problems still open: one aggregate of all their cuts, one component-wise sum of all their points; then a tiny quadratic
 problem each on the driver. So passes grow with the rounds of the slowest problem only. Two more passes a round keep the
 rounds few: one draws a bounded sample, mostly from the low scores, one sums the points of all rows in the directions that
-solve it. The gap that ends a fit is always that of all rows.
+solve it, which tasks of their own find, one per problem. The gap that ends a fit is always that of all rows.
 
 Every point is kept as its direction, cut and number of rows. A row's dual coefficient is then the sum of share / rows over
 the points it belongs to, and needs no list of rows.
@@ -33,15 +33,16 @@ SAME = 1e-9
 #: Rows, and numbers per array, of the sample whose solution says where to begin.
 START_ROWS, START_SIZE = 20_000, 8_000_000
 #: Numbers per array of a later sample.
-SAMPLE_SIZE = 16_000_000
+SAMPLE_SIZE = 32_000_000
 #: Tails of a problem's scores, in units of nu, that its later samples are drawn from, and the rows of each and of the rest.
-TAILS, TAIL_ROWS, REST_ROWS = (3.0, 30.0, 300.0), 16_000, 16_000
+TAILS, TAIL_ROWS, REST_ROWS = (3.0, 30.0, 300.0), 32_000, 32_000
+MOST_DRAWN = 4 * (REST_ROWS + TAIL_ROWS * len(TAILS))
 #: Cuts tried for a direction of a sample, in standard errors of the sampled share.
 SPARES = (0.0, 0.5, 1.0, 2.0)
 #: Relative gap to which the first, plain sample is solved; later samples start from its direction.
 FIRST_GAP = 0.05
-#: Numbers of a feature map that a task holds at once.
-BLOCK = 4_000_000
+#: Numbers of a feature map that a task holds at once; they stay in a core's cache.
+BLOCK = 256_000
 #: A cut is sought this much above nu, twice what the sketch may be off by, so that no point has fewer rows than nu of all.
 ABOVE = 0.01
 
@@ -94,6 +95,8 @@ def solve(rows: DataFrame, problems: list[Problem]) -> int:
         p.atoms, p.shares, p.longest = mean[None], np.ones(1), float(mean @ mean)
         p.ways, p.open = [(np.zeros(len(mean)), 0.0, total)], p.nu < 1
     _start(rows, maps, place, [p for p in problems if p.open and p.max_iter is None], total)
+    distinct = float(rows.agg(F.approx_count_distinct(F.xxhash64("x"))).first()[0]) if any(
+        p.open and p.max_iter is None for p in problems) else total
     while running := [p for p in problems if p.open]:
         scored = rows.select("x", _scores(running))
         cuts, tails = _cuts(scored, running)
@@ -101,7 +104,7 @@ def solve(rows: DataFrame, problems: list[Problem]) -> int:
         for p, (_, direction, cut), made in zip(running, jobs, sums(rows, maps, jobs)):
             _round(p, direction[:, 0], float(cut[0]), made[0, :-1], float(made[0, -1]), total)
         wanted = [i for i, p in enumerate(running) if p.open and p.max_iter is None]
-        _refine(rows, scored, maps, place, running, wanted, tails, total)
+        _refine(rows, scored, maps, place, running, wanted, tails, total, min(total, max(1.0, distinct)))
     _offsets(rows, problems)
     return int(total)
 
@@ -170,26 +173,48 @@ def _offsets(rows: DataFrame, problems: list[Problem]) -> None:
 
 
 def sums(rows: DataFrame, maps: list, jobs: list[tuple]) -> list[np.ndarray]:
-    """For each job (number of its map, directions by column, cuts): a row per direction with the sum of z over the rows
-    below its cut and their number; all rows without directions.
+    """For each job (number of its map, directions by column, cuts, and the column of each cut if not one each): a row per
+    cut with the sum of z over the rows below it and their number; all rows without directions.
 
     Each task adds up its batches, block by block; the lines of the tasks are summed in a shuffle, so what reaches the
-    driver is one line per direction, however many tasks there are.
+    driver is one line per cut, however many tasks there are. A block is mapped once for all jobs of a map, and only its rows
+    below some cut are added.
     """
-    width = {i: len(maps[i](np.zeros((1, len(rows.schema["x"].dataType.fields))))[0]) + 1 for i in {job[0] for job in jobs}}
+    size = len(rows.schema["x"].dataType.fields)
+    width = {i: len(maps[i](np.zeros((1, size)))[0]) + 1 for i in {job[0] for job in jobs}}
     step = max(1, BLOCK // max(width.values()))
+    plans, order, at = [], [], 0
+    for i in width:
+        whole = [k for k, job in enumerate(jobs) if job[0] == i and job[1] is None]
+        cutting = [k for k, job in enumerate(jobs) if job[0] == i and job[1] is not None]
+        order += [(k, 0, at) for k in whole]
+        at += bool(whole)
+        which, cuts, first = [], [], 0
+        for k in cutting:
+            _, directions, own, *columns = jobs[k]
+            which.append(first + (np.asarray(columns[0]) if columns else np.arange(len(own))))
+            cuts.append(own)
+            first += directions.shape[1]
+            order += [(k, j, at + j) for j in range(len(own))]
+            at += len(own)
+        joined = [np.concatenate(part) for part in (which, cuts)] if cutting else None
+        plans.append((i, bool(whole), np.hstack([jobs[k][1] for k in cutting]) if cutting else None, joined))
 
     def partial(batches):
         made = None
         for batch in batches:
             rows = batch.to_numpy(dtype=float, na_value=np.nan)
-            for at in range(0, len(rows), step):
-                images = {i: maps[i](rows[at : at + step]) for i in width}
+            for start in range(0, len(rows), step):
                 parts = []
-                for i, directions, cuts in jobs:
-                    z = images[i]
-                    below = np.ones((len(z), 1)) if directions is None else (z @ directions <= cuts).astype(float)
-                    parts.append(np.hstack([below.T @ z, below.sum(axis=0)[:, None]]))
+                for i, whole, directions, joined in plans:
+                    z = maps[i](rows[start : start + step])
+                    if whole:
+                        parts.append(np.append(np.ones(len(z)) @ z, len(z))[None])
+                    if directions is not None:
+                        below = (z @ directions)[:, joined[0]] <= joined[1]
+                        hit = below.any(axis=1)
+                        below = below[hit].astype(float)
+                        parts.append(np.hstack([below.T @ z[hit], below.sum(axis=0)[:, None]]))
                 made = parts if made is None else [a + b for a, b in zip(made, parts)]
         if made is not None:
             lines = [line for part in made for line in part]
@@ -201,11 +226,10 @@ def sums(rows: DataFrame, maps: list, jobs: list[tuple]) -> list[np.ndarray]:
     schema = "k long, values array<double>"
     summed = rows.select("x.*").mapInPandas(partial, schema).groupBy("k").applyInPandas(add, schema).toPandas()
     lines = [np.asarray(line, dtype=float) for line in summed.sort_values("k")["values"]]
-    out, at = [], 0
-    for i, directions, _ in jobs:
-        n = 1 if directions is None else directions.shape[1]
-        out.append(np.stack(lines[at : at + n]) if lines else np.zeros((n, width[i])))
-        at += n
+    out = [np.zeros((1 if job[1] is None else len(job[2]), width[job[0]])) for job in jobs]
+    for k, j, line in order:
+        if lines:
+            out[k][j] = lines[line]
     return out
 
 
@@ -217,50 +241,77 @@ def _start(rows: DataFrame, maps: list, place: dict, problems: list[Problem], to
     most = max(100, min(START_ROWS, START_SIZE // widest))
     spot = F.pmod(F.xxhash64("x"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows if total <= most else rows.where(spot < most / total).limit(2 * most)
-    x = sample.select("x.*").toPandas().to_numpy(dtype=float, na_value=np.nan)
-    samples = []
-    for fmap in maps:
-        z = fmap(x)
-        z = z[np.isfinite(z).all(axis=1)]
-        for p in problems:
-            if p.fmap is fmap and len(z):
-                ways = _directions(z, np.ones(len(z)), p, FIRST_GAP if total > most else p.tol / 2, total > most)
-                samples.append((p, ways))
-    _add_points(rows, maps, place, samples, total)
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(problems) - 1))).alias("problem")
+    tols = [FIRST_GAP if total > most else p.tol / 2 for p in problems]
+    found = _solved(sample.select(every, F.lit(1.0).alias("weight"), "x.*"), problems, tols, [total > most] * len(problems))
+    _add_points(rows, maps, place, found, total)
 
 
 def _refine(rows: DataFrame, scored: DataFrame, maps: list, place: dict, problems: list[Problem], wanted: list[int],
-            tails: list[list[float]], total: float) -> None:
+            tails: list[list[float]], total: float, distinct: float) -> None:
     """Points of all rows in the directions that solve a weighted sample for every wanted problem.
 
     Nearly all of a sample comes from the low scores, where the next points lie, and the rest stands for the other rows.
-    Equal rows are drawn together, as one row and their number.
+    Equal rows are drawn together, as one row and their number; so it is the number of distinct rows that sets the rates.
     """
     if not wanted:
         return
     spot = F.pmod(F.xxhash64("x"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rest = min(1.0, REST_ROWS / total)
-    rates = {i: [max(rest, min(1.0, TAIL_ROWS / (part * problems[i].nu * total))) for part in TAILS] for i in wanted}
-    kept = F.greatest(F.lit(rest), F.lit(0.0), *[
-        F.when(F.get("s", F.lit(i)) <= F.lit(cut), F.lit(rate)) for i in wanted for cut, rate in zip(tails[i], rates[i])])
+    rest = min(1.0, REST_ROWS / distinct)
+    rates = {i: [max(rest, min(1.0, TAIL_ROWS / (part * problems[i].nu * distinct))) for part in TAILS] for i in wanted}
+
+    def rate(i: int):
+        column = F
+        for cut, share in zip(tails[i], rates[i]):
+            column = column.when(F.get("s", F.lit(i)) <= F.lit(cut), F.lit(share))
+        return column.otherwise(F.lit(rest))
+
+    kept = F.greatest(F.lit(rest), F.lit(0.0), *[rate(i) for i in wanted])
     drawn = scored.select("x", "s", spot.alias("u")).where(F.col("u") < kept).groupBy("x").agg(
         F.first("s").alias("s"), F.first("u").alias("u"), F.count("*").alias("n"))
-    drawn = drawn.limit(4 * (REST_ROWS + TAIL_ROWS * len(TAILS) * len(wanted))).select("x.*", "s", "u", "n").toPandas()
-    if not len(drawn):
-        return
-    s, u, n = np.stack(drawn["s"].to_numpy()), drawn["u"].to_numpy(), drawn["n"].to_numpy(dtype=float)
-    x = drawn.iloc[:, :-3].to_numpy(dtype=float, na_value=np.nan)
-    samples = []
-    for i in wanted:
-        p = problems[i]
-        rate = np.select([s[:, i] <= cut for cut in tails[i]], rates[i], rest)
-        mine = np.flatnonzero(u < rate)
-        mine = mine[: max(100, SAMPLE_SIZE // p.atoms.shape[1])]
-        z = p.fmap(x[mine])
+    own = F.array(*[F.struct(F.lit(k).alias("problem"), rate(i).alias("rate")) for k, i in enumerate(wanted)])
+    each = drawn.select("x", "u", "n", F.inline(own)).where("u < rate").select("problem", (F.col("n") / F.col("rate")).alias("weight"), "x.*")
+    mine = [problems[i] for i in wanted]
+    _add_points(rows, maps, place, _solved(each, mine, [p.tol / 2 for p in mine],
+                                           [min(rates[i] + [rest]) < 1 for i in wanted]), total)
+
+
+def _solved(sample: DataFrame, problems: list[Problem], tols: list[float], sampled: list[bool]) -> list[tuple]:
+    """Each problem with the directions that solve its rows of ``sample(problem, weight, features...)``, in a task each.
+
+    A task takes its rows in an order of their own, so that how they arrive changes nothing, and no more of them than
+    ``SAMPLE_SIZE`` allows. It reads ``MOST_DRAWN`` at most, which only many different rows of one score exceed.
+    """
+    features = sample.columns[2:]
+    light = [Problem(p.fmap, p.nu, p.tol, None, p.atoms, p.shares, longest=p.longest) for p in problems]
+
+    def solve_one(batches):
+        parts, n = [], 0
+        for batch in batches:
+            parts.append(batch)
+            n += len(batch)
+            if n >= MOST_DRAWN:
+                break
+        if not n:
+            return
+        rows = pd.concat(parts)
+        k = int(rows["problem"].iloc[0])
+        p, x = light[k], rows[features].to_numpy(dtype=float, na_value=np.nan)
+        order = np.lexsort([*x.T, rows["weight"].to_numpy()])
+        order = order[np.random.default_rng(len(order)).permutation(len(order))][: max(100, SAMPLE_SIZE // p.atoms.shape[1])]
+        z, weights = in_blocks(p.fmap, p.atoms.shape[1])(x[order]), rows["weight"].to_numpy(dtype=float)[order]
         fine = np.isfinite(z).all(axis=1)
-        if fine.any():
-            samples.append((p, _directions(z[fine], (n[mine] / rate[mine])[fine], p, p.tol / 2, bool((rate < 1).any()))))
-    _add_points(rows, maps, place, samples, total)
+        if not fine.all():
+            z, weights = z[fine], weights[fine]
+        if len(z):
+            for at, (w, cuts) in enumerate(_directions(z, weights, p, tols[k], sampled[k])):
+                yield pd.DataFrame({"problem": [k], "at": [at], "w": [w], "cuts": [cuts]})
+
+    dealt = sample.repartitionById(len(problems), F.col("problem"))
+    ways = dealt.mapInPandas(solve_one, "problem int, at int, w array<double>, cuts array<double>").toPandas()
+    ways = ways.sort_values(["problem", "at"])
+    return [(p, [(np.asarray(r.w, dtype=float), np.asarray(r.cuts, dtype=float))
+                 for r in ways[ways["problem"] == k].itertuples()]) for k, p in enumerate(problems)]
 
 
 def _add_points(rows: DataFrame, maps: list, place: dict, samples: list[tuple], total: float) -> None:
@@ -270,16 +321,16 @@ def _add_points(rows: DataFrame, maps: list, place: dict, samples: list[tuple],
         ways = ways[-max(1, START_SIZE // 50 // p.atoms.shape[1]):]
         if ways:
             cuts = np.concatenate([cuts for _, cuts in ways])
-            directions = np.concatenate([np.repeat(w[:, None], len(cuts), axis=1) for w, cuts in ways], axis=1)
-            jobs.append((place[id(p.fmap)], directions, cuts + SAME * np.abs(cuts)))
-            owners.append((p, np.repeat(np.arange(len(ways)), [len(cuts) for _, cuts in ways])))
+            way = np.repeat(np.arange(len(ways)), [len(cuts) for _, cuts in ways])
+            jobs.append((place[id(p.fmap)], np.stack([w for w, _ in ways], axis=1), cuts + SAME * np.abs(cuts), way))
+            owners.append(p)
     if not jobs:
         return
-    for (p, way), (_, directions, cuts), made in zip(owners, jobs, sums(rows, maps, jobs)):
+    for p, (_, directions, cuts, way), made in zip(owners, jobs, sums(rows, maps, jobs)):
         enough = made[:, -1] >= p.nu * total
         for one in np.unique(way[enough]):
             j = np.flatnonzero(enough & (way == one))[np.argmin(made[enough & (way == one), -1])]
-            p.add(made[j, :-1] / made[j, -1], (directions[:, j], float(cuts[j]), float(made[j, -1])))
+            p.add(made[j, :-1] / made[j, -1], (directions[:, one], float(cuts[j]), float(made[j, -1])))
         p.settle()
 
 

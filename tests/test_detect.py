@@ -587,3 +587,57 @@ def test_gradients_summed_along_lines_are_those_of_single_points():
         single = explain.gradient_contributions(lambda x: gradient(x), background)(rows)
         assert gradient.along(rows.T, rows.T, np.array([0.5]), np.array([1.0])).shape == (5, 400)
         assert np.allclose(explain.gradient_contributions(gradient, background)(rows), single, rtol=1e-10, atol=1e-13)
+
+
+def test_points_of_shared_directions(spark):
+    """Several cuts of one direction, several jobs of one map, all rows: each against a plain sum."""
+    from flowlens.detect import svm_solver
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 3))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(5)
+    maps = [FeatureMap("rbf", 3, 0.3, 16, 3, 0.0, 1), FeatureMap("linear", 3, 1.0, 16, 3, 0.0, 1)]
+    first, second = rng.normal(size=(16, 2)), rng.normal(size=(3, 1))
+    cuts, column = np.array([-0.5, 0.0, 0.4]), np.array([0, 1, 1])
+    jobs = [(0, first, cuts, column), (1, second, np.array([0.2])), (0, None, None), (0, first, np.array([0.1, -9.0]))]
+    got = svm_solver.sums(df.select(F.struct("a", "b", "c").alias("x")), maps, jobs)
+    z = [m(x) for m in maps]
+    for (i, directions, cuts, *which), lines in zip(jobs, got):
+        if directions is None:
+            below = np.ones((500, 1))
+        else:
+            below = (z[i] @ directions)[:, which[0] if which else np.arange(len(cuts))] <= cuts
+        assert np.allclose(lines, np.hstack([below.T @ z[i], below.sum(axis=0)[:, None]]), atol=1e-9)
+
+
+class Enough(Exception):
+    """Ends a fit once its sample is known."""
+
+
+def test_one_gamma_is_one_map_and_repeats_thin_no_sample(spark, monkeypatch):
+    """Rules that give one gamma share a map; every row eight times gives as large a sample as every row once."""
+    from flowlens.detect import svm_solver
+
+    monkeypatch.setattr(svm_solver, "START_ROWS", 400)
+    monkeypatch.setattr(svm_solver, "REST_ROWS", 300)
+    monkeypatch.setattr(svm_solver, "TAIL_ROWS", 300)
+    calls, solved = [], svm_solver._solved
+
+    def spied(sample, problems, *others):
+        calls.append(problems)
+        if len(calls) < 2:
+            return solved(sample, problems, *others)
+        counts.append(sample.where("problem = 0").select(*FEATURES).distinct().count())
+        raise Enough
+
+    monkeypatch.setattr(svm_solver, "_solved", spied)
+    rng = np.random.default_rng(6)
+    rows = [tuple(map(float, r)) for r in rng.normal(size=(2500, 3)) ** 3]
+    counts = []
+    for copies in (1, 8):
+        calls.clear()
+        df = spark.createDataFrame(rows * copies, "a double, b double, c double").repartition(4)
+        with pytest.raises(Enough):
+            fit_all(df, [OneClassSVM(FEATURES, nu=0.02, gamma=g, n_components=32) for g in ("scale", "auto")])
+        assert calls[0][0].fmap is calls[0][1].fmap
+    assert counts[1] > 0.7 * counts[0]
